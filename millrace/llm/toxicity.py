@@ -8,10 +8,11 @@ taken to come from it. A token's score is the log ratio of its probability in
 such a passage to that in clean text: positive for the lexicon, negative for
 everything else, so that segment sums follow extreme-value theory.
 
-One linear scan finds every maximal segment of positive sum. The best segment
-S of a document of n tokens has, in clean text, P(S > x) = 1 - exp(-K n e^-x);
-K is fitted on clean documents. x = S - log(K n) is turned into a probability
-by a logistic fit on the labelled documents.
+One linear scan finds every maximal segment of positive sum. In clean text the
+best segment S of n tokens has P(S > x) = 1 - exp(-K n e^-x); K is fitted on
+clean documents. A document's excess, the sum of its segments' scores above
+log(K n), is turned into a probability by a logistic fit on the labelled
+documents.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ MIN_Z = 4.0
 MAX_LEXICON = 20_000
 #: A passage is reported where so many like it are expected in a clean document at most.
 MAX_EXPECTED = 0.01
+MAX_EXCESS = 60.0
 #: A word counts by its first letters, of two lengths; shorter words are whole.
 STEMS = (5, 7)
 _TOKEN = re.compile(r"[^\W_]+")
@@ -80,19 +82,20 @@ def maximal_segments(positions: list[int], gains: list[float], neutral: float) -
     return [(a, b, right - left) for a, b, left, right in kept]
 
 
-def scan(text: str | None, model: Model) -> tuple[int, float, list[tuple[int, int, float]]]:
-    """Tokens, best segment's score and all segments of a text."""
+def scan(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
+    """Tokens and all maximal segments of a text."""
     tokens = _TOKEN.findall((text or "").lower())
     get, (short, long) = model.scores.get, STEMS
     hits = [(i, s) for i, t in enumerate(tokens) if (s := get(t[:long], 0.0) or get(t[:short], 0.0))]
     if not hits:
-        return len(tokens), 0.0, []
-    found = maximal_segments([i for i, _ in hits], [s for _, s in hits], model.neutral)
-    return len(tokens), max(s for _, _, s in found), found
+        return len(tokens), []
+    return len(tokens), maximal_segments([i for i, _ in hits], [s for _, s in hits], model.neutral)
 
 
-def _excess(best: float, n: int, k: float) -> float:
-    return best - math.log(k * max(n, 1)) if best > 0 else -20.0
+def _excess(scores: list[float], n: int, k: float) -> float:
+    """Sum of the segments' scores, each above the best that n clean tokens are expected to give."""
+    chance = max(0.0, math.log(k * max(n, 1)))
+    return min(MAX_EXCESS, sum(max(0.0, s - chance) for s in scores))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -135,23 +138,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: C
     train = written(train.where(~held_out) if held_out is not None else train)
     scores, neutral = fit_lexicon(train)
     rough = Model(scores, neutral, 1.0, 1.0, 0.0)
+    floor = min(scores.values(), default=1.0)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(scan(x, rough)[:2], y) for x, y in zip(batch["text"], batch["label"], strict=True)]
-            yield pd.DataFrame([(y == 1, n, round(2 * s) / 2) for (n, s), y in rows], columns=["toxic", "n", "best"])
-
-    # Half-unit steps of the score and of log2 n: a bounded table.
-    seen = train.select("text", "label").mapInPandas(measure, "toxic boolean, n long, best double")
-    cells = seen.groupBy("toxic", "best", F.round(F.log2(F.greatest("n", F.lit(1)))).alias("size")).agg(F.count(F.lit(1)).alias("rows")).orderBy("toxic", "best", "size").collect()
-    clean = [r for r in cells if not r.toxic]
-    floor = min(scores.values(), default=1.0) / 2
-    expected = sum(r.rows * 2.0**r["size"] * math.exp(-floor) for r in clean) or 1.0
-    k = (sum(r.rows for r in clean if r.best >= floor) + 1) / expected
-    x = np.array([_excess(r.best, int(2.0 ** r["size"]), k) for r in cells])
-    y = np.array([float(r.toxic) for r in cells])
-    weight = np.array([float(r.rows) for r in cells])
-    slope, offset = _logistic(x, y, weight)
+            seen = [scan(x, rough) for x in batch["text"]]
+            yield pd.DataFrame({"n": [n for n, _ in seen], "over": [sum(s >= floor for _, _, s in found) for _, found in seen]})
+
+    # Clean text has K n e^-floor segments of at least that score.
+    total, over = train.where("label <> 1").select("text").mapInPandas(tails, "n long, over long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("over"), F.lit(0))).first()
+    k = (over + 1) / ((total + 1) * math.exp(-floor))
+
+    def excesses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = [scan(x, rough) for x in batch["text"]]
+            yield pd.DataFrame({"toxic": batch["label"] == 1, "excess": [round(4 * _excess([s for _, _, s in found], n, k)) / 4 for n, found in seen]})
+
+    # Quarter steps up to MAX_EXCESS: a bounded table.
+    cells = train.select("text", "label").mapInPandas(excesses, "toxic boolean, excess double").groupBy("toxic", "excess").agg(F.count(F.lit(1)).alias("rows")).orderBy("toxic", "excess").collect()
+    slope, offset = _logistic(*(np.array([float(r[c]) for r in cells]) for c in ("excess", "toxic", "rows")))
     return Model(scores, neutral, k, slope, offset)
 
 
@@ -182,8 +187,8 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
         for batch in batches:
             out = []
             for body in batch["body"]:
-                n, best, found = scan(body, model)
-                z = model.slope * _excess(best, n, model.k) + model.offset
+                n, found = scan(body, model)
+                z = model.slope * _excess([s for _, _, s in found], n, model.k) + model.offset
                 passages = [{"first": a, "last": b, "score": s} for a, b, s in found if model.k * max(n, 1) * math.exp(-s) <= MAX_EXPECTED]
                 out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), n, passages))
             scores, sizes, passages = zip(*out, strict=True) if out else ([], [], [])
