@@ -37,8 +37,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 ROWS = 5
 BANDS = 24
-#: Ranks are cut into cells that double in width from 2^-LOW on; a dart count is drawn per cell.
-LOW = 12
+#: Widths of the first and of the widest rank interval; a dart count is drawn per cell.
+FIRST = 0.125
+MOST = 8.0
+#: Documents whose signatures are computed together.
+TOGETHER = 64
 TILE = 256
 _U = np.uint64
 
@@ -60,8 +63,8 @@ _FACTORIALS = np.cumprod(np.concatenate([[1.0], np.arange(1, 40)]))
 
 
 def _poisson(u: np.ndarray, mean: float) -> np.ndarray:
-    """Poisson counts by inverting its distribution; mean is at most 1."""
-    table_ = np.cumsum(np.exp(-mean) * mean ** np.arange(16) / _FACTORIALS[:16])
+    """Poisson counts by inverting its distribution; mean is at most MOST."""
+    table_ = np.cumsum(np.exp(-mean) * mean ** np.arange(40) / _FACTORIALS)
     return np.searchsorted(table_, u, side="right")
 
 
@@ -78,47 +81,56 @@ def word_shingles(word_hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray, coordinates: int) -> np.ndarray:
-    """The earliest dart (a 64-bit id) of each coordinate; elements are distinct hashes.
+def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n_docs: int, coordinates: int) -> np.ndarray:
+    """The earliest dart (a 64-bit id) per document and coordinate.
 
-    The dart plane of an element is cut into cells: weight layers [j, j+1) by
-    rank intervals [0, 2^-LOW), [2^-LOW, 2^(1-LOW)), ... of at most unit width.
-    A cell's count and its darts' places come from a hash of (element, layer,
-    interval), hence agree between documents.
+    elements are hashes, distinct within their owner, a document's number. The
+    dart plane of an element is cut into cells: weight layers [j, j+1) by rank
+    intervals [0, FIRST), [FIRST, 2 FIRST), ... that double up to MOST. A cell's
+    count and its darts' places come from a hash of (element, layer, interval),
+    hence agree between documents. All documents are worked on together;
+    those that are explored far enough drop out.
     """
-    out = np.zeros(coordinates, np.uint64)
-    total = float(weights.sum())
-    if not total > 0:
-        return out
-    best = np.full(coordinates, np.inf)
-    goal = (np.log(coordinates) + 2) * coordinates / total
+    out = np.zeros(n_docs * coordinates, np.uint64)
+    best = np.full(n_docs * coordinates, np.inf)
+    total = np.bincount(owner, weights, n_docs)
+    goal = (np.log(coordinates) + 2) * coordinates / np.maximum(total, 1e-300)
     layers = np.ceil(weights).astype(np.int64)
-    element = np.repeat(elements, layers)
-    layer = np.arange(len(element)) - np.repeat(np.cumsum(layers) - layers, layers)
+    layer = np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
     height = np.minimum(np.repeat(weights, layers) - layer, 1.0)
+    owner = np.repeat(owner, layers)
     with np.errstate(over="ignore"):
-        base = _mix(element * _U(0x9E3779B97F4A7C15) + layer.astype(np.uint64))
+        base = _mix(np.repeat(elements, layers) * _U(0x9E3779B97F4A7C15) + layer.astype(np.uint64))
         low, cell = 0.0, 0
-        while low < goal or np.isinf(best).any():
-            width = 2.0**-LOW if cell == 0 else min(low, 1.0)
+        while True:
+            active = (total > 0) & ((low < goal) | np.isinf(best.reshape(n_docs, coordinates)).any(axis=1))
+            if not active.any():
+                return out.reshape(n_docs, coordinates)
+            mine = active[owner]
+            if not mine.all():
+                base, owner, height = base[mine], owner[mine], height[mine]
+            width = FIRST if cell == 0 else min(low, MOST)
             seed = _mix(base + _U(cell) * _U(0xD1342543DE82EF95))
             count = _poisson(_unit(seed), width)
             some = np.flatnonzero(count)
-            if len(some):
-                who = np.repeat(some, count[some])
-                nth = np.arange(len(who)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-                dart = _mix(seed[who] ^ _mix((nth + 1).astype(np.uint64)))
-                inside = _unit(_mix(dart + _U(1))) < height[who]
-                dart = dart[inside]
-                rank = low + width * _unit(_mix(dart + _U(2)))
-                place = (_mix(dart + _U(3)) % _U(coordinates)).astype(np.int64)
-                order = np.argsort(-rank, kind="stable")  # the earliest is written last
-                earlier = rank[order] < best[place[order]]
-                order = order[earlier]
-                best[place[order]] = rank[order]
-                out[place[order]] = dart[order]
+            who = np.repeat(some, count[some])
+            nth = np.arange(len(who)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            dart = _mix(seed[who] ^ _mix((nth + 1).astype(np.uint64)))
+            inside = _unit(_mix(dart + _U(1))) < height[who]
+            dart, who = dart[inside], who[inside]
+            rank = low + width * _unit(_mix(dart + _U(2)))
+            place = owner[who] * coordinates + (_mix(dart + _U(3)) % _U(coordinates)).astype(np.int64)
+            new = rank < best[place]
+            rank, place, dart = rank[new], place[new], dart[new]
+            order = np.argsort(-rank, kind="stable")  # the earliest is written last
+            best[place[order]] = rank[order]
+            out[place[order]] = dart[order]
             low, cell = low + width, cell + 1
-    return out
+
+
+def dart_signature(elements: np.ndarray, weights: np.ndarray, coordinates: int) -> np.ndarray:
+    """The signature of one weighted set."""
+    return dart_signatures(elements, weights, np.zeros(len(elements), np.int64), 1, coordinates)[0]
 
 
 def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -145,9 +157,12 @@ def banded(texts: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFra
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for w in _lists(batch.column(2)):
-                s = word_shingles(w)
-                found.append(band_hashes(dart_signature(s, np.ones(len(s)), bands * rows), bands, rows) if len(s) else np.empty(0, np.int64))
+            sets = [word_shingles(w) for w in _lists(batch.column(2))]
+            for at in range(0, len(sets), TOGETHER):
+                some = sets[at : at + TOGETHER]
+                elements, owner = np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some])
+                signed = dart_signatures(elements, np.ones(len(elements)), owner, len(some), bands * rows)
+                found += [band_hashes(sig, bands, rows) if len(x) else np.empty(0, np.int64) for sig, x in zip(signed, some, strict=True)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *found]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["key", "id", "bands"])
