@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.plans.trade import ORACLE as TRADE_SQL
-from millrace.plans.trade import QUERIES as TRADE
+from millrace.plans import dashboards, logistics, trade
 
-QUERIES = {**TRADE}
-ORACLE_SQL = {**TRADE_SQL}
+_MODULES = (trade, logistics, dashboards)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
