@@ -39,6 +39,8 @@ MAX_LEXICON = 20_000
 #: A passage is reported where so many like it are expected in a clean document at most.
 MAX_EXPECTED = 0.01
 MAX_EXCESS = 60.0
+#: Labels (16 bytes a row) are broadcast up to this count; beyond it the join shuffles.
+BROADCAST_ROWS = 2_000_000
 #: A word counts by its first letters, of two lengths; shorter words are whole.
 STEMS = (5, 7)
 _TOKEN = re.compile(r"[^\W_]+")
@@ -99,7 +101,8 @@ def _excess(scores: list[float], n: int, k: float) -> float:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    known = written(labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label")))
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
