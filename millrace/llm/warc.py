@@ -192,7 +192,8 @@ def find_captures(index: DataFrame, wanted: DataFrame) -> DataFrame:
                 for b in range(low, high):
                     keys.append(prefix)
                     at.append(firsts[b])
-            yield pd.DataFrame({"prefix": keys, "first_key": at})
+            if keys:
+                yield pd.DataFrame({"prefix": keys, "first_key": at})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,7 +206,8 @@ def find_captures(index: DataFrame, wanted: DataFrame) -> DataFrame:
                         key, _, archive, segment, offset, length = lines[i].split("\t")
                         rows.append((key, int(archive), int(segment), int(offset), int(length)))
                         i += 1
-            yield pd.DataFrame(rows, columns=["key", "archive", "segment", "offset", "length"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "archive", "segment", "offset", "length"])
 
     located = wanted.select("key", "id").mapInPandas(locate, "prefix string, first_key string")
     # A block's lookups are distinct prefixes: not more than its lines, and those that miss.
@@ -233,7 +235,8 @@ def read_captures(archive: DataFrame, captures: DataFrame) -> DataFrame:
                     got = hashlib.sha256(payload).hexdigest() if kind == "response" else stated
                     rows.append((number("warc-record-id"), int(fields["x-payload-length"]), got, kind, number("warc-refers-to"), got == stated))
             out = pd.DataFrame(rows, columns=["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok"])
-            yield out.astype({"record_id": "Int64", "refers_to": "Int64"})
+            if rows:
+                yield out.astype({"record_id": "Int64", "refers_to": "Int64"})
 
     joined = archive.select("archive", "segment", "data").join(ranges, ["archive", "segment"]).select("data", "ranges")
     return joined.mapInPandas(read, "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_ok boolean")
