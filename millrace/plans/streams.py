@@ -1,4 +1,4 @@
-"""Static twins of the stream operators and word checks, over events, conversations and benchmark."""
+"""Static twins of the stream operators and word checks, over events, documents and benchmark."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from millrace.operators.text import check_last_word, name_mentions, name_pairs,
 from millrace.sources.tables import load
 from millrace.streaming.events import drop_repeats, first_visit, merge_parts, newest_only, windowed
 
+#: Benchmark words of six letters or more play the names.
+NAME = r"[\p{L}\p{N}]{6,}"
+
+
 def _measures() -> list[Column]:
     return [F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("amount")]
 
@@ -49,21 +53,22 @@ def user_wide_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Do user turns end, after their last comma, like some assistant turn?"""
-    talk = load(spark, sf_dir, "conversations")
-    tail = F.element_at(F.split("text", ","), -1)
-    words = talk.where("role = 'assistant'").select(tail.alias("word"))
-    return check_last_word(talk.where("role = 'user'").select("conv_id", "turn", "text"), "text", words).select("conv_id", "turn", "flag", "grade", "word")
+    """Comments `user,item` of the events; the word set is the items that error events name on their newest day."""
+    events = load(spark, sf_dir, "events").select("event_id", "event_type", F.to_date("ts").alias("dt"), F.concat_ws(",", "user_id", F.from_json("props", "struct<k:long>")["k"]).alias("comment"))
+    errors = events.where("event_type = 'error'")
+    newest = errors.agg(F.max("dt").alias("dt"))
+    words = errors.join(newest, "dt", "left_semi").select(F.element_at(F.split("comment", ","), -1).alias("word"))
+    return check_last_word(events.select("event_id", "comment"), "comment", words)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long_word = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]{9,}"), F.lit(0)))
-    names = load(spark, sf_dir, "benchmark").select(long_word.alias("name"))
-    return name_pairs(name_mentions(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", names), ["conv_id", "turn"])
+    names = load(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).alias("name"))
+    sentences = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.!?\\n]")).alias("nth", "sentence"))
+    return name_pairs(name_mentions(sentences, ["doc_id", "nth"], "sentence", names), ["doc_id", "nth"])
 
 
 def name_pair_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of benchmark words of nine letters or more that share a turn."""
+    """Pairs of long benchmark words, as names, that share a sentence of a document."""
     return _pairs(spark, sf_dir)
 
 
@@ -75,11 +80,13 @@ def _window_sql(start: str, key: str = "") -> str:
     return f"select {start} as window_start, {key} count(*) as events, count(distinct user_id) as users, cast(sum(cast(value as decimal(18,4))) as double) as amount from events group by all"
 
 
-_MENTIONS = r"""
-with names as (select distinct unnest(regexp_extract_all(text, '[\p{L}\p{N}]{9,}')) as name from benchmark),
-said as (select conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}]+'))) as name from conversations),
-mentions as (select conv_id, turn, name from said join names using (name)),
-pairs as (select l.name as a, r.name as b, count(*) as weight from mentions l join mentions r on l.conv_id = r.conv_id and l.turn = r.turn and l.name < r.name group by all)
+_MENTIONS = rf"""
+with names as (select distinct unnest(regexp_extract_all(text, '{NAME}')) as name from benchmark),
+split as (select doc_id, regexp_split_to_array(text, '[.!?\n]') as s from documents),
+sentences as (select doc_id, unnest(range(len(s))) as nth, unnest(s) as sentence from split),
+said as (select doc_id, nth, unnest(list_distinct(regexp_extract_all(sentence, '[\p{{L}}\p{{N}}]+'))) as name from sentences),
+mentions as (select doc_id, nth, name from said join names using (name)),
+pairs as (select l.name as a, r.name as b, count(*) as weight from mentions l join mentions r on l.doc_id = r.doc_id and l.nth = r.nth and l.name < r.name group by all)
 """
 
 QUERIES = {f.__name__: f for f in (event_windows_1d, event_windows_5min, event_windows_10s, new_visitor_repair, event_newest_only, event_repeats_dropped, user_wide_row, comment_check, name_pair_weights, name_degrees)}
@@ -91,7 +98,7 @@ ORACLE = {
     "event_newest_only": "with e as (select event_id, user_id, cast(props::json->>'k' as bigint) as item from events), b as (select *, max(item) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before from e) select event_id, user_id, item from b where item is not null and (before is null or item > before)",
     "event_repeats_dropped": "select distinct user_id, event_type, props from events",
     "user_wide_row": "select user_id, " + ", ".join(f'(list(value order by ts desc, event_id desc) filter (event_type = \'{k}\' and value is not null))[1] as "{k}"' for k in ("view", "click", "purchase")) + " from events group by user_id",
-    "comment_check": "with w as (select distinct trim(string_split(text, ',')[-1]) as word from conversations where role = 'assistant'), u as (select conv_id, turn, trim(string_split(text, ',')[-1]) as token from conversations where role = 'user') select conv_id, turn, cast(word is not null as int) as flag, case when word is not null then 'P0' end as grade, word from u left join (select word from w where word <> '') w on token = word",
+    "comment_check": "with e as (select event_id, event_type, cast(ts as date) as dt, concat_ws(',', user_id, props::json->>'k') as comment from events), w as (select distinct string_split(comment, ',')[-1] as word from e where event_type = 'error' and dt = (select max(dt) from e where event_type = 'error')) select event_id, comment, cast(word is not null as int) as flag, case when word is not null then 'P0' end as grade, word from e left join w on string_split(comment, ',')[-1] = word",
     "name_pair_weights": _MENTIONS + "select * from pairs",
     "name_degrees": _MENTIONS + "select name, count(*) as degree, sum(weight)::bigint as strength from (select a as name, weight from pairs union all select b, weight from pairs) group by name",
 }
