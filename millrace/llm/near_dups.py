@@ -206,7 +206,7 @@ def star_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
 
 def tile_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """True links (a, b) between members of different components of one bucket.
+    """Components (a, b) that a true link between members of one bucket joins.
 
     members has (bucket, id, comp). A bucket is dealt into blocks of about TILE
     members, and each pair of blocks is a task's group of its own, so that
@@ -236,7 +236,7 @@ def tile_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFra
             hit = (both >= threshold * (sizes_[x] + sizes_ - both) - 1e-9) & (ids > ids[x]) & (comps != comps[x])
             if not same_tile:
                 hit &= block != block[x]
-            found += [(ids[x], y) for y in ids[hit]]
+            found += [(comps[x], y) for y in np.unique(comps[hit])]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return tiled.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
@@ -248,20 +248,21 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of large-star and small-star; each round is a written table, and a
     round that changes nothing ends them.
     """
+    mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
+    before = mark(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select("a", "b", "m")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        after = written(small)
-        mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        done = mark(after) == mark(edges)
-        edges = after
-        if done:
+        edges = written(small)
+        now = mark(edges)
+        if now == before:
             break
+        before = now
     star = edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("id"), "comp")
     return star.unionByName(star.select(F.col("comp").alias("id"), "comp").distinct())
 
@@ -291,9 +292,10 @@ def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     links = written(star_links(members, sets, threshold))
     comps = written(components(links))
     marked = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    more = tile_links(marked, sets, threshold)
-    comps = components(links.unionByName(more))
-    classed = written(groups.select("key", "least", "id").join(comps, "id", "left").select("key", "least", F.coalesce("comp", "id").alias("comp")))
+    # Only components that a tile joins take part in the second search.
+    wider = components(tile_links(marked, sets, threshold)).select(F.col("id").alias("part"), F.col("comp").alias("whole"))
+    parts = groups.select("key", "least", "id").join(comps, "id", "left").select("key", "least", F.coalesce("comp", "id").alias("part"))
+    classed = written(parts.join(wider, "part", "left").select("key", "least", F.coalesce("whole", "part").alias("comp")))
     classes = classed.groupBy("comp").agg(F.min("least").alias("class_id"))
     return keyed.select("doc", "key").join(classed.join(classes, "comp").select("key", "class_id"), "key")
 
