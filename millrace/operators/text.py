@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +35,23 @@ def name_strength(pairs: DataFrame) -> DataFrame:
     """(name, degree, strength): partners of a name and the sum of its weights."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("name"), "weight")
     return ends.groupBy("name").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
+
+
+def relation_types(pairs: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
+    """(a, b, relation, n): sentences in which a keyword of the relation stands between the names a and b.
+
+    pairs (a, b, sentence) has a row per sentence with both names. keywords is
+    a short list, as it becomes part of the expression.
+    """
+    first, second = F.position(F.col("a"), F.col("sentence")), F.position(F.col("b"), F.col("sentence"))
+    between = F.substring(F.col("sentence"), F.least(first, second), F.abs(first - second))
+    said = pairs.where((first > 0) & (second > 0)).withColumn("_between", between)
+    named = [F.when(reduce(or_, [F.contains(F.col("_between"), F.lit(w)) for w in words]), F.lit(relation)) for relation, words in keywords.items()]
+    found = said.select("a", "b", F.explode(F.array_compact(F.array(*named))).alias("relation"))
+    return found.groupBy("a", "b", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def main_relation(found: DataFrame, order: list[str]) -> DataFrame:
+    """(a, b, relation): the most frequent relation of each pair; of equal ones the first in `order`."""
+    place = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("relation"))
+    return found.groupBy("a", "b").agg(F.max_by("relation", F.struct("n", -place)).alias("relation"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.plans import dashboards, logistics, streams, trade
+from millrace.plans import dashboards, facts, logistics, streams, trade, windows
 
-_MODULES = (trade, logistics, dashboards, streams)
+_MODULES = (trade, logistics, facts, dashboards, streams, windows)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -28,8 +28,7 @@ def _stream(spark, tmp_path, rows, schema):
 def test_newest_only_streams(spark, tmp_path):
     stream = _stream(spark, tmp_path, [[(1, 5, 0), (1, 4, 1), (2, 1, 2)], [(1, 5, 3), (1, 6, 4), (2, None, 5)]], "k long, v long, n long")
     run = newest_only(stream, "k", "v", "n").writeStream.outputMode("update").foreachBatch(lambda d, i: d.write.mode("overwrite").parquet(str(tmp_path / f"out/b={i}"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(60)
-    assert run.exception() is None
+    assert run.awaitTermination(60) and run.exception() is None
     got = {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, 5), (2, 1), (1, 6)}
 
@@ -38,6 +37,5 @@ def test_windows_stream_into_the_latest_sink(spark, tmp_path):
     stream = _stream(spark, tmp_path, [[(1, "a")], [(61, "a"), (2, "a")]], "s long, k string").withColumn("ts", F.timestamp_seconds("s"))
     counts = windowed(stream, "ts", "1 minute", ["k"], [F.count(F.lit(1)).alias("n")], delay="5 minutes")
     run = counts.writeStream.outputMode("update").foreachBatch(latest_sink(str(tmp_path / "out"), ["k", "window_start"], ["n"])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(60)
-    assert run.exception() is None
+    assert run.awaitTermination(60) and run.exception() is None
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("k", "window_start").agg(F.max("n").alias("n")).collect()) == [1, 2]
