@@ -18,6 +18,32 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rk") -> DataFra
     return df.withColumn(name, F.rank().over(Window.orderBy(*order)))
 
 
+def range_starts(df: DataFrame, value: str, ranges: int) -> list:
+    """Values that cut df into about `ranges` ranges of as many rows, highest first."""
+    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
+    return sorted(set(cuts or []), reverse=True)
+
+
+def rank_by_ranges(df: DataFrame, value: str, keys: list[str], starts: list, name: str) -> DataFrame:
+    """rank() by value, highest first, within keys (over all rows without keys), a range of values at a time.
+
+    A row's rank is that within its range plus the rows of its key in the
+    ranges before, so no task sorts more than a key's rows of one range; equal
+    values share a range.
+    """
+    above = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x > F.col(value))) if starts else F.lit(0)
+    ranged = df.withColumn("_range", F.when(F.col(value).isNull(), len(starts) + 1).otherwise(above))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    own = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(own), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    within = F.rank().over(Window.partitionBy(*keys, "_range").orderBy(F.desc(value)))
+    ranked = ranged.withColumn("_within", within).join(F.broadcast(before) if not keys else before, same)
+    return ranked.select(*df.columns, (F.col("_within") + F.col("_before")).cast("int").alias(name))
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in this order."""
     own = Window.partitionBy(*keys).orderBy(*order)

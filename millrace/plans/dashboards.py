@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from millrace.operators.aggregates import ratio
-from millrace.operators.ranking import gap_seconds, global_rank, latest_per_key, running_sum, share, top_ranked
+from millrace.operators.ranking import gap_seconds, global_rank, latest_per_key, range_starts, rank_by_ranges, running_sum, share, top_ranked
 from millrace.plans.trade import business_date, order_lines
 from millrace.sources.tables import load, money
 
@@ -101,12 +101,13 @@ def product_daily_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products by amount: rank over the aggregate, overall and within the brand."""
+    """All products by amount: rank over the aggregate, overall and within the brand."""
     sold = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(money("l_extendedprice")).alias("amount"))
     part = load(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = sold.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_partkey", "p_brand", "amount")
-    best = top_ranked(joined, ["p_brand"], [F.desc("amount")], 10, "brand_rank")
-    return global_rank(best, [F.desc("amount")], "overall_rank").withColumn("amount", F.col("amount").cast("double"))
+    starts = range_starts(joined, "amount", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranked = rank_by_ranges(joined, "amount", ["p_brand"], starts, "brand_rank")
+    return rank_by_ranges(ranked, "amount", [], starts, "overall_rank").withColumn("amount", F.col("amount").cast("double"))
 
 
 def sku_share_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
