@@ -268,9 +268,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc, key, class_id) of every row: class_id is the least id of its class.
+    """(doc, key, comp, class_id) of every row: class_id is the least id of its class.
 
-    key is the text's SHA-256. Null counts as empty; texts without words are
+    key is the text's SHA-256, comp identifies the class (ids may repeat). Null counts as empty; texts without words are
     linked to equal texts only. A null id stands after all others, and a class
     of null ids alone has a null class_id; repeated rows stay.
     """
@@ -297,16 +297,17 @@ def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     parts = groups.select("key", "least", "id").join(comps, "id", "left").select("key", "least", F.coalesce("comp", "id").alias("part"))
     classed = written(parts.join(wider, "part", "left").select("key", "least", F.coalesce("whole", "part").alias("comp")))
     classes = classed.groupBy("comp").agg(F.min("least").alias("class_id"))
-    return keyed.select("doc", "key").join(classed.join(classes, "comp").select("key", "class_id"), "key")
+    return keyed.select("doc", "key").join(classed.join(classes, "comp").select("key", "comp", "class_id"), "key")
 
 
 def keep_one_per_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one row of each class: that of the least id, of equal ids any one.
+    """docs with one row of each class: that of the least id (null is the last), of equal ids any one.
 
     Columns are unchanged.
     """
     classes = near_duplicate_classes(docs, doc_id=doc_id, text=text, **how)
-    heads = written(classes.where(F.col("doc").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("_mr_key")).select(F.col("class_id").alias("_mr_id"), "_mr_key"))
+    head = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "key")).alias("head")
+    heads = written(classes.groupBy("comp").agg(head).select(F.col("head.doc").alias("_mr_id"), F.col("head.key").alias("_mr_key")))
     key = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
     kept = docs.withColumn("_mr_k", key).join(heads, docs[doc_id].eqNullSafe(F.col("_mr_id")) & (F.col("_mr_k") == F.col("_mr_key")), "left_semi")
     return kept.dropDuplicates([doc_id, "_mr_k"]).drop("_mr_k")
