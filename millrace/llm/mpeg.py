@@ -173,14 +173,16 @@ def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     return end + (10 if flags & 0x10 else 0)
 
 
-def _tail_tags(data: bytes, tags: dict[str, str]) -> int:
-    """Where audio ends: before ID3v1 and APEv2 tags."""
-    end = len(data)
+def _tail_tags(data: bytes) -> list[tuple[int, dict[str, str]]]:
+    """Where audio may end, and the tags behind: the end of the data, before an ID3v1 tag, before an APEv2 tag."""
+    end, tags = len(data), {}
+    found = [(end, dict(tags))]
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
             if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
                 tags.setdefault(name, value)
+        found.append((end, dict(tags)))
     if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, count, flags = struct.unpack("<III", data[end - 20 : end - 8])
         pos = max(0, end - size)
@@ -193,7 +195,8 @@ def _tail_tags(data: bytes, tags: dict[str, str]) -> int:
                 break
             tags.setdefault(data[pos + 8 : stop].decode("latin-1"), data[stop + 1 : stop + 1 + length].decode("utf-8", "replace"))
             pos = stop + 1 + length
-    return end
+        found.append((end, dict(tags)))
+    return found
 
 
 def _vbr_table(data: bytes, at: int, h: Header, track: Track) -> tuple[bool, int]:
@@ -227,9 +230,19 @@ def parse(data: bytes) -> Track:
 
     A header counts if the next one agrees in version, layer and rate, or if
     the audio ends there. Anything else is skipped until two headers agree.
+    A tag at the end counts only where no frame of the walk reaches into it.
     """
-    track = Track()
-    end, at = _tail_tags(data, track.tags), 0
+    ends = _tail_tags(data)
+    while (track := _walk(data, ends)) is None:
+        ends.pop()
+    return track
+
+
+def _walk(data: bytes, ends: list[tuple[int, dict[str, str]]]) -> Track | None:
+    """The track up to the last of ends; None if a frame that is whole crosses it."""
+    track = Track(tags=dict(ends[-1][1]))
+    end, at = ends[-1][0], 0
+    outer = [x for x, _ in ends[:-1]]
     while (behind := _id3v2(data, at, track.tags)) > at:
         at = behind
     first, gap, weighed = None, 0, 0
@@ -240,6 +253,10 @@ def parse(data: bytes) -> Track:
             fits = at + h.size == end or after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
         else:
             fits = False
+            if h and outer and (not first or (h.version, h.layer, h.rate) == first):
+                after = header_at(data, at + h.size)
+                if at + h.size in outer or after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate):
+                    return None
         if h and not fits and first and at + h.size <= end:  # damage behind a good frame of a known stream
             fits = (h.version, h.layer, h.rate) == first
         if not h or not fits:
@@ -297,7 +314,9 @@ def carry(payload: bytes, tags: dict[str, str]) -> bytes:
 
 
 def carried(data: bytes, track: Track) -> bytes:
-    """The payload of a stream made by carry(), from its frames' ancillary data."""
+    """The payload of a stream made by carry(), from its frames' ancillary data; frames that are missing raise."""
+    if track.vbr_frames is not None and len(track.offsets) != track.vbr_frames:
+        raise ValueError(f"{len(track.offsets)} frames found of {track.vbr_frames} declared")
     skip = len(_DATA_HEAD)
     return b"".join(data[a + skip : a + skip + UNIT] for a in track.offsets)
 
