@@ -48,7 +48,7 @@ def user_item_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditional distinct users and items per category; the unknown bucket holds items without one."""
     v = visits(spark, sf_dir)
-    part = load(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("int").alias("item"), "p_brand")
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand")
     bought = F.col("kind") == "purchase"
     return v.join(part, "item", "left").groupBy(F.coalesce("p_brand", F.lit("unknown")).alias("category")).agg(F.count_distinct("user_id").alias("users"), F.count_distinct(F.when(bought, F.col("user_id"))).alias("buyers"), F.count_distinct("item").alias("items"))
 
