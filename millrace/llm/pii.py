@@ -1,18 +1,23 @@
 """Personal data: patterns, then information-theoretic sanitisation of terms.
 
 Base spans are e-mail addresses, IPv4 addresses, card and phone numbers. They
-are the protected entities. A term near an entity can reveal it without being
-one: how much is estimated from corpus co-occurrence. With I(e) = -log2 p(e)
-the information of an entity kind and PMI(t; e) = log2(p(t, e) / (p(t) p(e))),
-the term t discloses the share PMI(t; e) / I(e) of it; the share is 1 when the
-term never occurs without the entity. Terms whose share exceeds the disclosure
-threshold are risky: near an entity they are generalised (numbers) or removed
-(other terms), and reported as spans of kind `term`.
-
-Probabilities are shares of all documents: p(t) counts the documents that hold
-t, p(t, e) those that hold t within `window` terms of an entity of kind e.
-Terms seen near entities in fewer than `min_support` distinct texts carry no
-evidence and are left alone; copies of a text are one text there.
+are the protected entities. A term that shares documents with an entity can
+reveal it without being one: how much is estimated from corpus co-occurrence.
+With I(e) = -log2 p(e) the information of an entity kind and
+PMI(t; e) = log2(p(t, e) / (p(t) p(e))), the term t discloses the share
+PMI(t; e) / I(e) of it; the share is 1 when the term never occurs without the
+entity. Terms whose share exceeds the disclosure threshold are risky: wherever
+they occur, in any document, they are generalised (numbers) or removed (other
+terms), and reported as spans of kind `term`.
+
+Probabilities are shares of all documents, read whole: p(t) counts the
+documents that hold t outside base spans, p(t, e) those of them that hold an
+entity of kind e as well. The share must not be chance: if t were independent
+of e, so many of t's distinct texts (copies of a text are one text there) would
+hold e with a probability of `significance` at most, by Chernoff's bound
+exp(-n KL(k/n || p(e))), which for k = n is exactly p(e)^n. So a term of a
+single text counts for an entity kind that is rare enough, and no number of
+texts is demanded as such.
 
 DataFrame operations only. Patterns are written without backtracking (possessive
 quantifiers and look-behinds that give the same matches), so that a long run of
@@ -36,10 +41,15 @@ PATTERNS = {
 }
 #: A text without this can't match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TERM = r"[\p{L}\p{N}]+"
-WINDOW = 3
-MIN_SUPPORT = 5
+SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,match:string>>"
 DISCLOSURE = 0.8
+#: Chance at most that a term which is independent of an entity shows such a share of it.
+SIGNIFICANCE = 0.05
+#: Risky terms are broadcast up to this count; beyond it the join shuffles, with the same result.
+BROADCAST_TERMS = 500_000
+#: Stands for every character of a base span while terms are cut out.
+MASK = "\ue000"
+MASKED_TERM = r"[\p{L}\p{N}\x{E000}]+"
 
 
 def _digits(match: Column) -> Column:
@@ -109,83 +119,88 @@ def base_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     return df.select("doc", "body", *counts, F.sort_array(F.concat(*[F.col(k) for k in KINDS])).alias("base"))
 
 
-def _near_terms(spans: DataFrame, window: int) -> DataFrame:
-    """spans with `near`: array<struct<term, kind, start, end>> of terms beside base spans.
+def _masked() -> Column:
+    """The body with its base spans as runs of MASK; positions stay. A term that touches one holds MASK."""
 
-    Looks at 40 code points a side per window term at most; a longer term is
-    cut by that edge and, being partial, is left out.
-    """
-    reach = 40 * window
+    def step(acc: Column, x: Column) -> Column:
+        at = F.greatest(acc["at"], x["start"])
+        piece = F.concat(F.substring(F.col("plain"), acc["at"] + 1, at - acc["at"]), F.repeat(F.lit(MASK), F.greatest(x["end"] - at, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    def sides(x: Column) -> Column:
-        left_at = F.greatest(x["start"] - reach, F.lit(0))
-        left = F.substring(F.col("body"), left_at + 1, x["start"] - left_at)
-        right = F.substring(F.col("body"), x["end"] + 1, F.lit(reach))
-        return F.array(F.struct(x["kind"].alias("kind"), left_at.alias("at"), left.alias("part"), F.lit(True).alias("is_left")), F.struct(x["kind"].alias("kind"), x["end"].alias("at"), right.alias("part"), F.lit(False).alias("is_left")))
+    cut = F.aggregate("base", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("plain"), acc["at"] + 1, F.length("plain"))))
+    return F.when(F.size("base") > 0, cut).otherwise(F.col("plain"))
 
-    def terms(s: Column) -> Column:
-        found, pieces = F.regexp_extract_all(s["part"], F.lit(TERM), F.lit(0)), F.split(s["part"], TERM, -1)
-        n = F.size(found)
 
-        def one(i: Column) -> Column:
-            before = F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, p: a + F.length(p))
-            word = F.get(found, i)
-            start = s["at"] + before
-            whole = F.when(s["is_left"], (before > 0) | (s["at"] == 0)).otherwise(before + F.length(word) < reach)
-            return F.when(whole, F.struct(F.lower(word).alias("term"), s["kind"].alias("kind"), start.alias("start"), (start + F.length(word)).alias("end")))
+def _terms(spans: DataFrame, keep: list[str]) -> DataFrame:
+    """A row per row of spans and distinct term outside its base spans."""
+    found = F.transform(F.regexp_extract_all("masked", F.lit(MASKED_TERM), F.lit(0)), F.lower)
+    rows = _with_mask(spans).select(*keep, F.explode_outer(F.array_distinct(found)).alias("term"))
+    return rows.where(F.col("term").isNotNull() & ~F.contains("term", F.lit(MASK)))
 
-        first = F.when(s["is_left"], F.greatest(n - window, F.lit(0))).otherwise(F.lit(0))
-        last = F.when(s["is_left"], n).otherwise(F.least(n, F.lit(window)))
-        index = F.when(last > first, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(index, one), lambda t: t.isNotNull())
 
-    inside = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    near = F.flatten(F.transform(F.flatten(F.transform("base", sides)), terms))
-    return spans.withColumn("near_all", near).withColumn("near", F.filter("near_all", lambda t: ~inside(t))).drop("near_all")
+def _with_mask(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("plain", F.replace("body", F.lit(MASK), F.lit(" "))).withColumn("masked", _masked())
 
 
-def disclosing_terms(spans: DataFrame, near: DataFrame, *, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term, kind, support, disclosed) of the terms over the threshold.
+def disclosing_terms(spans: DataFrame, *, disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE) -> DataFrame:
+    """(term, kind, n_texts, disclosed) of the terms over the threshold.
 
-    spans has (page, body) of all documents, near (page, near, base) of those
-    with entities; page identifies a text.
+    spans has (page, body, base) of all documents; page identifies a text.
+    Documents are counted per term and kind in one aggregation.
     """
-    n_docs = written(spans.agg(F.count(F.lit(1)).alias("n_docs")))
-    beside = near.withColumn("pair", F.explode_outer(F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["kind"].alias("kind")))))).where("pair is not null")
-    support = beside.groupBy("pair.term", "pair.kind").agg(F.count_distinct("page").alias("support"), F.count(F.lit(1)).alias("n_both")).where(F.col("support") >= min_support)
-    support = written(support)
-    kinds = near.select(F.explode_outer(F.array_distinct(F.transform("base", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_kind"))
-    terms = support.select("term").distinct()
-    every = spans.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(TERM), F.lit(0)))).alias("term"))
-    totals = every.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    scored = support.join(totals, "term").join(kinds, "kind").join(n_docs, F.lit(True))
-    info = F.log2(F.col("n_docs") / F.col("n_kind"))
-    pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_term") * F.col("n_kind")))
-    disclosed = F.when(info > 0, pmi / info).otherwise(F.lit(0.0))
-    return scored.select("term", "kind", "support", disclosed.alias("disclosed")).where(F.col("disclosed") > disclosure)
-
-
-def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """base_spans() with `spans`, the base spans and those of disclosing terms.
-
-    A span of kind term never overlaps a base span. Empty tables give no rows.
+    copies = written(spans.groupBy("page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    weighed = spans.join(copies, "page", "left").withColumn("one", 1 / F.coalesce("copies", F.lit(1)))
+    kinds = F.transform("base", lambda b: b["kind"])
+    held = [F.array_contains(kinds, k).alias(f"has_{k}") for k in KINDS]
+    weighed = weighed.select("body", "base", "one", *held)
+    counts = [F.count(F.lit(1)).alias("n_docs"), F.sum("one").alias("n_texts")]
+    for k in KINDS:
+        counts += [F.count_if(f"has_{k}").alias(f"docs_{k}"), F.sum(F.when(F.col(f"has_{k}"), F.col("one")).otherwise(0.0)).alias(f"texts_{k}")]
+    names = ["n_docs", "n_texts", *[f"{x}_{k}" for k in KINDS for x in ("docs", "texts")]]
+    whole = written(weighed.agg(*counts)).select(*[F.col(c).alias(f"all_{c}") for c in names])
+    per = _terms(weighed, ["one", *[f"has_{k}" for k in KINDS]]).groupBy("term").agg(*counts)
+    some = per.where(" or ".join(f"docs_{k} > 0" for k in KINDS)).join(F.broadcast(whole), F.lit(True))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), *[F.col(f"{p}{x}_{k}").alias(f"{p}{x}") for p in ("", "all_") for x in ("docs", "texts")]) for k in KINDS]))
+    scored = some.select("term", "n_docs", "n_texts", "all_n_docs", "all_n_texts", each.alias("x")).select("*", "x.*").where("docs > 0 and all_docs < all_n_docs")
+    info = F.log2(F.col("all_n_docs") / F.col("all_docs"))
+    pmi = F.log2(F.col("docs") * F.col("all_n_docs") / (F.col("n_docs") * F.col("all_docs")))
+    # Shares of distinct texts; sums of 1/copies are whole numbers but for rounding.
+    p, share = F.col("all_texts") / F.col("all_n_texts"), F.least(F.col("texts") / F.col("n_texts"), F.lit(1.0))
+    rest = F.when(F.round("texts") < F.round("n_texts"), (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
+    unlikely = (share > p) & (F.col("n_texts") * (share * F.log(share / p) + rest) >= -F.log(F.lit(significance)) - 1e-9)
+    return scored.where(unlikely).select("term", "kind", F.round("n_texts").cast("long").alias("n_texts"), (pmi / info).alias("disclosed")).where(F.col("disclosed") > disclosure)
+
+
+def _term_spans() -> Column:
+    """Spans of every occurrence of the row's `terms` in its masked text."""
+    found, pieces = F.regexp_extract_all("masked", F.lit(MASKED_TERM), F.lit(0)), F.split("masked", MASKED_TERM, -1)
+    none = F.array().cast(SPANS)
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["0"])
+        end = start + F.length(x["1"])
+        row = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind_no"), end.alias("end"), F.lit("term").alias("kind"), F.lower(x["1"]).alias("match"))
+        return F.struct(end.alias("at"), F.when(F.array_contains("terms", F.lower(x["1"])), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+
+    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("0"), found.alias("1"))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+
+def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE) -> DataFrame:
+    """base_spans() with `spans`, the base spans and those of every disclosing term.
+
+    A span of kind term never overlaps a base span. Rows without spans have an
+    empty body. Empty tables give no rows.
     """
-    found = base_spans(docs, doc_id=doc_id, text=text).withColumn("page", F.xxhash64("body"))
-    pages = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("page", F.xxhash64("body"))
-    slim = written(found.withColumn("has", F.size("base") > 0).withColumn("body", F.when(F.col("has"), F.col("body"))))
-    near = written(_near_terms(slim.where("has"), window))
-    risky = written(disclosing_terms(pages, near, min_support=min_support, disclosure=disclosure))
-    risky = risky.groupBy("term").agg(F.collect_set("kind").alias("kinds"))
-
-    exploded = near.select("page", F.explode_outer("near").alias("x")).where("x is not null").select("page", "x.*").distinct()
-    flagged = exploded.join(risky, "term").where(F.array_contains("kinds", F.col("kind")))
-    extra = flagged.groupBy("page").agg(
-        F.sort_array(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", F.lit("term").alias("kind"), F.col("term").alias("match")))).alias("extra")
-    )
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,match:string>>")
-    with_terms = near.join(extra, "page", "left").withColumn("spans", F.sort_array(F.concat("base", F.coalesce("extra", none))))
+    found = written(base_spans(docs, doc_id=doc_id, text=text).withColumn("page", F.xxhash64("body")))
+    risky = written(disclosing_terms(found, disclosure=disclosure, significance=significance).select("term").distinct())
+    risky = F.broadcast(risky) if risky.count() <= BROADCAST_TERMS else risky
+    flagged = _terms(found, ["page"]).join(risky, "term").groupBy("page").agg(F.collect_set("term").alias("terms"))
+    marked = _with_mask(found.join(flagged, "page", "left"))
+    extra = F.when(F.col("terms").isNotNull(), _term_spans()).otherwise(F.array().cast(SPANS))
     names = ["doc", *[f"n_{k}" for k in KINDS], "base"]
-    return with_terms.select(*names, "spans", "body").unionByName(slim.where("not has").select(*names, F.col("base").alias("spans"), F.lit("").alias("body")))
+    spanned = marked.select(*names, F.sort_array(F.concat("base", extra)).alias("spans"), "body")
+    return spanned.withColumn("body", F.when(F.size("spans") > 0, F.col("body")).otherwise(F.lit("")))
 
 
 def sanitised(found: DataFrame) -> DataFrame:

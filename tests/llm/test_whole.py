@@ -1,6 +1,6 @@
 """Tests that operators leave out nothing of their job."""
 
-from millrace.llm import near_dups
+from millrace.llm import near_dups, pii
 
 
 def test_one_per_class_with_null_and_repeated_ids(spark):
@@ -9,3 +9,22 @@ def test_one_per_class_with_null_and_repeated_ids(spark):
     kept = near_dups.keep_one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (8, texts[5] + " tail"), (None, None)]
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
+def test_terms_disclose_over_whole_documents_and_go_everywhere(spark):
+    filler = "one two three four five six seven eight nine ten"
+    rows = [(i, f"{filler} plain{i}") for i in range(60)]
+    rows += [(100 + i, f"Orlok {filler} mail a{i}@x.org {filler}") for i in range(8)]
+    rows += [(200, f"Once {filler} call +1 555 010 9999"), (300, f"{filler} ORLOK and orlok again")]
+    out = {r.doc: r for r in pii.sanitised(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    # Far from the entity, and in a document without one.
+    assert out[103].clean == f" {filler} mail <EMAIL> {filler}".replace("mail", "")
+    assert out[300].clean == f"{filler}  and  again" and [(s.start, s.end, s.kind) for s in out[300].spans] == [(49, 54, "term"), (59, 64, "term")]
+    # A single text, but of an entity kind in 1 of 70 documents.
+    assert out[200].clean == f" {filler}  <PHONE>"
+    assert out[3].clean is None and not out[3].spans
+
+
+def test_a_term_of_few_texts_needs_a_rare_entity(spark):
+    rows = [(i, f"common w{i} a{i}@x.org" if i % 2 else "common") for i in range(40)] + [(99, "common w1 a1@x.org")] * 30
+    assert not [s for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans if s.kind == "term"]
