@@ -1,9 +1,11 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens (stems of words) get log-odds between toxic and clean labelled documents under a
+Tokens (words, and letter prefixes of words as stems) get log-odds between toxic and clean labelled documents under a
 Dirichlet prior that is proportional to their frequency in both (so rare tokens
 are shrunk), and a z-score; tokens with a significant excess in toxic documents
-form the lexicon. Inside a toxic passage a share `DENSITY` of the tokens is
+form the lexicon. A word that training has seen has its own score, whatever
+that of its stem; a stem only scores words never seen, the longest one seen
+first. Inside a toxic passage a share `DENSITY` of the tokens is
 taken to come from it. A token's score is the log ratio of its probability in
 such a passage to that in clean text: positive for the lexicon, negative for
 everything else, so that segment sums follow extreme-value theory.
@@ -34,14 +36,12 @@ DENSITY = 0.25
 #: Weight of the prior, as a share of all tokens counted.
 PRIOR = 0.1
 MIN_Z = 4.0
-#: Size of the lexicon, the most significant tokens first; it bounds the model.
-MAX_LEXICON = 20_000
 #: A passage is reported where so many like it are expected in a clean document at most.
 MAX_EXPECTED = 0.01
 MAX_EXCESS = 60.0
 #: Labels (16 bytes a row) are broadcast up to this count; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
-#: A word counts by its first letters, of two lengths; shorter words are whole.
+#: Letters of the prefixes (written with a star) that score words unseen in training.
 STEMS = (5, 7)
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -84,11 +84,19 @@ def maximal_segments(positions: list[int], gains: list[float], neutral: float) -
     return [(a, b, right - left) for a, b, left, right in kept]
 
 
+def gain(word: str, scores: dict[str, float]) -> float:
+    """The score of the word, or where it has no entry that of its longest stem with one."""
+    s = scores.get(word)
+    for k in reversed(STEMS):
+        if s is None and len(word) > k:
+            s = scores.get(word[:k] + "*")
+    return s or 0.0
+
+
 def scan(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
     """Tokens and all maximal segments of a text."""
     tokens = _TOKEN.findall((text or "").lower())
-    get, (short, long) = model.scores.get, STEMS
-    hits = [(i, s) for i, t in enumerate(tokens) if (s := get(t[:long], 0.0) or get(t[:short], 0.0))]
+    hits = [(i, s) for i, t in enumerate(tokens) if (s := gain(t, model.scores))]
     if not hits:
         return len(tokens), []
     return len(tokens), maximal_segments([i for i, _ in hits], [s for _, s in hits], model.neutral)
@@ -106,8 +114,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
-def _stems(word: str, k: int) -> Column:
-    return F.transform(word, lambda x: F.substring(x, 1, k))
+def _stems(words_: str, k: int) -> Column:
+    return F.transform(F.filter(words_, lambda x: F.length(x) > k), lambda x: F.concat(F.substring(x, 1, k), F.lit("*")))
 
 
 def fit_lexicon(train: DataFrame) -> tuple[dict[str, float], float]:
@@ -115,23 +123,37 @@ def fit_lexicon(train: DataFrame) -> tuple[dict[str, float], float]:
 
     train has (text, label). Counts are taken over all of it, a token once per
     distinct line: neither a text that repeats a word nor a group of copies and
-    near copies can make a word look typical. Only the bounded lexicon comes to
-    the driver.
+    near copies can make a word look typical. Words and each length of stem are
+    counted apart. All significant tokens come to the driver, and a score of 0
+    for each seen word (or stem) that isn't one but has a stem that is.
     """
     once = train.select("label", F.explode_outer(F.split("text", "\n")).alias("line")).distinct()
-    tokens = once.select("label", words(F.col("line")).alias("w")).select("label", F.explode_outer(F.array_distinct(F.concat(*[_stems("w", k) for k in STEMS]))).alias("token")).where(F.col("token").isNotNull())
+    tokens = once.select("label", words(F.col("line")).alias("w")).select("label", F.explode_outer(F.array_distinct(F.concat("w", *[_stems("w", k) for k in STEMS]))).alias("token")).where(F.col("token").isNotNull())
     counts = written(tokens.groupBy("token").agg(F.sum((F.col("label") == 1).cast("double")).alias("t"), F.sum((F.col("label") != 1).cast("double")).alias("c")))
-    total_t, total_c = counts.agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.coalesce(F.sum("c"), F.lit(0.0))).first()
-    if not total_t or not total_c:
+    level = F.when(F.endswith("token", F.lit("*")), F.length("token") - 1).otherwise(0)
+    counts = counts.withColumn("level", level)
+    totals = {r.level: r for r in counts.groupBy("level").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()}
+    if 0 not in totals or not totals[0].t or not totals[0].c:
         return {}, math.log(1 - DENSITY)
+    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("level"))
+    total_t, total_c = of({k: r.t for k, r in totals.items()}), of({k: r.c for k, r in totals.items()})
     weight = PRIOR * (total_t + total_c)
     prior = (F.col("t") + F.col("c")) * PRIOR
     t, c = F.col("t") + prior, F.col("c") + prior
-    odds = F.log(t / (total_t + weight - t)) - F.log(c / (total_c + weight - c))
-    top = counts.select("token", (t / (total_t + weight)).alias("pt"), (c / (total_c + weight)).alias("pc"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
-    rows = top.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "token").limit(MAX_LEXICON).collect()
-    mass, clean = sum(r.pt for r in rows), sum(r.pc for r in rows)
-    scores = {r.token: s for r in rows if (s := math.log(DENSITY * r.pt / mass / r.pc)) > 0}
+    rest = lambda x: F.greatest(x, F.lit(1e-9))  # a level may have one token only
+    odds = F.log(t / rest(total_t + weight - t)) - F.log(c / rest(total_c + weight - c))
+    scored = counts.select("token", "level", (t / (total_t + weight)).alias("pt"), (c / (total_c + weight)).alias("pc"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
+    top = scored.where(F.col("z") >= MIN_Z)
+    sums = {r.level: r for r in top.groupBy("level").agg(F.sum("pt").alias("mass"), F.sum("pc").alias("clean")).collect()}
+    if not sums:
+        return {}, math.log(1 - DENSITY)
+    own = F.log(DENSITY * F.col("pt") / of({k: r.mass for k, r in sums.items()}) / F.col("pc"))
+    positive = written(top.select("token", own.alias("score")).where("score > 0"))
+    heads = F.array(*[F.concat(F.substring("token", 1, k), F.lit("*")) for k in STEMS])
+    backed = scored.select("token", F.explode(heads).alias("head")).where("token <> head")
+    zero = backed.join(positive.select(F.col("token").alias("head")), "head", "left_semi").select("token").distinct().join(positive, "token", "left_anti")
+    scores = {r.token: 0.0 for r in zero.collect()} | {r.token: r.score for r in positive.collect()}
+    clean = sums[0].clean if 0 in sums else 0.0
     return scores, math.log((1 - DENSITY) / max(1 - clean, 1e-9))
 
 
@@ -141,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: C
     train = written(train.where(~held_out) if held_out is not None else train)
     scores, neutral = fit_lexicon(train)
     rough = Model(scores, neutral, 1.0, 1.0, 0.0)
-    floor = min(scores.values(), default=1.0)
+    floor = min((s for s in scores.values() if s > 0), default=1.0)
 
     def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
