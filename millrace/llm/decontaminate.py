@@ -1,4 +1,4 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: MinHash containment search.
 
 A test item is short, a document may be long, so Jaccard similarity says
 little. MinHash is therefore used for containment: the element of an item's
@@ -6,10 +6,10 @@ shingle set that minimises a hash function is a uniform sample of that set, so
 the share of functions whose minimiser lies in a document estimates how much of
 the item the document contains, whatever the document's length.
 
-Items are partitioned by size (powers of two of their distinct shingles). A
-partition sets how many functions are drawn and how many must hit, and its
-smallest item bounds the documents that can contain any of its items from
-below. Candidates are verified by exact containment of shingle texts.
+One setting serves items of all sizes: the chance of a miss depends on the
+number of functions and needed hits, not on an item's size, and each item
+bounds the documents that can contain it by its own size. Candidates are
+verified by exact containment of shingle texts.
 
 Everything here is DataFrame operations. The probe table has at most
 `max_functions` rows per item; whether it is broadcast is left to Spark's size
