@@ -26,6 +26,8 @@ digits or letters costs linear time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,10 @@ SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,match:string>>"
 DISCLOSURE = 0.8
 #: Chance at most that a term which is independent of an entity shows such a share of it.
 SIGNIFICANCE = 0.05
-#: Risky terms are broadcast up to this count; beyond it the join shuffles, with the same result.
+#: Risky terms of three texts or more are broadcast up to this count; beyond it the join shuffles, with the same result.
 BROADCAST_TERMS = 500_000
+#: Items that are scanned together; it only sets the speed.
+CHUNK = 32
 #: Stands for every character of a base span while terms are cut out.
 MASK = "\ue000"
 MASKED_TERM = r"[\p{L}\p{N}\x{E000}]+"
@@ -78,26 +82,71 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, kind: str) -> Column:
-    """array<struct<start, end, text>> of every match, in code points, valid or not.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """A non-empty array in pieces of CHUNK."""
+    count = lambda x: F.floor((F.size(x) - 1) / CHUNK).cast("int")
+    return _let(items, lambda x: F.transform(F.sequence(F.lit(0), count(x)), lambda i: F.slice(x, i * CHUNK + 1, F.lit(CHUNK))))
+
+
+def _running(items: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """array<struct<before, item>>: each item with its predecessors' values, joined.
+
+    In two levels, chunks and the items of a chunk, so that an array of n takes
+    about n CHUNK / 2 steps and never n^2: no array or text grows by appending.
+    """
+
+    def per_chunk(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda acc, x: join(acc, value(x))))
+        inside = lambda c, start: F.transform(c, lambda x, j: F.struct(F.aggregate(F.slice(c, F.lit(1), j), start, lambda acc, y: join(acc, value(y))).alias("before"), x.alias("item")))
+        return _let(totals, lambda t: F.flatten(F.transform(chunks, lambda c, i: _let(F.aggregate(F.slice(t, F.lit(1), i), zero, join), lambda start: inside(c, start)))))
+
+    return _let(_chunks(items), per_chunk)
+
+
+def _positions(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, match>> of every match in code points; null where there is none.
 
     The pieces between matches and the matches alternate, so positions are
     running sums of their lengths.
     """
-    pattern = PATTERNS[kind]
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        row = F.struct(start.alias("start"), end.alias("end"), x["1"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def placed(found: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("match"))
+        sums = _running(pairs, lambda x: F.length(x["piece"]) + F.length(x["match"]), lambda a, b: a + b, F.lit(0))
+        start = lambda r: r["before"] + F.length(r["item"]["piece"])
+        return F.transform(sums, lambda r: F.struct(start(r).alias("start"), (start(r) + F.length(r["item"]["match"])).alias("end"), r["item"]["match"].alias("match")))
+
+    return _let(found, lambda x: F.when(F.size(x) > 0, placed(x)))
 
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("0"), found.alias("1"))
-    located = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+
+def _located(text: Column, kind: str) -> Column:
+    """array<struct<start, end, match>> of every match, valid or not."""
+    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
     may = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
-    return F.when(may & (F.size(found) > 0), located).otherwise(empty)
+    return F.coalesce(F.when(may, _positions(text, PATTERNS[kind])), empty)
+
+
+def _rewritten(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """The text with each of the spans, in order of start, as put(span, reach); reach is the end of those before.
+
+    Text is cut by chunks of spans first, so that a piece is not looked for
+    from the text's first letter.
+    """
+
+    def chunk(c: Column) -> Column:
+        low, high = c[0]["before"], F.array_max(F.transform(c, lambda r: F.greatest(r["before"], r["item"]["end"])))
+        own = lambda r, cut: F.concat(F.substring(cut, r["before"] - low + 1, F.greatest(r["item"]["start"] - r["before"], F.lit(0))), put(r["item"], r["before"]))
+        return _let(F.substring(text, low + 1, high - low), lambda cut: F.array_join(F.transform(c, lambda r: own(r, cut)), ""))
+
+    reached = _running(spans, lambda x: x["end"], lambda a, b: F.greatest(a, b), F.lit(0))
+    body = F.array_join(F.transform(_chunks(reached), chunk), "")
+    return F.when(F.size(spans) > 0, F.concat(body, F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(text)))).otherwise(text)
 
 
 def _checked(no: int, kind: str) -> Column:
@@ -111,24 +160,22 @@ def base_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     base is array<struct<start, kind_no, end, kind, match>> in order of start,
     then of kind. Null texts count as empty. Rows that are repeated are kept.
     """
-    df = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    df = df.select("*", *[_located(F.col("body"), k).alias(f"all_{k}") for k in KINDS])
-    for no, kind in enumerate(KINDS):
-        df = df.withColumn(kind, _checked(no, kind))
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return df.select("doc", "body", *counts, F.sort_array(F.concat(*[F.col(k) for k in KINDS])).alias("base"))
+    return _with_base(docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")))
 
 
-def _masked() -> Column:
-    """The body with its base spans as runs of MASK; positions stay. A term that touches one holds MASK."""
+def _with_base(df: DataFrame) -> DataFrame:
+    """df with n_ columns and base from its body."""
+    names = df.columns
+    df = df.select("*", *[_located(F.col("body"), k).alias(f"all_{k}") for k in KINDS])
+    df = df.select(*names, *[_checked(no, k).alias(k) for no, k in enumerate(KINDS)])
+    return df.select(*names, *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sort_array(F.concat(*[F.col(k) for k in KINDS])).alias("base"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = F.greatest(acc["at"], x["start"])
-        piece = F.concat(F.substring(F.col("plain"), acc["at"] + 1, at - acc["at"]), F.repeat(F.lit(MASK), F.greatest(x["end"] - at, F.lit(0))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    cut = F.aggregate("base", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("plain"), acc["at"] + 1, F.length("plain"))))
-    return F.when(F.size("base") > 0, cut).otherwise(F.col("plain"))
+def _with_mask(spans: DataFrame) -> DataFrame:
+    """spans with `masked`, the body with its base spans as runs of MASK; positions stay. A term that touches one holds MASK."""
+    hide = lambda x, reach: F.repeat(F.lit(MASK), F.greatest(x["end"] - F.greatest(x["start"], reach), F.lit(0)))
+    plain = spans.withColumn("plain", F.replace("body", F.lit(MASK), F.lit(" ")))
+    return plain.withColumn("masked", _rewritten(F.col("plain"), F.col("base"), hide)).drop("plain")
 
 
 def _terms(spans: DataFrame, keep: list[str]) -> DataFrame:
@@ -138,85 +185,89 @@ def _terms(spans: DataFrame, keep: list[str]) -> DataFrame:
     return rows.where(F.col("term").isNotNull() & ~F.contains("term", F.lit(MASK)))
 
 
-def _with_mask(spans: DataFrame) -> DataFrame:
-    return spans.withColumn("plain", F.replace("body", F.lit(MASK), F.lit(" "))).withColumn("masked", _masked())
-
-
 def disclosing_terms(spans: DataFrame, *, disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE) -> DataFrame:
-    """(term, kind, n_texts, disclosed) of the terms over the threshold.
+    """(term, kind, n_texts, disclosed, first_page, last_page) of the terms over the threshold.
 
-    spans has (page, body, base) of all documents; page identifies a text.
+    spans has (page, body, base) of all documents; page identifies a text, and
+    first_page and last_page are the least and the greatest that hold the term.
     Documents are counted per term and kind in one aggregation.
     """
     copies = written(spans.groupBy("page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     weighed = spans.join(copies, "page", "left").withColumn("one", 1 / F.coalesce("copies", F.lit(1)))
     kinds = F.transform("base", lambda b: b["kind"])
     held = [F.array_contains(kinds, k).alias(f"has_{k}") for k in KINDS]
-    weighed = weighed.select("body", "base", "one", *held)
+    weighed = weighed.select("page", "body", "base", "one", *held)
     counts = [F.count(F.lit(1)).alias("n_docs"), F.sum("one").alias("n_texts")]
     for k in KINDS:
         counts += [F.count_if(f"has_{k}").alias(f"docs_{k}"), F.sum(F.when(F.col(f"has_{k}"), F.col("one")).otherwise(0.0)).alias(f"texts_{k}")]
     names = ["n_docs", "n_texts", *[f"{x}_{k}" for k in KINDS for x in ("docs", "texts")]]
-    whole = written(weighed.agg(*counts)).select(*[F.col(c).alias(f"all_{c}") for c in names])
-    per = _terms(weighed, ["one", *[f"has_{k}" for k in KINDS]]).groupBy("term").agg(*counts)
-    some = per.where(" or ".join(f"docs_{k} > 0" for k in KINDS)).join(F.broadcast(whole), F.lit(True))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), *[F.col(f"{p}{x}_{k}").alias(f"{p}{x}") for p in ("", "all_") for x in ("docs", "texts")]) for k in KINDS]))
-    scored = some.select("term", "n_docs", "n_texts", "all_n_docs", "all_n_texts", each.alias("x")).select("*", "x.*").where("docs > 0 and all_docs < all_n_docs")
-    info = F.log2(F.col("all_n_docs") / F.col("all_docs"))
-    pmi = F.log2(F.col("docs") * F.col("all_n_docs") / (F.col("n_docs") * F.col("all_docs")))
+    whole = weighed.agg(*counts).first()  # one row of numbers
+    if not whole["n_docs"]:
+        whole = dict.fromkeys(names, 0)
+    per = _terms(weighed, ["page", "one", *[f"has_{k}" for k in KINDS]]).groupBy("term").agg(*counts, F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    some = per.where(" or ".join(f"docs_{k} > 0" for k in KINDS))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), *[F.col(f"{x}_{k}").alias(x) for x in ("docs", "texts")], *[F.lit(whole[f"{x}_{k}"]).alias(f"all_{x}") for x in ("docs", "texts")]) for k in KINDS]))
+    scored = some.select("term", "n_docs", "n_texts", "first_page", "last_page", each.alias("x")).select("*", "x.*").where((F.col("docs") > 0) & (F.col("all_docs") < whole["n_docs"]))
+    info = F.log2(whole["n_docs"] / F.col("all_docs"))
+    pmi = F.log2(F.col("docs") * whole["n_docs"] / (F.col("n_docs") * F.col("all_docs")))
     # Shares of distinct texts; sums of 1/copies are whole numbers but for rounding.
-    p, share = F.col("all_texts") / F.col("all_n_texts"), F.least(F.col("texts") / F.col("n_texts"), F.lit(1.0))
+    p, share = F.col("all_texts") / whole["n_texts"], F.least(F.col("texts") / F.col("n_texts"), F.lit(1.0))
     rest = F.when(F.round("texts") < F.round("n_texts"), (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
     unlikely = (share > p) & (F.col("n_texts") * (share * F.log(share / p) + rest) >= -F.log(F.lit(significance)) - 1e-9)
-    return scored.where(unlikely).select("term", "kind", F.round("n_texts").cast("long").alias("n_texts"), (pmi / info).alias("disclosed")).where(F.col("disclosed") > disclosure)
+    found = scored.where(unlikely).select("term", "kind", F.round("n_texts").cast("long").alias("n_texts"), (pmi / info).alias("disclosed"), "first_page", "last_page")
+    return found.where(F.col("disclosed") > disclosure)
 
 
-def _term_spans() -> Column:
-    """Spans of every occurrence of the row's `terms` in its masked text."""
-    found, pieces = F.regexp_extract_all("masked", F.lit(MASKED_TERM), F.lit(0)), F.split("masked", MASKED_TERM, -1)
-    none = F.array().cast(SPANS)
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        row = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind_no"), end.alias("end"), F.lit("term").alias("kind"), F.lower(x["1"]).alias("match"))
-        return F.struct(end.alias("at"), F.when(F.array_contains("terms", F.lower(x["1"])), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+def _flagged(spans: DataFrame, risky: DataFrame) -> DataFrame:
+    """(page, terms): the risky terms that each text holds outside its base spans.
 
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("0"), found.alias("1"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+    A term of one or two texts names them itself, as its first and last page.
+    Only the others are looked for in the texts: they are broadcast up to a
+    counted size, and beyond it the same join shuffles.
+    """
+    rare = risky.where("n_texts <= 2").select(F.explode(F.array_distinct(F.array("first_page", "last_page"))).alias("page"), "term")
+    often = risky.where("n_texts > 2").select("term")
+    often = F.broadcast(often) if often.count() <= BROADCAST_TERMS else often
+    common = _terms(spans, ["page"]).join(often, "term").select("page", "term")
+    return written(rare.unionByName(common).groupBy("page").agg(F.collect_set("term").alias("terms")))
 
 
-def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE) -> DataFrame:
-    """base_spans() with `spans`, the base spans and those of every disclosing term.
+def _term_spans() -> Column:
+    """Spans of every occurrence of the row's `terms` in its masked text.
 
-    A span of kind term never overlaps a base span. Rows without spans have an
-    empty body. Empty tables give no rows.
+    Words and terms are sorted together, terms before equal words: a word is
+    hit where the greatest term so far is the word itself.
     """
-    found = written(base_spans(docs, doc_id=doc_id, text=text).withColumn("page", F.xxhash64("body")))
-    risky = written(disclosing_terms(found, disclosure=disclosure, significance=significance).select("term").distinct())
-    risky = F.broadcast(risky) if risky.count() <= BROADCAST_TERMS else risky
-    flagged = _terms(found, ["page"]).join(risky, "term").groupBy("page").agg(F.collect_set("term").alias("terms"))
-    marked = _with_mask(found.join(flagged, "page", "left"))
-    extra = F.when(F.col("terms").isNotNull(), _term_spans()).otherwise(F.array().cast(SPANS))
-    names = ["doc", *[f"n_{k}" for k in KINDS], "base"]
-    spanned = marked.select(*names, F.sort_array(F.concat("base", extra)).alias("spans"), "body")
-    return spanned.withColumn("body", F.when(F.size("spans") > 0, F.col("body")).otherwise(F.lit("")))
+    words = F.transform(_positions(F.col("masked"), MASKED_TERM), lambda x: F.struct(F.lower(x["match"]).alias("term"), x["start"].alias("start"), x["end"].alias("end")))
+    marks = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(-1).alias("start"), F.lit(-1).alias("end")))
+    placed = _running(F.sort_array(F.concat(marks, words)), lambda x: F.when(x["start"] < 0, x["term"]), lambda a, b: F.greatest(a, b), F.lit(None).cast("string"))
+    hits = F.filter(placed, lambda r: (r["item"]["start"] >= 0) & (r["before"] == r["item"]["term"]))
+    return F.transform(hits, lambda r: F.struct(r["item"]["start"].alias("start"), F.lit(len(KINDS)).alias("kind_no"), r["item"]["end"].alias("end"), F.lit("term").alias("kind"), r["item"]["term"].alias("match")))
 
 
-def sanitised(found: DataFrame) -> DataFrame:
-    """found with `clean`: base spans become <KIND>, number terms <number>, other terms go.
+def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE) -> DataFrame:
+    """base_spans() with `spans`, the base spans and those of every disclosing term.
 
-    Only rows with spans hold their text; the others need no change.
+    A span of kind term never overlaps a base span. Null texts count as empty
+    and have no spans; repeated rows stay; an id may be of any type and null;
+    columns other than the two are not looked at. Very long texts and texts of
+    very many matches take time in proportion. Empty tables give no rows.
     """
+    paged = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("page", F.xxhash64("body"))
+    spans = _with_base(paged.select("page", "body"))
+    terms = written(disclosing_terms(spans, disclosure=disclosure, significance=significance).groupBy("term", "n_texts", "first_page", "last_page").agg(F.max("disclosed").alias("disclosed")))
+    marked = _with_mask(_with_base(paged.join(_flagged(spans, terms), "page", "left")))
+    none = F.array().cast(SPANS)
+    extra = F.when(F.col("terms").isNotNull(), F.coalesce(_term_spans(), none)).otherwise(none)
+    return marked.select("doc", *[f"n_{k}" for k in KINDS], "base", F.sort_array(F.concat("base", extra)).alias("spans"), "body")
 
-    def step(acc: Column, x: Column) -> Column:
-        put = F.when(x["kind"] != "term", F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).when(x["match"].rlike("^[0-9]+$"), F.lit("<number>")).otherwise(F.lit(""))
-        skip = x["start"] < acc["at"]  # inside a span that is already replaced
-        piece = F.concat(F.substring(F.col("body"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), put)
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("body"), acc["at"] + 1, F.length("body"))))
-    return found.withColumn("clean", F.when(F.size("spans") > 0, done))
+def sanitised(found: DataFrame) -> DataFrame:
+    """found with `clean`: base spans become <KIND>, number terms <number>, other terms go; null where there are no spans."""
+    name = lambda x: F.when(x["kind"] != "term", F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).when(x["match"].rlike("^[0-9]+$"), F.lit("<number>")).otherwise(F.lit(""))
+    # A span that starts inside one that is already replaced adds nothing.
+    put = lambda x, reach: F.when(x["start"] < reach, F.lit("")).otherwise(name(x))
+    return found.withColumn("clean", F.when(F.size("spans") > 0, _rewritten(F.col("body"), F.col("spans"), put)))
 
 
 def _joined(spans: str) -> Column:
@@ -224,5 +275,7 @@ def _joined(spans: str) -> Column:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal_data(table(spark, sf_dir, "documents"))
-    return found.select(F.col("doc").alias("doc_id"), *[f"n_{k}" for k in KINDS], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    """Counts and spans of every document, and `clean`, its text with the spans generalised or removed."""
+    found = sanitised(find_personal_data(table(spark, sf_dir, "documents")))
+    n_terms = (F.size("spans") - F.size("base")).cast("long").alias("n_terms")
+    return found.select(F.col("doc").alias("doc_id"), *[f"n_{k}" for k in KINDS], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), n_terms, "clean")
