@@ -1,11 +1,11 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens (words, and letter prefixes of words as stems) get log-odds between toxic and clean labelled documents under a
-Dirichlet prior that is proportional to their frequency in both (so rare tokens
-are shrunk), and a z-score; tokens with a significant excess in toxic documents
-form the lexicon. A word that training has seen has its own score, whatever
-that of its stem; a stem only scores words never seen, the longest one seen
-first. Inside a toxic passage a share `DENSITY` of the tokens is
+Tokens (words, and letter prefixes of words as stems) get log-odds between toxic
+and clean labelled documents under a Dirichlet prior that is proportional to
+their frequency in both (so rare tokens are shrunk), and a z-score; tokens with
+a significant excess in toxic documents form the lexicon. A word that training
+has seen too seldom is smoothed towards its stem by count; a word never seen
+takes the score of its longest stem. Inside a toxic passage a share `DENSITY` of the tokens is
 taken to come from it. A token's score is the log ratio of its probability in
 such a passage to that in clean text: positive for the lexicon, negative for
 everything else, so that segment sums follow extreme-value theory.
@@ -38,11 +38,12 @@ PRIOR = 0.1
 MIN_Z = 4.0
 #: A passage is reported where so many like it are expected in a clean document at most.
 MAX_EXPECTED = 0.01
-MAX_EXCESS = 60.0
-#: Labels (16 bytes a row) are broadcast up to this count; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
-#: Letters of the prefixes (written with a star) that score words unseen in training.
+#: The model is fitted on about so many labelled rows at most, those of least hashed id; it bounds labels sent to tasks and the lexicon.
+MAX_SAMPLE = 200_000
+#: Letters of the prefixes (written with a star) that stand in for words of little evidence.
 STEMS = (5, 7)
+#: A word without significance of its own leans on its stem as much as on so many occurrences.
+BACK_OFF = 2.0
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -58,30 +59,33 @@ class Model(NamedTuple):
     offset: float
 
 
-def maximal_segments(positions: list[int], gains: list[float], neutral: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last token, score), in one pass.
+def maximal_segments(positions: list[int], gains: list[float], neutral: float, steps: list[int] | None = None) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last token, score), in linear time.
 
     positions and gains are those of lexicon tokens; all tokens between score
-    `neutral`. Candidates are kept with the running sum before and after them;
-    a new one is merged with the latest candidate whose left sum is lower, as
-    long as its right sum isn't higher.
+    `neutral`. Candidates are kept with the running sums before and after them
+    and a link to the nearest candidate to the left whose left sum is lower. A
+    new candidate joins that one as long as its right sum isn't higher. Links
+    skip all candidates between, so each is passed over once. steps, where
+    given, counts the links followed.
     """
-    kept: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
-    total, last = 0.0, -1
+    kept: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, link
+    total, last, followed = 0.0, -1, 0
     for at, gain in zip(positions, gains, strict=True):
         total += neutral * (at - last - 1)
         first, before, after = at, total, total + gain
         total, last = after, at
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= before:
-                j -= 1
-            if j < 0 or kept[j][3] >= after:
-                kept.append((first, at, before, after))
-                break
-            first, before = kept[j][0], kept[j][2]
-            del kept[j:]
-    return [(a, b, right - left) for a, b, left, right in kept]
+        link = len(kept) - 1
+        while link >= 0 and kept[link][2] >= before:
+            link, followed = kept[link][4], followed + 1
+        while link >= 0 and kept[link][3] < after:
+            first, _, before, _, lower = kept[link]
+            del kept[link:]
+            link, followed = lower, followed + 1
+        kept.append((first, at, before, after, link))
+    if steps is not None:
+        steps.append(followed)
+    return [(a, b, right - left) for a, b, left, right, _ in kept]
 
 
 def gain(word: str, scores: dict[str, float]) -> float:
@@ -105,13 +109,30 @@ def scan(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, floa
 def _excess(scores: list[float], n: int, k: float) -> float:
     """Sum of the segments' scores, each above the best that n clean tokens are expected to give."""
     chance = max(0.0, math.log(k * max(n, 1)))
-    return min(MAX_EXCESS, sum(max(0.0, s - chance) for s in scores))
+    return sum(max(0.0, s - chance) for s in scores)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    known = written(labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label")))
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def _cell(excess: float) -> float:
+    """The excess in quarter steps up to 16 and beyond in steps of 1/64 of it, so that a table of cells stays short."""
+    step = 0.25 if excess < 16 else 2.0 ** (math.floor(math.log2(excess)) - 6)
+    return round(excess / step) * step
+
+
+def sampled(ids: DataFrame, doc_id: str, most: int) -> DataFrame:
+    """Rows of about `most` ids at most, those whose hash lies in the share that this leaves; one pass, no sort."""
+    n = ids.count()
+    if n <= most:
+        return ids
+    return ids.where(F.shiftrightunsigned(F.xxhash64(doc_id), 11) / 2.0**53 < most / n)
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column | None, most: int) -> DataFrame:
+    """(doc_id, text, label) of the sample; held out ids go before any text is met."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    known = known.where(~held_out) if held_out is not None else known
+    known = written(sampled(known.groupBy("doc_id").agg(F.max(label).alias("label")), "doc_id", most))
+    # At most about MAX_SAMPLE rows of 16 bytes, whatever the tables' size.
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
 def _stems(words_: str, k: int) -> Column:
@@ -142,25 +163,31 @@ def fit_lexicon(train: DataFrame) -> tuple[dict[str, float], float]:
     t, c = F.col("t") + prior, F.col("c") + prior
     rest = lambda x: F.greatest(x, F.lit(1e-9))  # a level may have one token only
     odds = F.log(t / rest(total_t + weight - t)) - F.log(c / rest(total_c + weight - c))
-    scored = counts.select("token", "level", (t / (total_t + weight)).alias("pt"), (c / (total_c + weight)).alias("pc"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
+    scored = counts.select("token", "level", "t", "c", total_t.alias("rest_t"), total_c.alias("rest_c"), (t / (total_t + weight)).alias("pt"), (c / (total_c + weight)).alias("pc"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
     top = scored.where(F.col("z") >= MIN_Z)
     sums = {r.level: r for r in top.groupBy("level").agg(F.sum("pt").alias("mass"), F.sum("pc").alias("clean")).collect()}
     if not sums:
         return {}, math.log(1 - DENSITY)
-    own = F.log(DENSITY * F.col("pt") / of({k: r.mass for k, r in sums.items()}) / F.col("pc"))
-    positive = written(top.select("token", own.alias("score")).where("score > 0"))
-    heads = F.array(*[F.concat(F.substring("token", 1, k), F.lit("*")) for k in STEMS])
-    backed = scored.select("token", F.explode(heads).alias("head")).where("token <> head")
-    zero = backed.join(positive.select(F.col("token").alias("head")), "head", "left_semi").select("token").distinct().join(positive, "token", "left_anti")
-    scores = {r.token: 0.0 for r in zero.collect()} | {r.token: r.score for r in positive.collect()}
+    passage = F.log(DENSITY * F.col("pt") / of({k: r.mass for k, r in sums.items()}) / F.col("pc"))
+    rated = F.log((F.col("t") + 0.5) * F.col("rest_c") / ((F.col("c") + 0.5) * F.col("rest_t")))
+    each = written(scored.select("token", "level", F.col("t") + F.col("c"), rated, F.when((F.col("z") >= MIN_Z) & F.col("level").isin([int(k) for k in sums]), F.greatest(passage, F.lit(0.0)))).toDF("token", "level", "n", "rated", "own"))
+    entries = each.where("own > 0 and level = 5").select("token", F.col("own").alias("score"))
+    for level in (7, 0):
+        head = F.when(F.lit(level == 0) & (F.length("token") > 7), F.substring("token", 1, 7)).when(F.length("token") > 5, F.substring("token", 1, 5))
+        mine = each.where(F.col("level") == level).withColumn("head", F.concat(head, F.lit("*")))
+        trust = F.col("n") / (F.col("n") + BACK_OFF)
+        smooth = F.when(F.col("parent") > 0, F.greatest(F.lit(0.0), (1 - trust) * F.col("parent") + trust * F.col("rated"))).otherwise(F.col("parent"))
+        joined = mine.join(entries.select(F.col("token").alias("head"), F.col("score").alias("parent")), "head", "left")
+        found = joined.select("token", F.coalesce(F.when(F.col("own") > 0, F.col("own")), smooth).alias("score")).where("score is not null")
+        entries = written(entries.unionByName(found))
+    scores = {r.token: r.score for r in entries.collect()}
     clean = sums[0].clean if 0 in sums else 0.0
     return scores, math.log((1 - DENSITY) / max(1 - clean, 1e-9))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: Column | None = None) -> Model:
-    """A model from the labelled rows that aren't held out; without both labels it scores 0.5 at most."""
-    train = _labelled(docs, labels, label)
-    train = written(train.where(~held_out) if held_out is not None else train)
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: Column | None = None, max_sample: int = MAX_SAMPLE) -> Model:
+    """A model from the labelled rows that aren't held out, max_sample of them at most; without both labels it scores 0.5 at most."""
+    train = written(_labelled(docs, labels, label, held_out, max_sample))
     scores, neutral = fit_lexicon(train)
     rough = Model(scores, neutral, 1.0, 1.0, 0.0)
     floor = min((s for s in scores.values() if s > 0), default=1.0)
@@ -177,9 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: C
     def excesses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = [scan(x, rough) for x in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["label"] == 1, "excess": [round(4 * _excess([s for _, _, s in found], n, k)) / 4 for n, found in seen]})
+            yield pd.DataFrame({"toxic": batch["label"] == 1, "excess": [_cell(_excess([s for _, _, s in found], n, k)) for n, found in seen]})
 
-    # Quarter steps up to MAX_EXCESS: a bounded table.
+    # Cells of the excess: a short table.
     cells = train.select("text", "label").mapInPandas(excesses, "toxic boolean, excess double").groupBy("toxic", "excess").agg(F.count(F.lit(1)).alias("rows")).orderBy("toxic", "excess").collect()
     slope, offset = _logistic(*(np.array([float(r[c]) for r in cells]) for c in ("excess", "toxic", "rows")))
     return Model(scores, neutral, k, slope, offset)
