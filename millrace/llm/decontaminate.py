@@ -6,45 +6,77 @@ shingle set that minimises a hash function is a uniform sample of that set, so
 the share of functions whose minimiser lies in a document estimates how much of
 the item the document contains, whatever the document's length.
 
-One setting serves items of all sizes: the chance of a miss depends on the
-number of functions and needed hits, not on an item's size, and each item
-bounds the documents that can contain it by its own size. Candidates are
+Items are partitioned by size. A partition (see SIZES) sets how many functions
+are drawn and how many must hit, and bounds from below the runs of a document
+that can contain one of its items. The smallest items can miss no run at all at
+the threshold, so one function decides; large items draw more functions and
+demand more hits, so that fewer documents need the exact check. Candidates are
 verified by exact containment of shingle texts.
 
-Everything here is DataFrame operations. The probe table has at most
-`max_functions` rows per item; whether it is broadcast is left to Spark's size
-threshold, beyond which the same join shuffles.
+Everything here is DataFrame operations. The probe table has a bounded number
+of rows per item; whether it is broadcast is left to Spark's size threshold,
+beyond which the same join shuffles, and adaptive execution splits a shingle
+that very many documents share. The exact check meets shingles by document and
+shingle, so no shingle and no item gathers its documents in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import explode_shingles, run_hash, run_text, table, words, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Chance of missing an item at the threshold: all of 16 draws but 3 must fail, 2.5e-7.
-MAX_FUNCTIONS = 16
-MIN_HITS = 4
+#: Copies of an item's shingle list that the candidates of a very common item are dealt over.
+SALTS = 16
+
+
+class Size(NamedTuple):
+    """A partition of items: the least number of shingles, functions to draw, hits needed."""
+
+    least: int
+    functions: int
+    hits: int
+
 
+#: Chance that a function hits is 0.8 at the threshold, so the chance to miss an item there is that of fewer hits.
+SIZES = (
+    Size(1, 1, 1),  # up to 3 shingles: all must be there, none is missed
+    Size(4, 9, 1),  # one of 5 may lack: (1/5)^9 = 5e-7
+    Size(8, 12, 2),  # 2e-7
+    Size(32, 16, 4),  # 2.5e-7
+    Size(128, 24, 8),  # 1e-7
+)
 
-def item_probes(items: DataFrame, functions: int = MAX_FUNCTIONS) -> DataFrame:
-    """(item, n_item, size_class, h, weight): minimisers of each item.
 
-    items has (item, words). weight is the number of functions that h minimises.
+def _of_size(n: Column, value: Callable[[Size], int]) -> Column:
+    out = F.lit(value(SIZES[0]))
+    for size in SIZES[1:]:
+        out = F.when(n >= size.least, value(size)).otherwise(out)
+    return out
+
+
+def item_probes(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(item, n_item, h, weight, hits, least_runs): minimisers of each item.
+
+    items has (item, words). weight is the number of functions that h
+    minimises, hits and least_runs are those of the item's size partition.
     """
     shingles = explode_shingles(items, "words", ["item"], SHINGLE).select("item", run_hash(SHINGLE).alias("h")).distinct()
+    most = max(s.functions for s in SIZES)
     signed = shingles.groupBy("item").agg(
         F.count(F.lit(1)).alias("n_item"),
-        F.array(*[F.min_by("h", F.xxhash64(F.lit(j), "h")) for j in range(functions)]).alias("sig"),
-    )
-    return (
-        signed.select("item", "n_item", F.floor(F.log2("n_item")).cast("int").alias("size_class"), F.explode_outer("sig").alias("h"))
-        .groupBy("item", "n_item", "size_class", "h")
-        .agg(F.count(F.lit(1)).alias("weight"))
+        F.array(*[F.min_by("h", F.xxhash64(F.lit(j), "h")) for j in range(most)]).alias("sig"),
     )
+    n = F.col("n_item")
+    drawn = signed.select("item", "n_item", F.explode_outer(F.slice("sig", F.lit(1), _of_size(n, lambda s: s.functions))).alias("h"))
+    counted = drawn.groupBy("item", "n_item", "h").agg(F.count(F.lit(1)).alias("weight"))
+    return counted.select("*", _of_size(n, lambda s: s.hits).alias("hits"), F.ceil(_of_size(n, lambda s: s.least) * F.lit(threshold) - F.lit(1e-9)).alias("least_runs"))
 
 
 def contained_items(
@@ -65,7 +97,7 @@ def contained_items(
     any length are read whole. A null id is an id like any other.
     """
     item_words = written(items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("words")).distinct())
-    probes = written(item_probes(item_words))
+    probes = written(item_probes(item_words, threshold))
     least = F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9))
 
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
@@ -74,31 +106,29 @@ def contained_items(
         explode_shingles(worded, "w", ["doc", "text_hash"], SHINGLE)
         .select("doc", "text_hash", "n_runs", run_hash(SHINGLE).alias("h"))
         .join(probes, "h")
-        .where(F.col("n_runs") >= least)
+        .where((F.col("n_runs") >= F.col("least_runs")) & (F.col("n_runs") >= least))
         .groupBy("doc", "text_hash", "item", "h")
-        .agg(F.max("weight").alias("weight"))
+        .agg(F.max("weight").alias("weight"), F.max("hits").alias("needed"))
         .groupBy("doc", "text_hash", "item")
-        .agg(F.sum("weight").alias("hits"))
-        .where(F.col("hits") >= MIN_HITS)
-        .groupBy("doc", "text_hash")
-        .agg(F.collect_set("item").alias("items"))
+        .agg(F.sum("weight").alias("found"), F.max("needed").alias("needed"))
+        .where(F.col("found") >= F.col("needed"))
+        .select("doc", "text_hash", "item")
     )
 
+    # Every candidate's wanted shingles meet those of its document, by document and shingle.
     shingles = explode_shingles(item_words, "words", ["item"], SHINGLE).select("item", run_text(SHINGLE).alias("shingle")).distinct()
-    sizes = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    found = base.alias("b").join(candidates.alias("c"), F.col("b.doc").eqNullSafe(F.col("c.doc")) & (F.col("b.text_hash") == F.col("c.text_hash")))
-    found = found.select(F.col("b.doc").alias("doc"), F.col("b.text_hash").alias("text_hash"), "items", words(F.col("body")).alias("w"))
-    return (
-        explode_shingles(found, "w", ["doc", "text_hash", "items"], SHINGLE)
-        .select("doc", "text_hash", "items", run_text(SHINGLE).alias("shingle"))
-        .join(written(shingles.join(sizes, "item")), "shingle")
-        .where(F.array_contains("items", F.col("item")))
-        .select("doc", "text_hash", "item", "n_item", "shingle")
-        .distinct()
-        .groupBy("doc", "text_hash", "item", "n_item")
-        .agg(F.count(F.lit(1)).alias("n_common"))
-        .where(F.col("n_common") >= least)
-    )
+    per_item = written(shingles.groupBy("item").agg(F.collect_list("shingle").alias("shingles")))
+    salted = per_item.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = candidates.withColumn("salt", F.pmod(F.xxhash64("doc", "text_hash"), F.lit(SALTS)).cast("int"))
+    same_item = dealt["item"].eqNullSafe(salted["item"]) & (dealt["salt"] == salted["salt"])
+    wanted = dealt.join(salted, same_item).select("doc", "text_hash", dealt["item"], F.size("shingles").cast("long").alias("n_item"), F.explode("shingles").alias("shingle"))
+
+    ids = candidates.select(F.col("doc").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    held = worded.join(ids, worded["doc"].eqNullSafe(F.col("_d")) & (worded["text_hash"] == F.col("_t")), "left_semi")
+    held = explode_shingles(held, "w", ["doc", "text_hash"], SHINGLE).select(F.col("doc").alias("_d"), F.col("text_hash").alias("_t"), run_text(SHINGLE).alias("_s")).distinct()
+    match = wanted["doc"].eqNullSafe(F.col("_d")) & (wanted["text_hash"] == F.col("_t")) & (wanted["shingle"] == F.col("_s"))
+    common = wanted.join(held, match).groupBy("doc", "text_hash", "item", "n_item").agg(F.count(F.lit(1)).alias("n_common"))
+    return common.where(F.col("n_common") >= least)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
