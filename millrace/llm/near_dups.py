@@ -13,16 +13,23 @@ Signatures are cut into bands; documents that share a band are candidates.
 Every candidate link is verified by the exact similarity of shingle sets. No
 step emits all pairs of a group of copies:
 
-1. Equal texts are one class before anything is hashed twice.
+1. Equal texts are one class; a task signs a text once, however often it meets it.
 2. A band's bucket is a star: members are compared with two representatives.
 3. Where a bucket still holds several components, its remaining members are
-   compared tile by tile inside tasks, and only true links leave a task.
+   compared tile by tile inside tasks, and only true links leave a task. Members
+   are dealt by total weight first: those whose weights differ by more than the
+   threshold allows can't be similar and never meet.
 
 Classes are the connected components of the links.
+
+Weights are 1 a shingle (`set`, the default: similarity of shingle sets) or its
+number of occurrences (`count`: weighted similarity of shingle bags). Signatures
+and the exact check use the same ones.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +50,9 @@ MOST = 8.0
 #: Documents whose signatures are computed together.
 TOGETHER = 64
 TILE = 256
+#: Signed texts that a Python worker remembers.
+REMEMBER = 20_000
+WEIGHTS = ("set", "count")
 _U = np.uint64
 
 
@@ -68,17 +78,24 @@ def _poisson(u: np.ndarray, mean: float) -> np.ndarray:
     return np.searchsorted(table_, u, side="right")
 
 
-def word_shingles(word_hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of runs of n words; fewer words are one run."""
+def word_shingles(word_hashes: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of runs of n words, and how often each occurs; fewer words are one run."""
     w = word_hashes.view(np.uint64) if word_hashes.dtype == np.int64 else word_hashes
     if not len(w):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0)
     n = min(n, len(w))
     with np.errstate(over="ignore"):
         h = np.full(len(w) - n + 1, n, np.uint64)
         for k in range(n):
             h = _mix(h * _U(0x9E3779B97F4A7C15) + w[k : len(w) - n + 1 + k])
-    return np.unique(h)
+    found, counts = np.unique(h, return_counts=True)
+    return found, counts.astype(np.float64)
+
+
+def weighted(word_hashes: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingles and their weights."""
+    found, counts = word_shingles(word_hashes)
+    return found, counts if weights == "count" else np.ones(len(found))
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n_docs: int, coordinates: int) -> np.ndarray:
@@ -151,42 +168,52 @@ def _lists(column: pa.ChunkedArray | pa.Array) -> Iterator[np.ndarray]:
         yield values[a:b]
 
 
-def banded(texts: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, id, bands) from (key, id, w), w the hashes of a text's words; texts without words get none."""
+def banded(texts: DataFrame, *, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+    """(key, id, total, bands) from (key, id, w), w the hashes of a text's words.
+
+    total is the sum of the weights; texts without words get no bands. key
+    identifies the text.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[float, np.ndarray]] = {}
         for batch in batches:
-            found = []
-            sets = [word_shingles(w) for w in _lists(batch.column(2))]
-            for at in range(0, len(sets), TOGETHER):
-                some = sets[at : at + TOGETHER]
-                elements, owner = np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some])
-                signed = dart_signatures(elements, np.ones(len(elements)), owner, len(some), bands * rows)
-                found += [band_hashes(sig, bands, rows) if len(x) else np.empty(0, np.int64) for sig, x in zip(signed, some, strict=True)]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["key", "id", "bands"])
-
-    return texts.mapInArrow(sign, "key string, id long, bands array<bigint>")
-
-
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Common elements of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
-
-
-def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    both = _shared(a, b)
-    return both >= threshold * (len(a) + len(b) - both) - 1e-9
-
-
-def star_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+            keys = batch.column(0).to_pylist()
+            if len(known) > REMEMBER:
+                known.clear()
+            fresh = dict.fromkeys(k for k in keys if k not in known)
+            words_ = {k: w for k, w in zip(keys, _lists(batch.column(2)), strict=True) if k in fresh}
+            todo = list(words_)
+            for at in range(0, len(todo), TOGETHER):
+                names = todo[at : at + TOGETHER]
+                some = [weighted(words_[k], weights) for k in names]
+                elements, sizes = np.concatenate([e for e, _ in some]), np.concatenate([w for _, w in some])
+                owner = np.repeat(np.arange(len(some)), [len(e) for e, _ in some])
+                signed = dart_signatures(elements, sizes, owner, len(some), bands * rows)
+                for k, sig, (e, w) in zip(names, signed, some, strict=True):
+                    known[k] = (float(w.sum()), band_hashes(sig, bands, rows) if len(e) else np.empty(0, np.int64))
+            found = [known[k] for k in keys]
+            ends = np.cumsum([0, *(len(x) for _, x in found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *(x for _, x in found)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.float64()), lists], names=["key", "id", "total", "bands"])
+
+    return texts.select("key", "id", "w").mapInArrow(sign, f"key string, id {kind}, total double, bands array<bigint>")
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two sorted weighted sets."""
+    (x, wx), (y, wy) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    if not len(x):
+        return 0.0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    same = y[at] == x
+    both = float(np.minimum(wx[same], wy[at[same]]).sum())
+    return both / (wx.sum() + wy.sum() - both)
+
+
+def star_links(members: DataFrame, sets: DataFrame, threshold: float, weights: str = "set") -> DataFrame:
     """True links (a, b) between each bucket's members and its two representatives.
 
     members has (bucket, id); sets (id, w). The representatives are those of
@@ -199,43 +226,58 @@ def star_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [_similar(word_shingles(x), word_shingles(y), threshold) for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
+            ok = [similarity(weighted(x, weights), weighted(y, weights)) >= threshold - 1e-9 for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
-def tile_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def tile_links(members: DataFrame, sets: DataFrame, threshold: float, weights: str = "set") -> DataFrame:
     """Components (a, b) that a true link between members of one bucket joins.
 
-    members has (bucket, id, comp). A bucket is dealt into blocks of about TILE
-    members, and each pair of blocks is a task's group of its own, so that
-    memory stays bounded. Only buckets that the stars left in several parts
-    come here.
+    members has (bucket, id, comp, total). Only buckets that the stars left in
+    several parts come here. Their members are dealt into classes of total
+    weight, each 1/threshold times the one before, so that a similar pair is of
+    one class or of neighbours, and classes into blocks of about TILE members.
+    A pair of blocks is a task's group of its own, so that memory stays bounded.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("comp").alias("n_comp")).where("n_comp > 1 and n > 2")
-    open_ = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiled = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp").join(sets, "id")
+    wide = -math.log(threshold)
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("comp").alias("n_comp")).where("n_comp > 1 and n > 2").select("bucket")
+    open_ = members.join(sizes, "bucket").withColumn("cls", F.floor(F.log("total") / F.lit(wide)).cast("int"))
+    per = open_.groupBy("bucket", "cls").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    down = per.select("bucket", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("below"))
+    up = per.select("bucket", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("above"))
+    plan = per.join(down, ["bucket", "cls"], "left").join(up, ["bucket", "cls"], "left")
+    dealt = open_.join(plan, ["bucket", "cls"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = F.struct(F.col("cls").alias("c"), F.col("block").alias("b"))
+    blocks = lambda n, step: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: F.struct((F.col("cls") + step).alias("c"), k.alias("b")))).otherwise(F.array().cast("array<struct<c:int,b:int>>"))
+    tiled = dealt.withColumn("other", F.explode(F.concat(blocks("below", -1), blocks("blocks", 0), blocks("above", 1))))
+    tiled = tiled.select("bucket", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), own.alias("at"), "id", "comp").join(sets, "id")
+    tiled = tiled.select("bucket", "i", "j", (F.col("at") == F.col("i")).alias("first"), "id", "comp", "w")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets_ = [word_shingles(np.asarray(w)) for w in pdf["w"]]
-        ids, comps, block = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
-        sizes_ = np.array([len(s) for s in sets_])
-        _, code = np.unique(np.concatenate(sets_), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets_)), sizes_)
+        pairs = [weighted(np.asarray(w), weights) for w in pdf["w"]]
+        ids, comps, first = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["first"].to_numpy()
+        totals = np.array([w.sum() for _, w in pairs])
+        lengths = np.array([len(e) for e, _ in pairs])
+        weight = np.concatenate([w for _, w in pairs])
+        _, code = np.unique(np.concatenate([e for e, _ in pairs]), return_inverse=True)
+        owner = np.repeat(np.arange(len(pairs)), lengths)
         order = np.argsort(code, kind="stable")
         starts = np.searchsorted(code[order], np.arange(code.max() + 2))
-        owners, ends = owner[order], np.cumsum(sizes_)
-        same_tile = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        owners, weights_, ends = owner[order], weight[order], np.cumsum(lengths)
+        one_block = bool(first.all())
         found = []
-        for x in range(len(sets_)):
-            mine = code[ends[x] - sizes_[x] : ends[x]]
-            spans = [owners[starts[c] : starts[c + 1]] for c in mine]
-            both = np.bincount(np.concatenate(spans), minlength=len(sets_))
-            hit = (both >= threshold * (sizes_[x] + sizes_ - both) - 1e-9) & (ids > ids[x]) & (comps != comps[x])
-            if not same_tile:
-                hit &= block != block[x]
+        for x in range(len(pairs)):
+            if not one_block and not first[x]:
+                continue
+            mine = slice(ends[x] - lengths[x], ends[x])
+            spans = [slice(starts[c], starts[c + 1]) for c in code[mine]]
+            met = np.concatenate([owners[s] for s in spans])
+            least = np.concatenate([np.minimum(weights_[s], w) for s, w in zip(spans, weight[mine], strict=True)])
+            both = np.bincount(met, least, minlength=len(pairs))
+            hit = (both >= (threshold - 1e-9) * (totals[x] + totals - both)) & (comps != comps[x])
+            hit &= ids > ids[x] if one_block else ~first
             found += [(comps[x], y) for y in np.unique(comps[hit])]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -267,33 +309,39 @@ def components(links: DataFrame) -> DataFrame:
     return star.unionByName(star.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
     """(doc, key, comp, class_id) of every row: class_id is the least id of its class.
 
-    key is the text's SHA-256, comp identifies the class (ids may repeat). Null counts as empty; texts without words are
-    linked to equal texts only. A null id stands after all others, and a class
-    of null ids alone has a null class_id; repeated rows stay.
+    key is the text's SHA-256, comp identifies the class (ids may repeat, and
+    be of any type that has an order). Null counts as empty; texts without
+    words are linked to equal texts only; very long texts are read whole. A
+    null id stands after all others, and a class of null ids alone has a null
+    class_id; repeated rows stay. Ties of the least id can't occur, as equal
+    ids are one id. Empty tables give no rows; other columns are not looked at.
     """
+    if weights not in WEIGHTS:
+        raise ValueError(f"weights must be one of {WEIGHTS}")
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc"), F.sha2(body, 256).alias("key"), body.alias("body"))
+    keyed = docs.select(F.col(doc_id).alias("doc"), F.sha2(body, 256).alias("key"), body.alias("body"))
     worded = keyed.select("key", "doc", _word_hashes(F.col("body")).alias("w"))
-    signed = banded(worded.select("key", F.col("doc").alias("id"), "w"), bands=bands, rows=rows)
-    # The group's id is its smallest document; ids are made unique by the text's hash.
-    groups = signed.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
-    groups = written(groups.select("key", "least", F.xxhash64("key").alias("id"), "bands"))
+    signed = banded(worded.select("key", F.col("doc").alias("id"), "w"), bands=bands, rows=rows, weights=weights)
+    groups = signed.groupBy("key").agg(F.min("id").alias("least"), F.first("total").alias("total"), F.first("bands").alias("bands"))
+    # Numbers of a written table: unique, and the same whenever it is read.
+    groups = written(groups.select("key", "least", F.monotonically_increasing_id().alias("id"), "total", "bands"))
 
-    members = groups.select("id", F.explode("bands").alias("bucket"))
+    members = groups.select("id", "total", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = written(members.join(shared, "bucket").select("bucket", "id"))
+    members = written(members.join(shared, "bucket").select("bucket", "id", "total"))
     wanted = members.select("id").distinct()
     first = keyed.join(groups.select("id", F.col("key").alias("k"), F.col("least").alias("l")).join(wanted, "id"), (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("l")))
+    # Repeated rows of one text and id are one set.
     sets = written(first.dropDuplicates(["id"]).select("id", _word_hashes(F.col("body")).alias("w")))
 
-    links = written(star_links(members, sets, threshold))
+    links = written(star_links(members.select("bucket", "id"), sets, threshold, weights))
     comps = written(components(links))
-    marked = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    marked = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"), "total")
     # Only components that a tile joins take part in the second search.
-    wider = components(tile_links(marked, sets, threshold)).select(F.col("id").alias("part"), F.col("comp").alias("whole"))
+    wider = components(tile_links(marked, sets, threshold, weights)).select(F.col("id").alias("part"), F.col("comp").alias("whole"))
     parts = groups.select("key", "least", "id").join(comps, "id", "left").select("key", "least", F.coalesce("comp", "id").alias("part"))
     classed = written(parts.join(wider, "part", "left").select("key", "least", F.coalesce("whole", "part").alias("comp")))
     classes = classed.groupBy("comp").agg(F.min("least").alias("class_id"))
