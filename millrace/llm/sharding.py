@@ -29,6 +29,8 @@ TOLERANCE = 0.01
 LEAST = -(1 << 63)
 #: Rows aimed at in a cell, the unit of the exchange.
 CELL_ROWS = 50_000
+#: A cell is never split for fewer rows than four times these.
+HEAVY_ROWS = 200
 
 
 def _unsigned(k: Column) -> Column:
@@ -124,31 +126,37 @@ def assign_shards(df: DataFrame, *, key: str = "doc_id", text: str = "text", sha
     """df with `shard` (0 to shards-1) and `slot` (gapless from 0 within the shard).
 
     Shards are near equal in bytes: UTF-8 bytes of the text (null: none) plus
-    fixed_bytes a row. Slots follow the order of cells, then of the key. Rows
-    that agree in id and text stay in one shard and take neighbouring slots.
-    Columns of df named shard or slot are replaced.
+    fixed_bytes a row; an empty or very long text is a row like any other, and
+    a row larger than a shard's share stays whole. A null id is an id of its
+    own. Slots follow the order of cells, then of the key, then of a hash of
+    the whole row (columns that can't be hashed left out), so that only rows
+    equal in all columns are interchangeable. Rows that agree in id and text
+    stay in one shard and take neighbouring slots. Columns of df named shard or
+    slot are replaced. Empty tables give no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    keyed = df.select(F.xxhash64(body).alias("k1"), F.xxhash64(F.col(key).cast("string")).alias("k2"), (F.octet_length(body) + fixed_bytes).cast("long").alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_mr_row"))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name in names and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    keyed = df.select(F.xxhash64(body).alias("k1"), F.xxhash64(F.col(key).cast("string")).alias("k2"), (F.octet_length(body) + fixed_bytes).cast("long").alias("size"), F.xxhash64(*hashed).alias("k3"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_mr_row"))
     keys = written(keyed.select("k1", "k2", "size"))
     splitters = find_splitters(keys, shards, tolerance)
     rows = keys.count()
     bits = min(20, max(8, (rows // CELL_ROWS).bit_length()))
 
-    # A cell is a shard's rows of one prefix of k1; heavy ones also take bits of k2.
+    # A cell is a shard's rows of one prefix of k1; heavy ones also take bits of k2, so many that even all rows of one text fall into small cells.
     c1 = F.shiftrightunsigned(_unsigned(F.col("k1")), 64 - bits)
-    heavy = 4 * max(rows / (1 << bits), CELL_ROWS / 16)
-    cells = keys.select(_shard(splitters).alias("shard"), c1.alias("c1"), F.shiftrightunsigned(_unsigned(F.col("k2")), 56).alias("b2")).groupBy("shard", "c1", "b2").agg(F.count(F.lit(1)).alias("n"))
+    b2 = F.shiftrightunsigned(_unsigned(F.col("k2")), 64 - bits)
+    heavy = 4 * max(rows / (1 << bits), HEAVY_ROWS)
+    cells = keys.select(_shard(splitters).alias("shard"), c1.alias("c1"), b2.alias("b2")).groupBy("shard", "c1", "b2").agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("c2", F.when(F.sum("n").over(Window.partitionBy("shard", "c1")) > heavy, F.col("b2")).otherwise(F.lit(-1)))
     cells = cells.groupBy("shard", "c1", "c2").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("c1", "c2")) - F.col("n")
     cells = written(cells.select("shard", "c1", "c2", before.alias("before")))
 
-    placed = keyed.select("k1", "k2", "_mr_row", _shard(splitters).alias("shard"), c1.alias("c1"), F.shiftrightunsigned(_unsigned(F.col("k2")), 56).alias("b2"))
+    placed = keyed.select("k1", "k2", "k3", "_mr_row", _shard(splitters).alias("shard"), c1.alias("c1"), b2.alias("b2"))
     heavy_cells = cells.where("c2 >= 0").select(F.col("shard").alias("hs"), F.col("c1").alias("h1")).distinct()
     placed = placed.join(heavy_cells, (F.col("shard") == F.col("hs")) & (F.col("c1") == F.col("h1")), "left").withColumn("c2", F.when(F.col("h1").isNotNull(), F.col("b2")).otherwise(F.lit(-1)))
-    own = Window.partitionBy("shard", "c1", "c2").orderBy("k1", "k2")
+    own = Window.partitionBy("shard", "c1", "c2").orderBy("k1", "k2", "k3")
     numbered = placed.withColumn("nth", F.row_number().over(own)).join(cells, ["shard", "c1", "c2"])
     return numbered.select("_mr_row.*", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"))
 
