@@ -28,33 +28,35 @@ WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces of a chunk, and words kept encoded in a Python worker; both only bound memory.
 CHUNK = 400_000
 CACHE = 300_000
-#: A word's rows are numbered word * SPAN + position.
-SPAN = 1 << 24
+#: Bytes of words that one statement encodes, and tokens that one statement decodes.
+WORD_BYTES = 2_000_000
+DECODED = 400_000
 NO_TOKEN = 65_535
 
-MERGE_SQL = f"""
+#: A word's rows are numbered word * span + position; span is larger than the longest word.
+MERGE_SQL = """
 with recursive seq(k, id, nxt, live) as (
   select k, id, nxt, true from start
   union all
   (with best as (
-     select k // {SPAN} as word, min(rank * {SPAN} + k % {SPAN}) as code
+     select k // {span} as word, min(rank * {span} + k % {span}) as code
      from seq join merges on pair = id * 65536 + nxt where live group by 1),
    spot as (
-     select b.word, b.code // {SPAN} as rank, b.code % {SPAN} as pos, s.nxt
-     from best b join seq s on s.k = b.word * {SPAN}::bigint + b.code % {SPAN} + 1)
-   select s.k - case when s.k % {SPAN} > p.pos then 1 else 0 end,
-     case when s.k % {SPAN} = p.pos then p.rank else s.id end,
-     case s.k % {SPAN} when p.pos then p.nxt when p.pos - 1 then p.rank else s.nxt end,
+     select b.word, b.code // {span} as rank, b.code % {span} as pos, s.nxt
+     from best b join seq s on s.k = b.word * {span}::bigint + b.code % {span} + 1)
+   select s.k - case when s.k % {span} > p.pos then 1 else 0 end,
+     case when s.k % {span} = p.pos then p.rank else s.id end,
+     case s.k % {span} when p.pos then p.nxt when p.pos - 1 then p.rank else s.nxt end,
      p.pos is not null
-   from seq s left join spot p on p.word = s.k // {SPAN}
-   where s.live and (p.pos is null or s.k % {SPAN} <> p.pos + 1)))
-select (k // {SPAN})::int as word, id::int as id from seq where not live order by k
+   from seq s left join spot p on p.word = s.k // {span}
+   where s.live and (p.pos is null or s.k % {span} <> p.pos + 1)))
+select (k // {span})::int as word, id::int as id from seq where not live order by k
 """
 
 DECODE_SQL = """
-select doc, string_agg(piece, '') as body
-from (select doc, piece from ids join vocabulary using (id) order by doc, pos)
-group by doc order by doc
+select doc, string_agg(piece, '' order by pos) as body
+from ids join vocabulary using (id)
+group by doc
 """
 
 
@@ -79,7 +81,8 @@ class _Coder:
         merges = [(left * 65_536 + right, rank) for token, rank in self.ranks.items() for cut in range(1, len(token)) if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None]
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.cache: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
+        # No spill folder: statements are small enough for memory, and none is left on a worker's disk.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = np.array(merges, np.int64)
         self._put("merges", {"pair": pairs[:, 0], "rank": pairs[:, 1]})
         # Bytes stand as the first 256 code points: DuckDB strings are text, a token may be half a character.
@@ -91,31 +94,37 @@ class _Coder:
         self.db.unregister("incoming")
 
     def learn(self, words: list[str]) -> None:
-        """Encode words that the cache lacks."""
+        """Encode words that the cache lacks, WORD_BYTES (or one longer word) at a time."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        raw, names = [], []
+        raw: dict[str, bytes] = {}
+        size = 0
         for word in words:
             if word not in self.cache:
                 data = word.encode()
                 if (whole := self.ranks.get(data)) is not None:
                     self.cache[word] = np.int32(whole).tobytes()
-                else:
-                    raw.append(data)
-                    names.append(word)
-        if not raw:
-            return
-        lengths = np.array([len(x) for x in raw], np.int64)
-        ids = self.single[np.frombuffer(b"".join(raw), np.uint8)]
+                    continue
+                if raw and size + len(data) > WORD_BYTES:
+                    self._merge(raw)
+                    raw, size = {}, 0
+                raw[word], size = data, size + len(data)
+        if raw:
+            self._merge(raw)
+
+    def _merge(self, raw: dict[str, bytes]) -> None:
+        lengths = np.array([len(x) for x in raw.values()], np.int64)
+        span = 1 << int(lengths.max()).bit_length()
+        ids = self.single[np.frombuffer(b"".join(raw.values()), np.uint8)]
         word = np.repeat(np.arange(len(raw), dtype=np.int64), lengths)
         pos = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         nxt = np.append(ids[1:], NO_TOKEN)
         nxt[np.cumsum(lengths) - 1] = NO_TOKEN
-        self._put("start", {"k": word * SPAN + pos, "id": ids, "nxt": nxt})
-        out = self.db.sql(MERGE_SQL).to_arrow_table()
+        self._put("start", {"k": word * span + pos, "id": ids, "nxt": nxt})
+        out = self.db.sql(MERGE_SQL.format(span=span)).to_arrow_table()
         word, ids = out["word"].to_numpy(), out["id"].to_numpy().astype("<i4")
         ends = np.searchsorted(word, np.arange(len(raw) + 1))
-        for i, name in enumerate(names):
+        for i, name in enumerate(raw):
             self.cache[name] = ids[ends[i] : ends[i + 1]].tobytes()
 
     def encode(self, parts: pa.ListArray) -> list[bytes]:
@@ -134,9 +143,21 @@ class _Coder:
         return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
+        """The bytes of each row's ids; a long row is decoded in parts, one after the other."""
+        parts = [(r, row[i : i + 4 * DECODED]) for r, row in enumerate(rows) for i in range(0, len(row), 4 * DECODED)]
+        whole: list[list[bytes]] = [[] for _ in rows]
+        at = 0
+        while at < len(parts):
+            upto, size = at, 0
+            while upto < len(parts) and (upto == at or size + len(parts[upto][1]) <= 4 * DECODED):
+                size, upto = size + len(parts[upto][1]), upto + 1
+            for (r, _), body in zip(parts[at:upto], self._pieces([p for _, p in parts[at:upto]]), strict=True):
+                whole[r].append(body)
+            at = upto
+        return [b"".join(x) for x in whole]
+
+    def _pieces(self, rows: list[bytes]) -> list[bytes]:
         lengths = np.array([len(r) // 4 for r in rows], np.int64)
-        if not lengths.sum():
-            return [b""] * len(rows)
         doc = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
         pos = (np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         self._put("ids", {"doc": doc, "pos": pos, "id": np.frombuffer(b"".join(rows), "<i4")})
@@ -182,7 +203,12 @@ def _decoding(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, ids binary) of every row; null and empty texts have no ids."""
+    """(doc, ids binary) of every row; null and empty texts have no ids.
+
+    Repeated rows and null ids stay; other columns are not looked at; an empty
+    table gives no rows. Texts of any length are encoded whole, in statements
+    of bounded size; one piece (a run of letters, say) of n bytes takes n steps.
+    """
     cut = docs.select(F.col(doc_id).alias("doc"), pieces(F.col(text)).alias("pieces"))
     kind = docs.schema[doc_id].dataType.simpleString()
     return cut.mapInArrow(lambda b: _encoding(path, b), f"doc {kind}, ids binary")
@@ -211,4 +237,5 @@ def digests(coded: DataFrame) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and digests of every document; null texts count as empty, repeated rows stay, an empty table gives no rows."""
     return digests(round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
