@@ -8,9 +8,14 @@ page of that host.
 Pages are distinct texts of a host. A copied page is one page, so that a group
 of copies can't make its own content look like boilerplate.
 
-All steps are DataFrame operations; counts are pre-aggregated before each
-shuffle and no step gathers a host's pages. The lines to drop per host are at
-most (mean lines per page) / ratio, whatever the host's size.
+Lines are compared by 128 bits of hash: among 10^12 different lines the chance
+that any two agree is about 10^-15.
+
+All steps are DataFrame operations. Counts are pre-aggregated before each
+shuffle, lines meet the boilerplate list by host and line, and its hits return
+to their pages by host and text: no step gathers a host's pages or lines, so a
+host may hold any share of all rows. A line or a text that very many rows share
+is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -33,28 +38,29 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _hashed(line: Column) -> Column:
+    return F.struct(F.xxhash64(_line_key(line)).alias("h1"), F.xxhash64(F.lit("line"), _line_key(line)).alias("h2"))
+
+
+def _page_lines(pages: DataFrame, host: str, text: str) -> DataFrame:
+    """(host, page, line) for every page and distinct line that isn't blank; page is the text's hash."""
+    base = pages.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.col(text).alias("body"))
+    filled = F.filter(F.transform(_lines(F.col("body")), _line_key), lambda x: x != "")
+    return base.select("host", "page", F.explode_outer(F.array_distinct(filled)).alias("text")).where(F.col("text").isNotNull()).select("host", "page", _hashed(F.col("text")).alias("line"))
+
+
 def boilerplate_lines(pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line_hash, n_pages, host_pages) of the lines over the ratio.
+    """(host, line, n_pages, host_pages) of the lines over the ratio; line is a struct of two hashes.
 
     Lines are compared without blanks at their ends; empty lines and null
     texts count for nothing; a null host is a host of its own.
     """
-    base = pages.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.col(text).alias("body"))
-    totals = base.groupBy("host").agg(F.count_distinct("page").alias("host_pages"))
-    keys = F.array_distinct(F.transform(F.filter(F.transform(_lines(F.col("body")), _line_key), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    counts = (
-        base.select("host", "page", F.explode_outer(keys).alias("line_hash"))
-        .where(F.col("line_hash").isNotNull())
-        .distinct()
-        .groupBy("host", "line_hash")
-        .agg(F.count(F.lit(1)).alias("n_pages"))
-        .where(F.col("n_pages") >= min_pages)
-    )
-    totals = totals.withColumnRenamed("host", "total_host")
+    totals = pages.where(F.col(text).isNotNull()).groupBy(F.col(host).alias("total_host")).agg(F.count_distinct(F.xxhash64(text)).alias("host_pages"))
+    counts = _page_lines(pages, host, text).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
     return (
         counts.join(totals, counts["host"].eqNullSafe(totals["total_host"]))
         .where(F.col("n_pages") > F.lit(max_ratio) * F.col("host_pages"))
-        .select("host", "line_hash", "n_pages", "host_pages")
+        .select("host", "line", "n_pages", "host_pages")
     )
 
 
@@ -62,19 +68,20 @@ def drop_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "tex
     """pages with boilerplate lines taken out of `text`; no row is dropped.
 
     Texts without such a line, and null and empty texts, stay as they are; a
-    text of nothing else becomes empty. With counted, `n_lines` and `n_dropped`
-    are added.
+    text of nothing else becomes empty. Very long texts are read whole,
+    repeated rows and null ids stay, ties don't matter, an empty table gives no
+    rows. With counted, `n_lines` and `n_dropped` are added, in place of columns
+    of those names; all other columns stay.
     """
-    found = boilerplate_lines(pages, host=host, text=text, **how)
-    per_host = written(found.groupBy(F.col("host").alias("_mr_host")).agg(F.sort_array(F.collect_set("line_hash")).alias("_mr_bad")))
-    names = pages.columns
-    lined = pages.join(per_host, pages[host].eqNullSafe(per_host["_mr_host"]), "left").withColumn("_mr_lines", _lines(F.col(text)))
-    hashed = lined.withColumn("_mr_hit", F.array_intersect(F.transform("_mr_lines", lambda x: F.xxhash64(_line_key(x))), F.coalesce("_mr_bad", F.array().cast("array<bigint>"))))
-    kept = hashed.withColumn(
-        "_mr_kept",
-        F.when(F.size("_mr_hit") > 0, F.filter("_mr_lines", lambda x: ~F.array_contains(F.col("_mr_hit"), F.xxhash64(_line_key(x))))).otherwise(F.col("_mr_lines")),
-    )
-    cleaned = F.when(F.size("_mr_hit") > 0, F.array_join("_mr_kept", "\n")).otherwise(F.col(text))
+    bad = written(boilerplate_lines(pages, host=host, text=text, **how).select(F.col("host").alias("_mr_host"), "line"))
+    lines = _page_lines(pages, host, text)
+    met = lines.join(bad, lines["host"].eqNullSafe(bad["_mr_host"]) & (lines["line"] == bad["line"]))
+    hits = met.groupBy(lines["host"].alias("_mr_host"), F.col("page").alias("_mr_page")).agg(F.collect_set(lines["line"]).alias("_mr_bad"))
+    lined = pages.join(hits, pages[host].eqNullSafe(hits["_mr_host"]) & (F.xxhash64(pages[text]) == hits["_mr_page"]), "left").withColumn("_mr_lines", _lines(F.col(text)))
+    some = F.col("_mr_bad").isNotNull()
+    kept = lined.withColumn("_mr_kept", F.when(some, F.filter("_mr_lines", lambda x: ~F.array_contains(F.col("_mr_bad"), _hashed(x)))).otherwise(F.col("_mr_lines")))
+    names = [c for c in pages.columns if not (counted and c in ("n_lines", "n_dropped"))]
+    cleaned = F.when(some, F.array_join("_mr_kept", "\n")).otherwise(F.col(text))
     columns = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in names]
     if counted:
         size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
