@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table, written
 
 UNIT = 576
-#: Every so many frames an offset is kept.
-SEEK_STRIDE = 8
+#: Every so many frames an offset is kept by default: all of them.
+SEEK_STRIDE = 1
 
 # Fixed values of the MPEG audio header: kbit/s by index for (MPEG-1?, layer), and Hz for MPEG-1.
 BITRATES = {
@@ -228,8 +228,10 @@ def _vbr_table(data: bytes, at: int, h: Header, track: Track) -> tuple[bool, int
 def parse(data: bytes) -> Track:
     """Tags, frames and durations of a stream; no bytes give a track without frames.
 
-    A header counts if the next one agrees in version, layer and rate, or if
-    the audio ends there. Anything else is skipped until two headers agree.
+    A header counts if the next one agrees in version, layer and rate, if the
+    audio ends there, or if it follows a frame without a gap and agrees with
+    that (the last frame before damage). Anything else is skipped until two
+    headers agree.
     A tag at the end counts only where no frame of the walk reaches into it.
     """
     ends = _tail_tags(data)
@@ -245,7 +247,7 @@ def _walk(data: bytes, ends: list[tuple[int, dict[str, str]]]) -> Track | None:
     outer = [x for x, _ in ends[:-1]]
     while (behind := _id3v2(data, at, track.tags)) > at:
         at = behind
-    first, gap, weighed = None, 0, 0
+    first, gap, weighed, behind = None, 0, 0, -1
     while at + 4 <= end:
         h = header_at(data, at)
         if h and at + h.size <= end:
@@ -257,7 +259,7 @@ def _walk(data: bytes, ends: list[tuple[int, dict[str, str]]]) -> Track | None:
                 after = header_at(data, at + h.size)
                 if at + h.size in outer or after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate):
                     return None
-        if h and not fits and first and at + h.size <= end:  # damage behind a good frame of a known stream
+        if h and not fits and first and at == behind and at + h.size <= end:
             fits = (h.version, h.layer, h.rate) == first
         if not h or not fits:
             nxt = data.find(b"\xff", at + 1, end)
@@ -268,7 +270,7 @@ def _walk(data: bytes, ends: list[tuple[int, dict[str, str]]]) -> Track | None:
             first, track.rate = (h.version, h.layer, h.rate), h.rate
             is_table, gap = _vbr_table(data, at, h, track)
             if is_table:
-                at += h.size
+                at = behind = at + h.size
                 continue
         ok = _checksum_ok(data, at, h)
         track.checked += ok is not None
@@ -277,7 +279,7 @@ def _walk(data: bytes, ends: list[tuple[int, dict[str, str]]]) -> Track | None:
         track.sizes.append(h.size)
         track.samples += h.samples
         weighed += h.kbps
-        at += h.size
+        at = behind = at + h.size
     track.samples = max(0, track.samples - gap)
     track.kbps = weighed / len(track.offsets) if track.offsets else 0.0
     return track
@@ -328,7 +330,11 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def store_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, media binary): every row's text, null as empty, as an audio stream; a written table."""
+    """(doc, media binary): every row's text, null as empty, as an audio stream; a written table.
+
+    Texts of any length are stored whole; repeated rows and null ids stay;
+    other columns are not looked at; an empty table gives no rows.
+    """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,7 +366,7 @@ FIELDS = {
 }
 
 
-def describe(data: bytes) -> dict:
+def describe(data: bytes, seek_stride: int = SEEK_STRIDE) -> dict:
     """The media columns of one stored stream, all from its bytes."""
     track = parse(data)
     payload = carried(data, track)
@@ -379,17 +385,21 @@ def describe(data: bytes) -> dict:
         "sample_rate": track.rate,
         "bad_checksums": track.bad,
         "skipped_bytes": track.skipped,
-        "seek_offsets": track.offsets[::SEEK_STRIDE],
+        "seek_offsets": track.offsets[::seek_stride],
     }
 
 
-def media_columns(stored: DataFrame) -> DataFrame:
-    """(doc, FIELDS) of every row of (doc, media)."""
+def media_columns(stored: DataFrame, *, seek_stride: int = SEEK_STRIDE) -> DataFrame:
+    """(doc, FIELDS) of every row of (doc, media), with the offset of every seek_stride-th frame.
+
+    Repeated rows and null ids stay, an empty table gives no rows. A stream is
+    read whole; one that lacks declared frames raises.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
-                rows = [describe(x.as_py()) for x in part.column(1)]
+                rows = [describe(x.as_py(), seek_stride) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in FIELDS.items()]], names=["doc", *FIELDS])
 
     spark_type = {pa.int64(): "long", pa.string(): "string"}
@@ -398,4 +408,5 @@ def media_columns(stored: DataFrame) -> DataFrame:
 
 
 def op1_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media columns of every document's stored text; null texts count as empty, repeated rows stay."""
     return media_columns(store_texts(table(spark, sf_dir, "documents"))).withColumnRenamed("doc", "doc_id")
