@@ -10,7 +10,9 @@ cut into compressed blocks. The sparse directory keeps the first key of every
 block; blocks grow with the index so that the directory stays below
 `MAX_BLOCKS` entries, small enough to send to every task. A lookup searches the
 directory by bisection, opens one block, searches that by bisection too, and
-reads a byte range of a segment.
+reads a byte range of a segment. A revisit has no payload of its own: the record
+that it refers to is looked up in the same way, and its bytes give the length
+and the digest, which must be those that the revisit states.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SEGMENT_BYTES = 64 << 10
 BLOCK_LINES = 3000
 MAX_BLOCKS = 20_000
 SALTS = 16
+#: Lookups of a block that one task holds at once.
+LOOKUPS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -53,11 +57,13 @@ def _safe_key(url) -> str:
 
 
 def with_revisits(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """(page_id, url, body, digest, size, refers_to) of every row.
+    """(page_id, url, body, digest, size, refers_to, refers_url) of every row.
 
     Of equal payloads of at least MIN_REVISIT bytes the smallest page_id stays
     a response, as do rows that repeat that id; refers_to is null for
-    responses. Null html is an empty payload; a null id is never referred to.
+    responses. Null html is an empty payload; a null id is never referred to; a
+    null URL is an empty one. Very long pages stay whole, other columns are not
+    looked at, and an empty table gives no rows.
 
     The table of repeated payloads is salted: a payload that a third of all
     pages share is met in SALTS places.
@@ -65,27 +71,31 @@ def with_revisits(pages: DataFrame, *, page_id: str = "page_id", html: str = "ht
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("body"))
     base = base.select("*", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("size"))
-    firsts = base.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
-    firsts = written(firsts.select("digest", "first_id")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    firsts = base.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    firsts = written(firsts.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = base.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(firsts, ["digest", "salt"], "left")
-    refers = F.when((F.col("page_id") != F.col("first_id")) | F.col("page_id").isNull(), F.col("first_id"))
-    return joined.select("page_id", "url", "body", "digest", "size", refers.alias("refers_to"))
+    again = (F.col("page_id") != F.col("first_id")) | F.col("page_id").isNull()
+    return joined.select("page_id", "url", "body", "digest", "size", F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
 
-def _record(page_id, url, body: bytes, digest: str, refers) -> bytes:
+def _header_text(value) -> str:
+    return re.sub(r"[\r\n]", "", value or "")
+
+
+def _record(page_id, url, body: bytes, digest: str, refers, refers_url) -> bytes:
     revisit = not pd.isna(refers)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if pd.isna(page_id) else int(page_id)}>",
-        f"WARC-Target-URI: {re.sub(r'[\r\n]', '', url or '')}",
+        f"WARC-Target-URI: {_header_text(url)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(body)}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{int(refers)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <urn:page:{int(refers)}>", f"WARC-Refers-To-Target-URI: {_header_text(refers_url)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (b"" if revisit else body)
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -130,7 +140,7 @@ def write_archive(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in batch.itertuples(index=False):
-                member = gzip_member(_record(row.page_id, row.url, row.body, row.digest, row.refers_to))
+                member = gzip_member(_record(row.page_id, row.url, row.body, row.digest, row.refers_to, row.refers_url))
                 if held and size + len(member) > SEGMENT_BYTES:
                     yield flush()
                     start, segment = start + size, segment + 1
@@ -209,18 +219,21 @@ def find_captures(index: DataFrame, wanted: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["key", "archive", "segment", "offset", "length"])
 
-    located = wanted.select("key", "id").mapInPandas(locate, "prefix string, first_key string")
-    # A block's lookups are distinct prefixes: not more than its lines, and those that miss.
-    grouped = located.distinct().groupBy("first_key").agg(F.collect_list("prefix").alias("prefixes"))
+    located = wanted.select("key", "id").distinct().mapInPandas(locate, "prefix string, first_key string").distinct()
+    # However many lookups a block gets, a row holds about LOOKUPS of them.
+    parts = located.groupBy(F.col("first_key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / LOOKUPS).cast("int").alias("parts"))
+    dealt = located.join(parts, F.col("first_key") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("prefix"), F.col("parts")))
+    grouped = dealt.groupBy("first_key", "part").agg(F.collect_list("prefix").alias("prefixes"))
     return index.select("first_key", "block").join(grouped, "first_key").select("block", "prefixes").mapInPandas(search, "key string, archive int, segment int, offset int, length int")
 
 
 def read_captures(archive: DataFrame, captures: DataFrame) -> DataFrame:
     """Records at the captures' byte ranges, parsed.
 
-    (record_id, payload_bytes, payload_digest, record_type, refers_to, payload_ok):
-    payload_bytes and digest are of the full payload; payload_ok says that a
-    response's payload has the digest its header states.
+    (record_id, payload_bytes, payload_digest, record_type, refers_to,
+    refers_key, payload_ok): of a response, length and digest come from its
+    bytes, and payload_ok says that they are those in its header; of a revisit
+    they are stated only, see resolved().
     """
     ranges = captures.select("archive", "segment", "offset", "length").distinct().groupBy("archive", "segment").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
 
@@ -231,22 +244,46 @@ def read_captures(archive: DataFrame, captures: DataFrame) -> DataFrame:
                 for r in wanted:
                     fields, payload = parse_record(gunzip_member(data[r["offset"] : r["offset"] + r["length"]]))
                     number = lambda name: int(n) if (n := fields.get(name, "<urn:page:>")[10:-1]) else None
-                    stated, kind = fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"]
-                    got = hashlib.sha256(payload).hexdigest() if kind == "response" else stated
-                    rows.append((number("warc-record-id"), int(fields["x-payload-length"]), got, kind, number("warc-refers-to"), got == stated))
-            out = pd.DataFrame(rows, columns=["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok"])
+                    stated, kind = (int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha256:")), fields["warc-type"]
+                    got = (len(payload), hashlib.sha256(payload).hexdigest()) if kind == "response" else stated
+                    key = _safe_key(fields.get("warc-refers-to-target-uri")) if kind == "revisit" else None
+                    rows.append((number("warc-record-id"), *got, kind, number("warc-refers-to"), key, got == stated))
+            out = pd.DataFrame(rows, columns=["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_key", "payload_ok"])
             if rows:
                 yield out.astype({"record_id": "Int64", "refers_to": "Int64"})
 
     joined = archive.select("archive", "segment", "data").join(ranges, ["archive", "segment"]).select("data", "ranges")
-    return joined.mapInPandas(read, "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_ok boolean")
+    return joined.mapInPandas(read, "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_key string, payload_ok boolean")
+
+
+def resolved(archive: DataFrame, index: DataFrame, records: DataFrame) -> DataFrame:
+    """records with the length and digest of revisits taken from the bytes of the responses that they refer to.
+
+    (record_id, payload_bytes, payload_digest, record_type, refers_to). Bytes
+    that aren't what a header states, and a missing response, raise an error.
+    Responses are met by SALTS of their revisits' hashes, so that one that very
+    many refer to is met in several places.
+    """
+    wanted = records.where("record_type = 'revisit'").select(F.col("refers_key").alias("key"), F.col("refers_to").alias("id")).distinct()
+    origin = read_captures(archive, find_captures(index, wanted)).where("record_type = 'response' and payload_ok")
+    origin = origin.select(F.col("record_id").alias("o_id"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest")).distinct()
+    origin = written(origin).withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = records.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    same = (salted["refers_to"] == origin["o_id"]) & (salted["payload_digest"] == origin["o_digest"]) & (salted["payload_bytes"] == origin["o_bytes"]) & (salted["salt"] == origin["o_salt"])
+    joined = salted.join(origin, same, "left")
+    response = F.col("record_type") == "response"
+    right = F.when(response, F.col("payload_ok")).otherwise(F.col("o_id").isNotNull())
+    failed = F.raise_error(F.concat(F.lit("payload is not what its record states: page "), F.coalesce(F.col("record_id").cast("string"), F.lit("null"))))
+    digest = F.when(~right, failed.cast("string")).when(response, F.col("payload_digest")).otherwise(F.col("o_digest"))
+    return joined.select("record_id", F.when(response, F.col("payload_bytes")).otherwise(F.col("o_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the archives of `pages`, found through the index and read from its bytes."""
     archive = write_archive(with_revisits(table(spark, sf_dir, "pages")))
     index = build_index(archive)
     keys = archive.select(F.explode(F.split("lines", "\n")).alias("line")).select(F.substring_index("line", "\t", 1).alias("key"), F.expr("try_cast(split_part(line, '\t', 2) as bigint)").alias("id"))
-    records = read_captures(archive, find_captures(index, keys))
+    records = resolved(archive, index, written(read_captures(archive, find_captures(index, keys))))
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
