@@ -63,3 +63,11 @@ def run_hash(n: int = 5) -> Column:
 
 def run_text(n: int = 5) -> Column:
     return F.concat_ws(" ", *[F.col(f"run.w{k}") for k in range(n)])
+
+
+def sampled(ids: DataFrame, doc_id: str, most: int) -> DataFrame:
+    """Rows of about `most` ids at most, those whose hash lies in the share that this leaves; one pass, no sort."""
+    n = ids.count()
+    if n <= most:
+        return ids
+    return ids.where(F.shiftrightunsigned(F.xxhash64(doc_id), 11) / 2.0**53 < most / n)

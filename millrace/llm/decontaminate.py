@@ -94,7 +94,9 @@ def contained_items(
     Containment is |item shingles in the document| / |item shingles| over
     distinct five-word shingles. Null and empty texts contain nothing, items
     without words are in nothing; repeated rows give one result row; texts of
-    any length are read whole. A null id is an id like any other.
+    any length are read whole. A null id is an id like any other; texts of one
+    item id are one item. Ties don't matter, other columns are not looked at,
+    an empty table on either side gives no rows.
     """
     item_words = written(items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("words")).distinct())
     probes = written(item_probes(item_words, threshold))

@@ -7,8 +7,8 @@ are done, the pairs whose joint bins explain most of what remains get tables of
 their own in the same way. A score is an intercept plus one addition per table,
 for whole batches at once.
 
-The model is fitted on a bounded sample: the MAX_SAMPLE labelled rows of least
-hashed id (all, where there are fewer). Scoring covers every row.
+The model is fitted on a bounded sample: about MAX_SAMPLE labelled rows, those
+of least hashed id (all, where there are fewer). Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table, written
+from millrace.llm.common import sampled, table, written
 
 THRESHOLD = 0.7
 MAX_SAMPLE = 20_000
@@ -207,17 +207,23 @@ def with_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, *, label: str = "quality", held_out: Column | None = None, max_sample: int = MAX_SAMPLE) -> Model:
+    """A model of the sample. Null labels and ids are left out, of several labels of an id the greatest counts, no rows give scores of 0.5."""
     known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     known = known.where(~held_out) if held_out is not None else known
-    # Ids are chosen first, so that only the sample's texts are measured.
-    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample))
-    rows = with_features(docs.select("doc_id", "text").join(chosen, "doc_id"), ["doc_id", "label"]).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_sample).select("label", "x").collect()
+    # Ids are chosen first, so that only the sample's texts are measured; ids that repeat can't lift the rows above the bound.
+    chosen = written(sampled(known.where("doc_id is not null"), "doc_id", max_sample))
+    rows = with_features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "label"]).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_sample).select("label", "x").collect()
     x = np.array([r.x for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([float(r.label) for r in rows]))
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, score) of every row; null texts count as empty."""
+    """(doc, score) of every row.
+
+    Null texts count as empty and have a score too; texts of any length are
+    read whole; repeated rows and null ids stay; other columns are not looked
+    at; an empty table gives no rows.
+    """
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -233,6 +239,7 @@ def _held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit_on(docs, table(spark, sf_dir, "labels"), held_out=_held_out())
     return score(docs, model).select(F.col("doc").alias("doc_id"), _held_out("doc").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

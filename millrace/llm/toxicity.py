@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table, words, written
+from millrace.llm.common import sampled, table, words, written
 
 THRESHOLD = 0.7
 DENSITY = 0.25
@@ -118,14 +118,6 @@ def _cell(excess: float) -> float:
     return round(excess / step) * step
 
 
-def sampled(ids: DataFrame, doc_id: str, most: int) -> DataFrame:
-    """Rows of about `most` ids at most, those whose hash lies in the share that this leaves; one pass, no sort."""
-    n = ids.count()
-    if n <= most:
-        return ids
-    return ids.where(F.shiftrightunsigned(F.xxhash64(doc_id), 11) / 2.0**53 < most / n)
-
-
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column | None, most: int) -> DataFrame:
     """(doc_id, text, label) of the sample; held out ids go before any text is met."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -232,7 +224,9 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     """(doc, score, n_tokens, passages) of every row.
 
     passages is array<struct<first, last, score>> in tokens: every segment of
-    significance. Null and empty texts have no tokens and the lowest score.
+    significance. Null and empty texts have no tokens and the lowest score;
+    texts of any length are read whole in linear time; repeated rows and null
+    ids stay; other columns are not looked at; an empty table gives no rows.
     """
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,6 +262,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHO
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), held_out=_held_out())
     scored = score(docs, model)
