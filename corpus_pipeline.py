@@ -19,22 +19,37 @@ from millrace.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go.
+
+    Null and empty texts stay; equal texts share their fate; an empty table
+    gives no rows; without labels nothing goes.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go."""
+    """Lines that are boilerplate of their source go.
+
+    No row goes; null and empty texts stay as they are; a null source is a
+    source of its own.
+    """
     return drop_boilerplate(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, that of the least id.
+
+    Null counts as an empty text, and a null id stands last; rows that repeat
+    id and text are one.
+    """
     return keep_one_per_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Null and empty texts stay; an empty benchmark removes nothing.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
