@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PHONE = "^1[3-9][0-9]{9}$"
-EMAIL = "^[A-Za-z0-9._-]+@[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)+$"
+#: One @ without blanks on either side, and a dot inside the host.
+EMAIL = r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"
 
 
 def mask_name(name: Column) -> Column:
@@ -30,12 +31,17 @@ def hash_if(value: Column, pattern: str) -> Column:
 
 
 def surrogate_key(*parts: Column) -> Column:
-    return F.md5(F.concat(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    """MD5 of the parts, each with its length before it, so that no two lists of parts fall together; null is a part of its own."""
+    marked = [F.coalesce(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts]
+    return F.md5(F.concat(*marked))
 
 
-def hash_bucket(value: Column, buckets: int) -> Column:
-    """The last three hex digits of the MD5 modulo buckets, as four digits."""
-    return F.lpad((F.conv(F.right(F.md5(value), F.lit(3)), 16, 10).cast("int") % buckets).cast("string"), 4, "0")
+def hash_bucket(value: Column, buckets: int, overrides: dict[str, str] | None = None) -> Column:
+    """The last three hex digits of the MD5 modulo buckets, as four digits; a value among the overrides gets its own bucket."""
+    found = F.lpad((F.conv(F.right(F.md5(value), F.lit(3)), 16, 10).cast("int") % buckets).cast("string"), 4, "0")
+    for name, bucket in (overrides or {}).items():
+        found = F.when(value == name, bucket).otherwise(found)
+    return found
 
 
 def safe_number(raw: Column, kind: str = "decimal(18,2)") -> tuple[Column, Column]:
@@ -106,3 +112,69 @@ def camel(name: str) -> str:
     """snake_case to camelCase, for column renames."""
     head, *rest = name.split("_")
     return head + "".join(w.capitalize() for w in rest)
+
+
+def joined(parts: Column, separator: str = ",") -> Column:
+    """A list as one text; nulls in it are passed over."""
+    return F.array_join(parts, separator)
+
+
+def repeated(text: Column, times: int) -> Column:
+    return F.repeat(text, F.lit(max(0, times)))
+
+
+def only_allowed(text: Column, allowed: str = r"\p{L}\p{N} _.-") -> Column:
+    """Has the text characters of this class only, and at least one? Null is not valid."""
+    return F.coalesce(text.rlike(f"^[{allowed}]+$"), F.lit(False))
+
+
+def number_text(text: Column, scale: int = 0) -> Column:
+    """Hex text (with 0x) or decimal text as a number, divided by 10^scale; what is neither gives null."""
+    plain = F.when(text.rlike("^0[xX][0-9a-fA-F]+$"), hex_number(text)).otherwise(text.try_cast("decimal(20,0)"))
+    return F.try_divide(plain.cast("double"), F.lit(10.0**scale)) if scale else plain
+
+
+def json_get(text: Column, path: str) -> Column:
+    """The value at a path such as a.b; null where there is none."""
+    return F.get_json_object(text, f"$.{path}")
+
+
+def _members(text: Column) -> Column:
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def json_put(text: Column, name: str, value: Column) -> Column:
+    """The object with one more member, or another value of it; top-level values become texts."""
+    others = F.map_filter(_members(text), lambda k, _: k != name)
+    return F.to_json(F.map_concat(others, F.create_map(F.lit(name), value.cast("string"))))
+
+
+def json_remove(text: Column, name: str) -> Column:
+    return F.to_json(F.map_filter(_members(text), lambda k, _: k != name))
+
+
+def json_merge(text: Column, other: Column, prefix: str = "info_") -> Column:
+    """The object with the other's members under prefixed names; they stand in for members of that name."""
+    added = F.transform_keys(_members(other), lambda k, _: F.concat(F.lit(prefix), k))
+    own = F.map_filter(_members(text), lambda k, _: ~F.array_contains(F.map_keys(added), k))
+    return F.to_json(F.map_concat(own, added))
+
+
+def local_timestamp(day: Column, time: Column) -> Column:
+    """Date text with the signs for year, month and day, and a time, as yyyy-MM-dd HH:mm:ss text; null if it isn't one."""
+    parts = F.regexp_replace(F.regexp_replace(F.trim(day), "\u65e5", ""), "[\u5e74\u6708]", "-")
+    return F.date_format(F.try_to_timestamp(F.concat_ws(" ", parts, F.trim(time)), F.lit("y-M-d H:m[:s]")), "yyyy-MM-dd HH:mm:ss")
+
+
+def second_word(label: Column) -> Column:
+    """The second of the words between blanks, null if there is none."""
+    return F.try_element_at(F.split(F.trim(label), r"\s+"), F.lit(2))
+
+
+def calendar_parts(day: Column) -> dict[str, Column]:
+    return {"year": F.year(day), "quarter": F.quarter(day), "month": F.month(day), "day": F.dayofmonth(day), "week": F.weekofyear(day), "weekday": F.weekday(day) + 1, "is_weekend": (F.weekday(day) >= 5).cast("int")}
+
+
+def map_value(pairs: Column, key: Column) -> Column:
+    """The value of a key of a map, null where there is none."""
+    return F.try_element_at(pairs, key)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.plans import daily, dashboards, dims, facts, freight, logistics, streams, trade, windows
+from millrace.plans import daily, dashboards, detail, dims, facts, freight, logistics, scalars, streams, trade, windows
 
-_MODULES = (trade, logistics, freight, facts, dims, daily, dashboards, streams, windows)
+_MODULES = (trade, logistics, freight, facts, detail, dims, daily, dashboards, scalars, streams, windows)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
