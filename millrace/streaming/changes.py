@@ -80,6 +80,20 @@ def source_tagged(df: DataFrame, event_type: str, device: Column, ts_ms: Column)
     return df.withColumn("event_type", F.lit(event_type)).withColumn("device", device).withColumn("event_time", F.timestamp_millis(ts_ms.cast("long")))
 
 
+def united(streams: list[DataFrame]) -> DataFrame:
+    """Tagged streams of several kinds as one; columns that a kind lacks are null."""
+    both = streams[0]
+    for other in streams[1:]:
+        both = both.unionByName(other, allowMissingColumns=True)
+    return both
+
+
+def shaped(changes: DataFrame, shapes: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
+    """The new rows of each table with its own columns; shapes: table -> {column: field of the row}. Rows without a new image go."""
+    rows = changes.where("after is not null")
+    return {t: rows.where(F.col("source.table") == t).select(*[F.col(f"after.{field}").alias(name) for name, field in fields.items()], operation(F.col("op")).alias("operation"), "ts_ms") for t, fields in shapes.items()}
+
+
 def appends(changes: DataFrame) -> DataFrame:
     """A changelog as rows to append: inserts and updates by their new row; deletes go."""
     return after_images(changes).where(F.col("operation").isin("insert", "update"))

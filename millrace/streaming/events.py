@@ -20,10 +20,17 @@ def parsed(raw: DataFrame, schema: str, value: str = "value") -> tuple[DataFrame
 
 
 def windowed(df: DataFrame, ts: str, width: str, keys: list[str], measures: list[Column], *, delay: str = "5 seconds") -> DataFrame:
-    """Tumbling windows by event time; on a stream a window is final once the watermark passes it."""
+    """Tumbling windows by event time; on a stream a window is final once the watermark passes it.
+
+    Watermarks need an instant: on a stream a time without zone is read in the
+    session's zone, and its windows are given back without zone.
+    """
+    plain = df.isStreaming and dict(df.dtypes)[ts] == "timestamp_ntz"
+    df = df.withColumn(ts, F.col(ts).cast("timestamp")) if plain else df
     df = df.withWatermark(ts, delay) if df.isStreaming else df
     grouped = df.groupBy(F.window(ts, width).alias("_w"), *keys).agg(*measures)
-    return grouped.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[c for c in grouped.columns if c != "_w"])
+    edge = lambda name: (F.col(f"_w.{name}").cast("timestamp_ntz") if plain else F.col(f"_w.{name}")).alias(f"window_{name}")
+    return grouped.select(edge("start"), edge("end"), *[c for c in grouped.columns if c != "_w"])
 
 
 def split_log(df: DataFrame) -> dict[str, DataFrame]:
