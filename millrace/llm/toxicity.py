@@ -3,7 +3,7 @@
 Tokens (words, and letter prefixes of words as stems) get log-odds between toxic
 and clean labelled documents under a Dirichlet prior that is proportional to
 their frequency in both (so rare tokens are shrunk), and a z-score; tokens with
-a significant excess in toxic documents form the lexicon. A word that training
+a large and significant excess in toxic documents form the lexicon. A word that training
 has seen too seldom is smoothed towards its stem by count; a word never seen
 takes the score of its longest stem. Inside a toxic passage a share `DENSITY` of the tokens is
 taken to come from it. A token's score is the log ratio of its probability in
@@ -36,6 +36,8 @@ DENSITY = 0.25
 #: Weight of the prior, as a share of all tokens counted.
 PRIOR = 0.1
 MIN_Z = 4.0
+#: Least log-odds of a lexicon token: at least eight times likelier in toxic text. Unlike z it doesn't grow with the rows, so no weak tilt comes in with more data.
+MIN_ODDS = math.log(8)
 #: A passage is reported where so many like it are expected in a clean document at most.
 MAX_EXPECTED = 0.01
 #: The model is fitted on about so many labelled rows at most, those of least hashed id; it bounds labels sent to tasks and the lexicon.
@@ -107,15 +109,12 @@ def scan(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, floa
 
 
 def _excess(scores: list[float], n: int, k: float) -> float:
-    """Sum of the segments' scores, each above the best that n clean tokens are expected to give."""
-    chance = max(0.0, math.log(k * max(n, 1)))
-    return sum(max(0.0, s - chance) for s in scores)
-
+    """log(1 + x) of the sum of the segments' scores, each above the best that n clean tokens are expected to give.
 
-def _cell(excess: float) -> float:
-    """The excess in quarter steps up to 16 and beyond in steps of 1/64 of it, so that a table of cells stays short."""
-    step = 0.25 if excess < 16 else 2.0 ** (math.floor(math.log2(excess)) - 6)
-    return round(excess / step) * step
+    The logarithm keeps a few very long texts from ruling the fit.
+    """
+    chance = max(0.0, math.log(k * max(n, 1)))
+    return math.log1p(sum(max(0.0, s - chance) for s in scores))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column | None, most: int) -> DataFrame:
@@ -155,14 +154,14 @@ def fit_lexicon(train: DataFrame) -> tuple[dict[str, float], float]:
     t, c = F.col("t") + prior, F.col("c") + prior
     rest = lambda x: F.greatest(x, F.lit(1e-9))  # a level may have one token only
     odds = F.log(t / rest(total_t + weight - t)) - F.log(c / rest(total_c + weight - c))
-    scored = counts.select("token", "level", "t", "c", total_t.alias("rest_t"), total_c.alias("rest_c"), (t / (total_t + weight)).alias("pt"), (c / (total_c + weight)).alias("pc"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
-    top = scored.where(F.col("z") >= MIN_Z)
+    scored = counts.select("token", "level", "t", "c", total_t.alias("rest_t"), total_c.alias("rest_c"), (t / (total_t + weight)).alias("pt"), (c / (total_c + weight)).alias("pc"), ((odds >= MIN_ODDS) & (odds / F.sqrt(1 / t + 1 / c) >= MIN_Z)).alias("typical"))
+    top = scored.where("typical")
     sums = {r.level: r for r in top.groupBy("level").agg(F.sum("pt").alias("mass"), F.sum("pc").alias("clean")).collect()}
     if not sums:
         return {}, math.log(1 - DENSITY)
     passage = F.log(DENSITY * F.col("pt") / of({k: r.mass for k, r in sums.items()}) / F.col("pc"))
     rated = F.log((F.col("t") + 0.5) * F.col("rest_c") / ((F.col("c") + 0.5) * F.col("rest_t")))
-    each = written(scored.select("token", "level", F.col("t") + F.col("c"), rated, F.when((F.col("z") >= MIN_Z) & F.col("level").isin([int(k) for k in sums]), F.greatest(passage, F.lit(0.0)))).toDF("token", "level", "n", "rated", "own"))
+    each = written(scored.select("token", "level", F.col("t") + F.col("c"), rated, F.when(F.col("typical") & F.col("level").isin([int(k) for k in sums]), F.greatest(passage, F.lit(0.0)))).toDF("token", "level", "n", "rated", "own"))
     entries = each.where("own > 0 and level = 5").select("token", F.col("own").alias("score"))
     for level in (7, 0):
         head = F.when(F.lit(level == 0) & (F.length("token") > 7), F.substring("token", 1, 7)).when(F.length("token") > 5, F.substring("token", 1, 5))
@@ -196,9 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: C
     def excesses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = [scan(x, rough) for x in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["label"] == 1, "excess": [_cell(_excess([s for _, _, s in found], n, k)) for n, found in seen]})
+            yield pd.DataFrame({"toxic": batch["label"] == 1, "excess": [round(16 * _excess([s for _, _, s in found], n, k)) / 16 for n, found in seen]})
 
-    # Cells of the excess: a short table.
+    # Sixteenths of a logarithm: a short table.
     cells = train.select("text", "label").mapInPandas(excesses, "toxic boolean, excess double").groupBy("toxic", "excess").agg(F.count(F.lit(1)).alias("rows")).orderBy("toxic", "excess").collect()
     slope, offset = _logistic(*(np.array([float(r[c]) for r in cells]) for c in ("excess", "toxic", "rows")))
     return Model(scores, neutral, k, slope, offset)
