@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.aggregates import cumulative, interval_rows, merge_sides, ratio, within_days
+from millrace.operators.aggregates import cumulative, full_outer, interval_rows, ratio, within_days
 from millrace.plans.trade import business_date, order_lines
 from millrace.sources.tables import load, money
 
@@ -57,39 +57,34 @@ def in_transit_td(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def received_dispatched_1_7_30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders received and lines dispatched per interval, by a full outer join."""
-    newest = _newest(spark, sf_dir)
+    """Orders received and lines dispatched per interval, by a full outer join of two reports that are summed by day first."""
+    newest, days = _newest(spark, sf_dir), (1, 7, 30, 365)
+
+    def report(rows: DataFrame, name: str) -> DataFrame:
+        per_day = rows.where(within_days("dt", newest, max(days))).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+        return interval_rows(per_day, "dt", newest, days).groupBy("recent_days").agg(F.sum("n").alias(name))
+
     orders = load(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("dt"))
-    received = interval_rows(orders, "dt", newest, (1, 7, 30, 365)).groupBy("recent_days").agg(F.count(F.lit(1)).alias("received"))
-    sent = interval_rows(_shipped(spark, sf_dir), "dt", newest, (1, 7, 30, 365)).groupBy("recent_days").agg(F.count(F.lit(1)).alias("dispatched"))
-    both = received.join(sent, "recent_days", "full_outer")
-    return both.select("recent_days", F.coalesce("received", F.lit(0)).alias("received"), F.coalesce("dispatched", F.lit(0)).alias("dispatched"))
+    return full_outer(report(orders, "received"), report(_shipped(spark, sf_dir).select("dt"), "dispatched"), ["recent_days"], {"received": 0, "dispatched": 0})
 
 
 def organ_stats_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """City statistics from orders and returns; every city of either side has a row, with means."""
-    organ = organ_dim(spark, sf_dir).select("organ_id", "city")
-    shipped = _shipped(spark, sf_dir).join(organ, "organ_id")
-    open_ = shipped.where("l_linestatus = 'O'").groupBy("city").agg(F.count(F.lit(1)).alias("open_lines"), F.sum("amount").alias("open_amount"))
-    back = shipped.where("l_returnflag = 'R'").groupBy("city").agg(F.count(F.lit(1)).alias("returned_lines"), F.sum("amount").alias("returned_amount"))
-    both = open_.join(back, "city", "full_outer")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return both.select(
-        "city",
-        zero("open_lines").alias("open_lines"),
-        zero("open_amount").cast("double").alias("open_amount"),
-        zero("returned_lines").alias("returned_lines"),
-        zero("returned_amount").cast("double").alias("returned_amount"),
-        ratio(F.col("open_amount"), F.col("open_lines"), 2).alias("mean_open"),
-    )
+    """City statistics of open and returned lines with means: conditional sums of one pass, by organ before the organ's city is met."""
+    open_, back = F.col("l_linestatus") == "O", F.col("l_returnflag") == "R"
+    amount = lambda where: F.coalesce(F.sum(F.when(where, F.col("amount"))), F.lit(0))
+    per = _shipped(spark, sf_dir).where(open_ | back).groupBy("organ_id").agg(F.count_if(open_).alias("open_lines"), amount(open_).alias("open_amount"), F.count_if(back).alias("returned_lines"), amount(back).alias("returned_amount"))
+    named = per.join(organ_dim(spark, sf_dir).select("organ_id", "city"), "organ_id")
+    total = named.groupBy("city").agg(*[F.sum(c).alias(c) for c in per.columns if c != "organ_id"])
+    double = lambda c: F.col(c).cast("double").alias(c)
+    return total.select("city", "open_lines", double("open_amount"), "returned_lines", double("returned_amount"), ratio(F.col("open_amount"), F.col("open_lines"), 2).alias("mean_open"))
 
 
 def express_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Received, delivered and returned per province, by a union and one aggregate instead of two full outer joins."""
-    organ = organ_dim(spark, sf_dir).select("organ_id", "province")
-    shipped = _shipped(spark, sf_dir).join(organ, "organ_id")
-    side = lambda where, name: shipped.where(where).groupBy("province").agg(F.count(F.lit(1)).alias(name))
-    return merge_sides([side("l_linestatus = 'O'", "received"), side("l_linestatus = 'F'", "delivered"), side("l_returnflag = 'R'", "returned")], ["province"])
+    """Received, delivered and returned per province: three counts of one pass instead of two full outer joins; a side without rows is null."""
+    sides = {"received": F.col("l_linestatus") == "O", "delivered": F.col("l_linestatus") == "F", "returned": F.col("l_returnflag") == "R"}
+    per = _shipped(spark, sf_dir).groupBy("organ_id").agg(*[F.count_if(where).alias(name) for name, where in sides.items()])
+    named = per.join(organ_dim(spark, sf_dir).select("organ_id", "province"), "organ_id")
+    return named.groupBy("province").agg(*[F.nullif(F.sum(name), F.lit(0)).alias(name) for name in sides])
 
 
 def late_shipments_nd(spark: SparkSession, sf_dir: str) -> DataFrame:

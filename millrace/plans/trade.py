@@ -94,20 +94,24 @@ def user_sku_order_nd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def province_order_nd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Province orders for the last 1, 7 and 30 days by replicating rows per interval."""
+    """Province orders for the last 1, 7 and 30 days; days are summed before they are dealt to intervals."""
     today = business_date(spark, sf_dir)
-    orders = load(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("dt"), money("o_totalprice").alias("amount"))
+    orders = load(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("dt"), money("o_totalprice").alias("amount")).where(within_days("dt", today, 30))
     customer = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    tagged = interval_rows(orders.join(customer, orders.o_custkey == customer.c_custkey), "dt", today, (1, 7, 30))
-    return tagged.groupBy("c_nationkey", "recent_days").agg(F.count(F.lit(1)).alias("order_count"), _total("amount", "order_amount"))
+    per_day = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy("c_nationkey", "dt").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    return interval_rows(per_day, "dt", today, (1, 7, 30)).groupBy("c_nationkey", "recent_days").agg(F.sum("n").alias("order_count"), _total("amount", "order_amount"))
 
 
 def _stats_1_7_30(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Distinct orders and users by interval; lines are reduced to distinct (key, order, user, day) before they are dealt to intervals."""
     today = business_date(spark, sf_dir)
     lines = order_lines(spark, sf_dir).where(within_days("dt", today, 30))
     part = load(spark, sf_dir, "part").select("p_partkey", key)
-    tagged = interval_rows(lines.join(part, lines.l_partkey == part.p_partkey), "dt", today, (1, 7, 30))
-    return tagged.groupBy("recent_days", key).agg(F.count_distinct("l_orderkey").alias("order_count"), F.count_distinct("o_custkey").alias("order_user_count"))
+    once = lines.join(part, lines.l_partkey == part.p_partkey).select(key, "l_orderkey", "o_custkey", "dt").distinct()
+    tagged = interval_rows(once, "dt", today, (1, 7, 30))
+    # An order has one user and one day, so distinct orders are rows by now.
+    per_user = tagged.groupBy("recent_days", key, "o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+    return per_user.groupBy("recent_days", key).agg(F.sum("orders").alias("order_count"), F.count(F.lit(1)).alias("order_user_count"))
 
 
 def brand_stats_1_7_30(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,11 +181,11 @@ def new_and_returning(days: DataFrame, user: str, day: str) -> DataFrame:
 
 
 def user_login_td(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History to a day merged with that day's users by a full outer join with a coalesced key."""
-    days = load(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("dt"))
-    split = F.lit("2024-01-16").cast("date")
-    old = days.where(F.col("dt") < split).groupBy("user_id").agg(F.max("dt").alias("old_last"), F.count_distinct("dt").alias("old_days"))
-    new = days.where(F.col("dt") >= split).groupBy("user_id").agg(F.max("dt").alias("new_last"), F.count_distinct("dt").alias("new_days"))
+    """History before the newest day merged with that day's users by a full outer join with a coalesced key."""
+    days = load(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("dt")).distinct()
+    newest = F.lit(load(spark, sf_dir, "events").agg(F.to_date(F.max("ts"))).first()[0])
+    old = days.where(F.col("dt") < newest).groupBy("user_id").agg(F.max("dt").alias("old_last"), F.count(F.lit(1)).alias("old_days"))
+    new = days.where(F.col("dt") == newest).select("user_id", F.col("dt").alias("new_last"), F.lit(1).alias("new_days"))
     return old.join(new, "user_id", "full_outer").select("user_id", F.coalesce("new_last", "old_last").alias("login_date_last"), (F.coalesce("old_days", F.lit(0)) + F.coalesce("new_days", F.lit(0))).alias("login_count_td"))
 
 
