@@ -202,7 +202,7 @@ ORACLE = {
     "user_item_flags": f"""with {_V} select user_id, item, max((kind = 'view')::int) as viewed, max((kind = 'click')::int) as clicked, max((kind = 'purchase')::int) as bought,
   cast(coalesce(sum(amount) filter (kind = 'purchase'), 0) as double) as amount from v group by 1, 2""",
     "category_distinct": f"""with {_V} select coalesce(p_brand, 'unknown') as category, count(distinct user_id) as users, count(distinct user_id) filter (kind = 'purchase') as buyers, count(distinct item) as items
-from v left join (select * from part where p_partkey % 2 = 0) p on p_partkey = item group by 1""",
+from v left join part on p_partkey = item group by 1""",
     "week_month_summary": """with o as (select o_custkey, cast(o_orderdate as date) as dt, cast(o_totalprice as decimal(18,2)) as amount from orders)
 select o_custkey, 'week' as period, (isoyear(dt) * 100 + weekofyear(dt))::int as period_key, count(*) as orders, cast(sum(amount) as double) as amount from o group by 1, 3
 union all select o_custkey, 'month', (year(dt) * 100 + month(dt))::int, count(*), cast(sum(amount) as double) from o group by 1, 3""",
@@ -219,7 +219,7 @@ select p_brand, year, month, cast(amount as double) as amount, cast(sum(amount)
 b as (select item, dt, count(distinct user_id) as buyers, cast(sum(amount) as double) as amount from v where kind = 'purchase' group by 1, 2)
 select item, dt, visitors, coalesce(buyers, 0) as buyers, coalesce(amount, 0) as amount, round(coalesce(buyers, 0) / visitors, 4) as conversion from s left join b using (item, dt)""",
     "product_rank": f"""with {_SOLD}, r as (select *, rank() over (partition by p_brand order by amount desc) as brand_rank from sold)
-select l_partkey, p_brand, cast(amount as double) as amount, brand_rank::int as brand_rank, (rank() over (order by amount desc))::int as overall_rank from r where brand_rank <= 10""",
+select l_partkey, p_brand, cast(amount as double) as amount, brand_rank::int as brand_rank, (rank() over (order by amount desc))::int as overall_rank from r""",
     "sku_share_top5": f"""with {_SOLD}, r as (select p_brand, l_partkey, amount, round(cast(amount as double) / cast(sum(amount) over (partition by p_brand) as double), 4) as amount_share, (rank() over (partition by p_brand order by amount desc))::int as rk from sold)
 select p_brand, l_partkey, cast(amount as double) as amount, amount_share, rk from r where rk <= 5""",
     "page_transitions": """with s as (select user_id, event_type as source, lead(event_type) over (partition by user_id order by ts, event_id) as target from events)
