@@ -24,6 +24,23 @@ def name_mentions(df: DataFrame, key: list[str], text: str, names: DataFrame) ->
     return found.join(names.select("name").distinct(), "name").select(*key, "name")
 
 
+def names_inside(df: DataFrame, key: list[str], text: str, names: DataFrame) -> DataFrame:
+    """(key, name): the names that each text holds anywhere, also inside a longer run of letters, each once.
+
+    For texts without blanks between words. Pieces of the names' lengths are
+    cut from every place and met by hash; the different lengths, a few, come
+    to the driver.
+    """
+    known = names.select("name").where("name <> ''").distinct()
+    lengths = sorted(r[0] for r in known.select(F.length("name")).distinct().collect())
+    if not lengths:
+        return df.select(*key, F.lit(None).cast("string").alias("name")).where(F.lit(False))
+    body = F.coalesce(F.col(text), F.lit(""))
+    cut = lambda n: F.transform(F.when(F.length(body) >= n, F.sequence(F.lit(1), F.length(body) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(body, i, F.lit(n)))
+    pieces = df.select(*key, F.explode(F.array_distinct(F.concat(*[cut(n) for n in lengths]))).alias("name"))
+    return pieces.join(known, "name").select(*key, "name")
+
+
 def name_pairs(mentions: DataFrame, key: list[str]) -> DataFrame:
     """(a, b, weight): texts in which both names are, a before b."""
     left = mentions.select(*key, F.col("name").alias("a"))

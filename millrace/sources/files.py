@@ -14,6 +14,7 @@ from millrace.functions.columns import camel
 TYPES = {
     "tinyint": "int",
     "smallint": "int",
+    "mediumint": "int",
     "int": "int",
     "integer": "int",
     "bigint": "bigint",
@@ -24,6 +25,10 @@ TYPES = {
     "varchar": "string",
     "text": "string",
     "json": "string",
+    "year": "string",
+    "binary": "binary",
+    "varbinary": "binary",
+    "blob": "binary",
     "date": "date",
     "datetime": "timestamp",
     "timestamp": "timestamp",
@@ -36,6 +41,27 @@ def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+def csv_counted(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, int]:
+    """csv_table() and its number of rows."""
+    df = csv_table(spark, path, schema)
+    return df, df.count()
+
+
+def head_rows(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
+    """The first n rows, in an order if one is given."""
+    return (df.orderBy(*order) if order else df).limit(n)
+
+
+def append_rows(df: DataFrame, path: str, columns: list[str], fmt: str = "parquet") -> None:
+    """Append the rows with these columns in this order."""
+    df.select(*columns).write.mode("append").format(fmt).save(path)
+
+
+def stamped(df: DataFrame, name: str = "etl_time") -> DataFrame:
+    """df with the time of this load; it differs with every run."""
+    return df.withColumn(name, F.current_timestamp())
+
+
 def extract(spark: SparkSession, url: str, table: str, *, split: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
     """A table of a database; split (column, least, greatest, parts) reads it in parallel."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from millrace.functions.columns import safe_number
 from millrace.operators.ranking import latest_per_key
 
 Put = Callable[[DataFrame, int], None]
@@ -78,6 +80,36 @@ def to_topic(servers: str, topic: str, keys: list[str] | None = None) -> Put:
     return lambda batch, _: write_topic(messages(batch, keys), servers, topic)
 
 
+def write_topic_stream(df: DataFrame, servers: str, topic: str, checkpoint: str, keys: list[str] | None = None) -> DataStreamWriter:
+    """A writer of a stream's rows as messages of a topic, acknowledged by all replicas."""
+    writer = messages(df, keys).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    return writer.option("kafka.acks", "all").option("kafka.enable.idempotence", "true").option("checkpointLocation", checkpoint)
+
+
+def keyed_table(path: str, keys: list[str], order: list[str], price: str | None = None) -> Put:
+    """For foreachBatch: merge a batch into a table of one row per key, the newest by `order`.
+
+    Versions lie in folders of their own, so a batch that is run again writes
+    its version again and none is read while it is written. Texts of `price`
+    become numbers; rows without a key go.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        rows = batch.withColumn(price, safe_number(F.col(price).cast("string"))[0]) if price else batch
+        for k in keys:
+            rows = rows.where(F.col(k).isNotNull())
+        if n:
+            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/version={n - 1}"))
+        latest_per_key(rows, keys, [F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{path}/version={n}")
+
+    return put
+
+
+def load_in_batches(df: DataFrame, path: str, ts: str, checkpoint: str, every: str = "15 seconds") -> DataStreamWriter:
+    """A stream into day partitions, a batch every 15 seconds; the source's `most` bounds a batch's rows (200,000, say)."""
+    return df.writeStream.foreachBatch(to_days(path, ts)).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
 def to_database(url: str, table: str, *, batch: int = 1000, **options: str) -> Put:
     """Append by prepared statements of `batch` rows; columns are bound by name."""
     return lambda rows, _: rows.write.format("jdbc").mode("append").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).save()
