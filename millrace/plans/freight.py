@@ -115,11 +115,12 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").drop("p_partkey")
 
 
-_MEASURES = [F.count(F.lit(1)).alias("trips"), F.sum("km").alias("km"), F.sum("seconds").alias("seconds")]
+def _measures() -> list[Column]:
+    return [F.count(F.lit(1)).alias("trips"), F.sum("km").alias("km"), F.sum("seconds").alias("seconds")]
 
 
 def truck_transport_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trips(spark, sf_dir).groupBy("organ_id", "truck_type", "dt").agg(*_MEASURES)
+    return _trips(spark, sf_dir).groupBy("organ_id", "truck_type", "dt").agg(*_measures())
 
 
 def _trips_nd(spark: SparkSession, sf_dir: str, days: tuple[int, ...]) -> DataFrame:
@@ -130,11 +131,11 @@ def _trips_nd(spark: SparkSession, sf_dir: str, days: tuple[int, ...]) -> DataFr
 def shift_transport_nd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips, km, seconds, orders and late trips per shift and line for the last 7 and 30 days."""
     late = F.count_if(F.col("seconds") > PLANNED_SECONDS).alias("late_trips")
-    return _trips_nd(spark, sf_dir, (7, 30)).groupBy("shift", "line", "recent_days").agg(*_MEASURES, F.count_distinct("l_orderkey").alias("orders"), late)
+    return _trips_nd(spark, sf_dir, (7, 30)).groupBy("shift", "line", "recent_days").agg(*_measures(), F.count_distinct("l_orderkey").alias("orders"), late)
 
 
 def transport_totals_1_7_30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trips_nd(spark, sf_dir, (1, 7, 30)).groupBy("recent_days").agg(*_MEASURES)
+    return _trips_nd(spark, sf_dir, (1, 7, 30)).groupBy("recent_days").agg(*_measures())
 
 
 def orders_1_7_30(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +150,7 @@ def _stats(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """Orders and trips of a place; a place of either side has a row, with means of the trips."""
     organ = organ_dim(spark, sf_dir).select("organ_id", F.col("organ_id").cast("string").alias("organ"), "city").select("organ_id", F.col(key).alias(key))
     orders = _stage_nd(spark, sf_dir, "received", (1, 7, 30)).join(organ, "organ_id").groupBy(key, "recent_days").agg(F.sum("order_count").alias("order_count"), F.sum("order_amount").cast("double").alias("order_amount"))
-    trips = _trips_nd(spark, sf_dir, (1, 7, 30)).join(organ, "organ_id").groupBy(key, "recent_days").agg(*_MEASURES)
+    trips = _trips_nd(spark, sf_dir, (1, 7, 30)).join(organ, "organ_id").groupBy(key, "recent_days").agg(*_measures())
     both = full_outer(orders, trips, [key, "recent_days"], {"order_count": 0, "order_amount": 0.0, "trips": 0, "km": 0.0, "seconds": 0})
     return both.select("*", ratio(F.col("km"), F.col("trips"), 2).alias("mean_km"), ratio(F.col("seconds"), F.col("trips"), 2).alias("mean_seconds"))
 
@@ -163,7 +164,7 @@ def organ_stats_1_7_30(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trip_report(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    return _trips_nd(spark, sf_dir, (1, 7, 30)).groupBy(key, "recent_days").agg(*_MEASURES, F.count_distinct("l_orderkey").alias("orders"))
+    return _trips_nd(spark, sf_dir, (1, 7, 30)).groupBy(key, "recent_days").agg(*_measures(), F.count_distinct("l_orderkey").alias("orders"))
 
 
 def shift_stats_1_7_30(spark: SparkSession, sf_dir: str) -> DataFrame:
