@@ -28,6 +28,11 @@ def _zero(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(0))
 
 
+def _over(top: Column, bottom: Column) -> Column:
+    """top / bottom as it is, not rounded; 0 where the base is 0 or missing."""
+    return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
+
+
 def _dwelt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """visits() with dwell seconds; the last event of a day has 0."""
     own = Window.partitionBy("user_id", "dt").orderBy("ts", "event_id")
@@ -137,9 +142,9 @@ def item_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
         _zero("orders").alias("orders"),
         amount.cast("double").alias("amount"),
         F.coalesce("amount_ytd", F.lit(0.0)).alias("amount_ytd"),
-        ratio(amount, F.col("orders"), 2).alias("mean_order_value"),
-        ratio(amount, F.col("visitors"), 2).alias("visitor_value"),
-        ratio(_zero("refund"), amount).alias("refund_rate"),
+        _over(amount, F.col("orders")).alias("mean_order_value"),
+        _over(amount, F.col("visitors")).alias("visitor_value"),
+        _over(_zero("refund"), amount).alias("refund_rate"),
     )
 
 
@@ -354,7 +359,7 @@ select o_custkey, period, period_key, count(*) as orders, cast(sum(amount) as do
     "item_overview": f"""with {_V}, {_D}, s as (select item as p_partkey, count(distinct user_id) as visitors from v group by 1),
 l as (select l_partkey as p_partkey, count(distinct l_orderkey) as orders, count(distinct o_custkey) as buyers, sum(original) as amount, sum(original) filter (year(dt) = year(today)) as ytd, coalesce(sum(original) filter (l_returnflag = 'R'), 0) as refund from d, today group by 1)
 select p_partkey, coalesce(visitors, 0) as visitors, coalesce(buyers, 0) as buyers, coalesce(orders, 0) as orders, cast(coalesce(amount, 0) as double) as amount, cast(coalesce(ytd, 0) as double) as amount_ytd,
-  round(coalesce(cast(amount as double) / orders, 0), 2) as mean_order_value, round(coalesce(cast(coalesce(amount, 0) as double) / visitors, 0), 2) as visitor_value, round(coalesce(cast(refund as double) / cast(amount as double), 0), 4) as refund_rate
+  coalesce(cast(amount as double) / orders, 0) as mean_order_value, coalesce(cast(coalesce(amount, 0) as double) / visitors, 0) as visitor_value, coalesce(cast(refund as double) / cast(amount as double), 0) as refund_rate
 from part left join l using (p_partkey) left join s using (p_partkey)""",
     "item_band_sales": f"""with {_D}, f as (select o_custkey, min(dt) as first_day from d group by 1)
 select case when p_retailprice < 950 then 'low' when p_retailprice < 1200 then 'middle' else 'high' end as band, count(distinct l_partkey) as sold_items, cast(sum(original) as double) as amount, sum(l_quantity) as quantity,
