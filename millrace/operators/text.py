@@ -42,7 +42,11 @@ def names_inside(df: DataFrame, key: list[str], text: str, names: DataFrame) ->
 
 
 def name_pairs(mentions: DataFrame, key: list[str]) -> DataFrame:
-    """(a, b, weight): texts in which both names are, a before b."""
+    """(a, b, weight): texts in which both names are, a before b.
+
+    All pairs of a text's names are the measure itself; a text is a sentence,
+    whose different names bound them.
+    """
     left = mentions.select(*key, F.col("name").alias("a"))
     right = mentions.select(*key, F.col("name").alias("b"))
     return left.join(right, key).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))

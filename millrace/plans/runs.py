@@ -2,7 +2,9 @@
 
 The events arrive in three batches in order of their number; every query reads
 them as a stream, keeps its state over the batches and returns what its sink
-holds at the end. A batch that is run again overwrites its own folder.
+holds at the end. A batch that is run again overwrites its own folder. Times of
+the events have no zone; streams need instants, so they are read in the session's
+zone, which is UTC for windows of a day to begin at midnight.
 """
 
 from __future__ import annotations
