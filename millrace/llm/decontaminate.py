@@ -14,9 +14,9 @@ demand more hits, so that fewer documents need the exact check. Candidates are
 verified by exact containment of shingle texts.
 
 Everything here is DataFrame operations. The probe table has a bounded number
-of rows per item; whether it is broadcast is left to Spark's size threshold,
-beyond which the same join shuffles, and adaptive execution splits a shingle
-that very many documents share. The exact check meets shingles by document and
+of rows per item; it is broadcast if it is counted to have a million rows at
+most, and beyond that the same join shuffles, and adaptive execution splits a
+shingle that very many documents share. The exact check meets shingles by document and
 shingle, so no shingle and no item gathers its documents in one task.
 """
 
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import explode_shingles, run_hash, run_text, table, words, written
+from millrace.operators.lookups import small_broadcast
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -99,7 +100,7 @@ def contained_items(
     an empty table on either side gives no rows.
     """
     item_words = written(items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("words")).distinct())
-    probes = written(item_probes(item_words, threshold))
+    probes = small_broadcast(written(item_probes(item_words, threshold)))
     least = F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9))
 
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
