@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm.alignment import op11_alignment
 from millrace.llm.bpe import op6_byte_bpe
 from millrace.llm.decontaminate import OP2_SQL, op2_decontamination
 from millrace.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
         op8_pii,
         op9_toxicity,
         op10_sharding,
+        op11_alignment,
     )
 }
 
