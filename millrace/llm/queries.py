@@ -5,6 +5,7 @@ from __future__ import annotations
 from millrace.llm.alignment import op11_alignment
 from millrace.llm.bpe import op6_byte_bpe
 from millrace.llm.decontaminate import OP2_SQL, op2_decontamination
+from millrace.llm.language import op12_language
 from millrace.llm.line_dedup import OP4_SQL, op4_line_dedup
 from millrace.llm.mpeg import op1_mpeg_media
 from millrace.llm.near_dups import op5_near_dups
@@ -28,6 +29,7 @@ QUERIES = {
         op9_toxicity,
         op10_sharding,
         op11_alignment,
+        op12_language,
     )
 }
 
