@@ -14,6 +14,7 @@ from millrace.llm.quality import op3_quality
 from millrace.llm.sharding import op10_sharding
 from millrace.llm.toxicity import op9_toxicity
 from millrace.llm.warc import OP7_SQL, op7_warc
+from millrace.llm.whitening import op13_whitening
 
 QUERIES = {
     f.__name__: f
@@ -30,6 +31,7 @@ QUERIES = {
         op10_sharding,
         op11_alignment,
         op12_language,
+        op13_whitening,
     )
 }
 
