@@ -19,7 +19,7 @@ from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,13 +197,13 @@ def predict(model: Model, x: np.ndarray) -> np.ndarray:
 def with_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """(keep, FEATURES as array<double> `x`) of every row."""
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = batch.pop("_mr_text")
-            yield batch.assign(x=[features(t) for t in body])
+            x = pa.array([features(t) for t in batch.column(len(keep)).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], x], names=[*keep, "x"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_mr_text")).mapInPandas(measure, f"{kinds}, x array<double>")
+    return docs.select(*keep, F.col(text).alias("_mr_text")).mapInArrow(measure, f"{kinds}, x array<double>")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, *, label: str = "quality", held_out: Column | None = None, max_sample: int = MAX_SAMPLE) -> Model:
@@ -225,13 +225,13 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     at; an empty table gives no rows.
     """
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch["body"]], dtype=np.float64).reshape(len(batch), len(FEATURES))
-            yield pd.DataFrame({"doc": batch["doc"], "score": predict(model, x)})
+            x = np.array([features(t) for t in batch.column(1).to_pylist()], dtype=np.float64).reshape(len(batch), len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predict(model, x))], names=["doc", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).mapInPandas(apply, f"doc {kind}, score double")
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).mapInArrow(apply, f"doc {kind}, score double")
 
 
 def _held_out(doc_id: str = "doc_id") -> Column:

@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,20 +229,21 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     ids stay; other columns are not looked at; an empty table gives no rows.
     """
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            out = []
-            for body in batch["body"]:
+            scores, sizes, passages = [], [], []
+            for body in batch.column(1).to_pylist():
                 n, found = scan(body, model)
                 z = model.slope * _excess([s for _, _, s in found], n, model.k) + model.offset
-                passages = [{"first": a, "last": b, "score": s} for a, b, s in found if model.k * max(n, 1) * math.exp(-s) <= MAX_EXPECTED]
-                out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), n, passages))
-            scores, sizes, passages = zip(*out, strict=True) if out else ([], [], [])
-            yield pd.DataFrame({"doc": batch["doc"], "score": pd.Series(scores, dtype="float64"), "n_tokens": pd.Series(sizes, dtype="int64"), "passages": pd.Series(passages, dtype="object")})
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                sizes.append(n)
+                passages.append([{"first": a, "last": b, "score": s} for a, b, s in found if model.k * max(n, 1) * math.exp(-s) <= MAX_EXPECTED])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), pa.array(passages, segments)], names=["doc", "score", "n_tokens", "passages"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc {kind}, score double, n_tokens long, passages array<struct<first:long,last:long,score:double>>"
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).mapInPandas(apply, schema)
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).mapInArrow(apply, schema)
 
 
 def _held_out(doc_id: str = "doc_id") -> Column:

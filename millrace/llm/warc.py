@@ -22,9 +22,9 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,19 +83,28 @@ def _header_text(value) -> str:
     return re.sub(r"[\r\n]", "", value or "")
 
 
-def _record(page_id, url, body: bytes, digest: str, refers, refers_url) -> bytes:
-    revisit = not pd.isna(refers)
+def _id_text(value: str | None) -> str:
+    """An id as it stands in records and capture lines: no blanks or control characters, '' for null."""
+    return "" if value is None else quote(value, safe="") or "%"
+
+
+def _id_of(text: str) -> str | None:
+    return {"": None, "%": ""}.get(text, unquote(text))
+
+
+def _record(page_id: str | None, url: str | None, body: bytes, digest: str, refers: str | None, refers_url: str | None) -> bytes:
+    revisit = refers is not None
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if pd.isna(page_id) else int(page_id)}>",
+        f"WARC-Record-ID: <urn:page:{_id_text(page_id)}>",
         f"WARC-Target-URI: {_header_text(url)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(body)}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{int(refers)}>", f"WARC-Refers-To-Target-URI: {_header_text(refers_url)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <urn:page:{_id_text(refers)}>", f"WARC-Refers-To-Target-URI: {_header_text(refers_url)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (b"" if revisit else body)
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -129,29 +138,35 @@ def write_archive(pages: DataFrame) -> DataFrame:
     every record, "key<TAB>id<TAB>archive<TAB>segment<TAB>offset<TAB>length".
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         archive, segment, start = TaskContext.get().partitionId(), 0, 0
         held, lines, size = [], [], 0
 
         def flush():
-            return pd.DataFrame({"archive": [archive], "segment": [segment], "start": [start], "data": [b"".join(held)], "lines": ["\n".join(lines)]})
+            return _batch([archive], [segment], [start], [b"".join(held)], ["\n".join(lines)])
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                member = gzip_member(_record(row.page_id, row.url, row.body, row.digest, row.refers_to, row.refers_url))
+            for page_id, url, body, digest, refers, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                member = gzip_member(_record(page_id, url, body, digest, refers, refers_url))
                 if held and size + len(member) > SEGMENT_BYTES:
                     yield flush()
                     start, segment = start + size, segment + 1
                     held, lines, size = [], [], 0
-                lines.append(f"{_safe_key(row.url)}\t{'' if pd.isna(row.page_id) else int(row.page_id)}\t{archive}\t{segment}\t{size}\t{len(member)}")
+                lines.append(f"{_safe_key(url)}\t{_id_text(page_id)}\t{archive}\t{segment}\t{size}\t{len(member)}")
                 held.append(member)
                 size += len(member)
         if held:
             yield flush()
 
-    return written(pages.mapInPandas(pack, "archive int, segment int, start long, data binary, lines string"))
+    def _batch(*columns):
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "segment", "start", "data", "lines"])
+
+    # Ids of any type go as text: no type of a batch can change them.
+    rows = pages.select(F.col("page_id").cast("string"), "url", "body", "digest", F.col("refers_to").cast("string"), "refers_url")
+    return written(rows.mapInArrow(pack, "archive int, segment int, start long, data binary, lines string"))
 
 
 def build_index(archive: DataFrame) -> DataFrame:
@@ -164,13 +179,13 @@ def build_index(archive: DataFrame) -> DataFrame:
     total = lines.count()
     per_block = max(BLOCK_LINES, -(-total // MAX_BLOCKS))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(part):
-            return pd.DataFrame({"first_key": [part[0]], "last_key": [part[-1]], "n_lines": [len(part)], "block": [zlib.compress("\n".join(part).encode(), 6)]})
+            return pa.RecordBatch.from_arrays([pa.array([part[0]]), pa.array([part[-1]]), pa.array([len(part)], pa.int32()), pa.array([zlib.compress("\n".join(part).encode(), 6)])], names=["first_key", "last_key", "n_lines", "block"])
 
         held: list[str] = []
         for batch in batches:
-            held += batch["line"].tolist()
+            held += batch.column(0).to_pylist()
             while len(held) >= per_block:
                 yield block(held[:per_block])
                 held = held[per_block:]
@@ -179,7 +194,7 @@ def build_index(archive: DataFrame) -> DataFrame:
 
     parts = max(1, min(2000, total // (per_block * 4)))
     ordered = lines.repartitionByRange(parts, "line").sortWithinPartitions("line")
-    return written(ordered.mapInPandas(cut, "first_key string, last_key string, n_lines int, block binary"))
+    return written(ordered.mapInArrow(cut, "first_key string, last_key string, n_lines int, block binary"))
 
 
 def find_captures(index: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -192,23 +207,23 @@ def find_captures(index: DataFrame, wanted: DataFrame) -> DataFrame:
     directory = sorted((r.first_key, r.last_key) for r in index.select("first_key", "last_key").collect())
     firsts, lasts = [a for a, _ in directory], [b for _, b in directory]
 
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, at = [], []
-            for key, page in zip(batch["key"], batch["id"], strict=True):
-                prefix = f"{key}\t" if pd.isna(page) else f"{key}\t{int(page)}\t"
+            for key, page, every in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                prefix = f"{key}\t" if every else f"{key}\t{_id_text(page)}\t"
                 low = bisect.bisect_left(lasts, prefix)
                 high = bisect.bisect_left(firsts, prefix + "\U0010ffff")
                 for b in range(low, high):
                     keys.append(prefix)
                     at.append(firsts[b])
-            if keys:
-                yield pd.DataFrame({"prefix": keys, "first_key": at})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(at, pa.string())], names=["prefix", "first_key"])
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         for batch in batches:
             rows = []
-            for block, prefixes in zip(batch["block"], batch["prefixes"], strict=True):
+            for block, prefixes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = zlib.decompress(block).decode().split("\n")
                 for prefix in prefixes:
                     i = bisect.bisect_left(lines, prefix)
@@ -216,47 +231,49 @@ def find_captures(index: DataFrame, wanted: DataFrame) -> DataFrame:
                         key, _, archive, segment, offset, length = lines[i].split("\t")
                         rows.append((key, int(archive), int(segment), int(offset), int(length)))
                         i += 1
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "archive", "segment", "offset", "length"])
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "archive", "segment", "offset", "length"])
 
-    located = wanted.select("key", "id").distinct().mapInPandas(locate, "prefix string, first_key string").distinct()
+    located = wanted.select("key", F.col("id").cast("string").alias("id"), F.col("id").isNull().alias("every")).distinct().mapInArrow(locate, "prefix string, first_key string").distinct()
     # However many lookups a block gets, a row holds about LOOKUPS of them.
     parts = located.groupBy(F.col("first_key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / LOOKUPS).cast("int").alias("parts"))
     dealt = located.join(parts, F.col("first_key") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("prefix"), F.col("parts")))
     grouped = dealt.groupBy("first_key", "part").agg(F.collect_list("prefix").alias("prefixes"))
-    return index.select("first_key", "block").join(grouped, "first_key").select("block", "prefixes").mapInPandas(search, "key string, archive int, segment int, offset int, length int")
+    return index.select("first_key", "block").join(grouped, "first_key").select("block", "prefixes").mapInArrow(search, "key string, archive int, segment int, offset int, length int")
 
 
-def read_captures(archive: DataFrame, captures: DataFrame) -> DataFrame:
+def read_captures(archive: DataFrame, captures: DataFrame, *, id_type: str = "long") -> DataFrame:
     """Records at the captures' byte ranges, parsed.
 
     (record_id, payload_bytes, payload_digest, record_type, refers_to,
     refers_key, payload_ok): of a response, length and digest come from its
     bytes, and payload_ok says that they are those in its header; of a revisit
-    they are stated only, see resolved().
+    they are stated only, see resolved(). Ids are stored as text and get the
+    pages' id_type back.
     """
     ranges = captures.select("archive", "segment", "offset", "length").distinct().groupBy("archive", "segment").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
         for batch in batches:
             rows = []
-            for data, wanted in zip(batch["data"], batch["ranges"], strict=True):
+            for data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for r in wanted:
                     fields, payload = parse_record(gunzip_member(data[r["offset"] : r["offset"] + r["length"]]))
-                    number = lambda name: int(n) if (n := fields.get(name, "<urn:page:>")[10:-1]) else None
+                    number = lambda name: _id_of(fields.get(name, "<urn:page:>")[10:-1])
                     stated, kind = (int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha256:")), fields["warc-type"]
                     got = (len(payload), hashlib.sha256(payload).hexdigest()) if kind == "response" else stated
                     key = _safe_key(fields.get("warc-refers-to-target-uri")) if kind == "revisit" else None
                     rows.append((number("warc-record-id"), *got, kind, number("warc-refers-to"), key, got == stated))
-            out = pd.DataFrame(rows, columns=["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_key", "payload_ok"])
-            if rows:
-                yield out.astype({"record_id": "Int64", "refers_to": "Int64"})
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_key", "payload_ok"])
 
     joined = archive.select("archive", "segment", "data").join(ranges, ["archive", "segment"]).select("data", "ranges")
-    return joined.mapInPandas(read, "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_key string, payload_ok boolean")
+    found = joined.mapInArrow(read, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, refers_key string, payload_ok boolean")
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("record_id", "refers_to")})
 
 
-def resolved(archive: DataFrame, index: DataFrame, records: DataFrame) -> DataFrame:
+def resolved(archive: DataFrame, index: DataFrame, records: DataFrame, *, id_type: str = "long") -> DataFrame:
     """records with the length and digest of revisits taken from the bytes of the responses that they refer to.
 
     (record_id, payload_bytes, payload_digest, record_type, refers_to). Bytes
@@ -265,7 +282,7 @@ def resolved(archive: DataFrame, index: DataFrame, records: DataFrame) -> DataFr
     many refer to is met in several places.
     """
     wanted = records.where("record_type = 'revisit'").select(F.col("refers_key").alias("key"), F.col("refers_to").alias("id")).distinct()
-    origin = read_captures(archive, find_captures(index, wanted)).where("record_type = 'response' and payload_ok")
+    origin = read_captures(archive, find_captures(index, wanted), id_type=id_type).where("record_type = 'response' and payload_ok")
     origin = origin.select(F.col("record_id").alias("o_id"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest")).distinct()
     origin = written(origin).withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = records.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
