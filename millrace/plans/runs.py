@@ -9,7 +9,9 @@ zone, which is UTC for windows of a day to begin at midnight.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.lookups import interval_join, lookup, lookup_first
@@ -17,7 +19,8 @@ from millrace.sources.scratch import scratch_folder
 from millrace.sources.tables import load
 from millrace.sources.topics import messages, typed_topic
 from millrace.streaming.changes import after_images, appends, by_table, change_records, event_time, first_visit_stream, query, routed, shaped, slim, source_tagged, united
-from millrace.streaming.events import drop_repeats, merge_parts, newest_only, parsed, split_log, windowed
+from millrace.streaming.closed import user_windows
+from millrace.streaming.events import drop_repeats, merge_parts, newest_only, parsed, split_log
 from millrace.streaming.metrics import product_days, revenue, trade_stats, views_and_users
 
 BATCHES = 3
@@ -26,8 +29,30 @@ PATIENCE = 1800
 KINDS = ("view", "click", "purchase")
 
 
-def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of BATCHES batches in order of event_id."""
+def stream_session(spark: SparkSession, *, timers: bool = False, **conf: str) -> SparkSession:
+    """A session of a stream's own, with the settings that matter here.
+
+    Empty batches let watermarks close windows after the last row. State with a
+    processing-time timeout would make them for ever, so `timers` is for it.
+    """
+    own = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+        if value := spark.conf.get(name, None):
+            # A static setting can't be set again, and needn't be.
+            if own.conf.isModifiable(name) or own.conf.get(name, None) is None:
+                own.conf.set(name, value)
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false" if timers else "true")
+    for name, value in conf.items():
+        own.conf.set(name.replace("__", "."), value)
+    return own
+
+
+def arrivals(spark: SparkSession, sf_dir: str, *, closing: bool = False) -> DataFrame:
+    """The events as a stream of BATCHES batches in order of event_id.
+
+    With `closing` one more batch follows: a row of each kind 400 days later,
+    without user or value, which lets every window before it close.
+    """
     events, path = load(spark, sf_dir, "events"), scratch_folder(spark)
     cuts = events.agg(F.percentile_approx("event_id", [k / BATCHES for k in range(1, BATCHES)], 1000)).first()[0] or [0] * (BATCHES - 1)
     edges = [None, *cuts, None]
@@ -35,6 +60,10 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
         above, upto = (F.lit(True) if low is None else F.col("event_id") > low), (F.lit(True) if high is None else F.col("event_id") <= high)
         events.where(above & upto).write.mode("append").parquet(path)
     files = spark.read.schema(events.schema).parquet(path).inputFiles()
+    if closing:
+        blank = {c: F.lit(None).cast(t).alias(c) for c, t in events.dtypes}
+        last = events.groupBy("event_type").agg(F.max("ts").alias("ts")).withColumn("ts", F.max("ts").over(Window.partitionBy()) + F.expr("interval 400 days"))
+        last.select(*[c if c in ("ts", "event_type") else blank[c] for c in events.columns]).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, len(files) // BATCHES)).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -44,25 +73,18 @@ def collected(df: DataFrame, mode: str = "append") -> DataFrame:
     spark, path = df.sparkSession, scratch_folder(df.sparkSession)
     folder = (lambda n: path) if mode == "complete" else (lambda n: f"{path}/batch={n}")
     put = lambda batch, n: batch.write.mode("overwrite").parquet(folder(n))
-    # Without it, state that has a timeout would make empty batches for ever.
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        run = query(df, f"{path}-state", put, mode=mode).start()
-        if not run.awaitTermination(PATIENCE):
-            run.stop()
-            raise TimeoutError("the stream has not ended")
-    finally:
-        spark.conf.set(name, before)
+    run = query(df, f"{path}-state", put, mode=mode).start()
+    if not run.awaitTermination(PATIENCE):
+        run.stop()
+        raise TimeoutError("the stream has not ended")
     return spark.read.schema(df.schema).parquet(*([path] if mode == "complete" else [f"{path}/batch=*"]))
 
 
-def _role(spark: SparkSession, sf_dir: str, roles: dict[str, str]) -> DataFrame:
+def _role(spark: SparkSession, sf_dir: str, roles: dict[str, str], **how) -> DataFrame:
     role = F.lit(None).cast("string")
     for kind, name in roles.items():
         role = F.when(F.col("event_type") == kind, name).otherwise(role)
-    rows = arrivals(spark, sf_dir).where(F.col("event_type").isin(list(roles)))
+    rows = arrivals(spark, sf_dir, **how).where(F.col("event_type").isin(list(roles)))
     return rows.select("event_id", "ts", "user_id", role.alias("event_type"), F.col("value").cast("decimal(18,4)").alias("amount"), F.from_json("props", "struct<k:long>")["k"].alias("sku_id"))
 
 
@@ -72,26 +94,27 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def stream_windows_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measures = [F.count(F.lit(1)).alias("events"), F.size(F.collect_set("user_id")).cast("long").alias("users"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("amount")]
-    return _plain(collected(windowed(arrivals(spark, sf_dir), "ts", "1 day", ["event_type"], measures), "complete"))
+    rows = arrivals(spark, sf_dir, closing=True).withColumn("value", F.col("value").cast("decimal(18,4)"))
+    days = user_windows(rows, "ts", "1 day", ["event_type"], {"any": F.lit(True)}, user="user_id", amount="value")
+    return _plain(collected(days)).select("window_start", "event_type", F.col("any_ct").alias("events"), F.col("any_user_ct").alias("users"), F.col("any_amount").cast("double").alias("amount"))
 
 
 def stream_trade_10min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _role(spark, sf_dir, {"click": "order", "purchase": "payment", "error": "refund"})
-    return _plain(collected(trade_stats(rows, "ts", ["sku_id"], width="10 minutes"), "complete"))
+    rows = _role(spark, sf_dir, {"click": "order", "purchase": "payment", "error": "refund"}, closing=True)
+    return _plain(collected(trade_stats(rows, "ts", ["sku_id"], width="10 minutes")))
 
 
 def stream_views_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = arrivals(spark, sf_dir).select("ts", "user_id", F.col("event_type").alias("channel"))
-    return _plain(collected(views_and_users(rows, "ts", ["channel"]), "complete"))
+    rows = arrivals(spark, sf_dir, closing=True).select("ts", "user_id", F.col("event_type").alias("channel"))
+    return _plain(collected(views_and_users(rows, "ts", ["channel"])))
 
 
 def stream_revenue_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(collected(revenue(_role(spark, sf_dir, {"purchase": "payment"}), "ts"), "complete"))
+    return _plain(collected(revenue(_role(spark, sf_dir, {"purchase": "payment"}, closing=True), "ts")))
 
 
 def stream_product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(collected(product_days(_role(spark, sf_dir, {"view": "consult", "click": "order", "purchase": "payment"}), "ts", "sku_id"), "complete"))
+    return _plain(collected(product_days(_role(spark, sf_dir, {"view": "consult", "click": "order", "purchase": "payment"}, closing=True), "ts", "sku_id")))
 
 
 def stream_first_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,8 +269,21 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.get_json_object("value", "$.o_orderstatus").alias("status"))
 
 
+_TIMED = ("stream_newest_only",)
+
+
+def _own_session(f):
+    """f over a session of its own, so that queries at the same time don't change each other's settings."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(stream_session(spark, timers=f.__name__ in _TIMED), sf_dir)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _own_session(f) if f.__name__.startswith("stream_") else f
     for f in (
         stream_windows_1d,
         stream_trade_10min,

@@ -1,7 +1,8 @@
 """Window metrics of events. Each takes a stream or a table and gives the same rows for both.
 
-A stream can't count distinct values, so there the users of an open window are
-a set in its state; their number bounds it.
+On a table distinct users are counted in one aggregation. A stream can't count
+distinct values; there two aggregations follow each other (closed.user_windows),
+windows come out once they are closed, and the state forgets them.
 """
 
 from __future__ import annotations
@@ -9,23 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.streaming.closed import user_windows
 from millrace.streaming.events import windowed
 
 
-def _distinct(df: DataFrame, value: Column) -> Column:
-    return F.size(F.collect_set(value)).cast("long") if df.isStreaming else F.count_distinct(value)
+def _kinds(df: DataFrame, ts: str, keys: list[str], kinds: list[str], user: str, amount: str, width: str, **how) -> DataFrame:
+    """Rows, users and amount of each kind of event per window and keys."""
+    if df.isStreaming:
+        mine = {k: F.col("event_type") == k for k in kinds}
+        found = user_windows(df, ts, width, keys, mine, user=user, amount=amount, **how)
+    else:
+        measures = []
+        for kind in kinds:
+            mine = F.col("event_type") == kind
+            measures += [F.count_if(mine).alias(f"{kind}_ct"), F.count_distinct(F.when(mine, F.col(user))).alias(f"{kind}_user_ct"), F.sum(F.when(mine, F.col(amount))).alias(f"{kind}_amount")]
+        found = windowed(df, ts, width, keys, measures, **how)
+    return found.withColumns({f"{k}_amount": F.coalesce(F.col(f"{k}_amount").cast("double"), F.lit(0.0)) for k in kinds})
 
 
-def _kinds(df: DataFrame, kinds: list[str], user: str, amount: str) -> list[Column]:
-    measures = []
-    for kind in kinds:
-        mine = F.col("event_type") == kind
-        measures += [
-            F.count_if(mine).alias(f"{kind}_ct"),
-            _distinct(df, F.when(mine, F.col(user))).alias(f"{kind}_user_ct"),
-            F.coalesce(F.sum(F.when(mine, F.col(amount))).cast("double"), F.lit(0.0)).alias(f"{kind}_amount"),
-        ]
-    return measures
+def _users(df: DataFrame, ts: str, width: str, keys: list[str], value: Column, where: Column, names: tuple[str, str], **how) -> DataFrame:
+    """Rows and distinct values of those that satisfy `where`, per window and keys, under these names."""
+    if df.isStreaming:
+        return user_windows(df.withColumn("_value", value), ts, width, keys, {"_m": where}, user="_value", **how).withColumnsRenamed({"_m_ct": names[0], "_m_user_ct": names[1]})
+    return windowed(df, ts, width, keys, [F.count_if(where).alias(names[0]), F.count_distinct(F.when(where, value)).alias(names[1])], **how)
 
 
 def trade_stats(df: DataFrame, ts: str, keys: list[str], *, user: str = "user_id", amount: str = "amount", width: str = "10 seconds", **how) -> DataFrame:
@@ -34,17 +41,17 @@ def trade_stats(df: DataFrame, ts: str, keys: list[str], *, user: str = "user_id
     One conditional aggregate stands for three aggregates and their joins: a
     single shuffle, and a single state on a stream.
     """
-    return windowed(df, ts, width, keys, _kinds(df, ["order", "payment", "refund"], user, amount), **how).where("order_ct > 0")
+    return _kinds(df, ts, keys, ["order", "payment", "refund"], user, amount, width, **how).where("order_ct > 0")
 
 
 def kind_stats(df: DataFrame, ts: str, keys: list[str], kind: str, *, user: str = "user_id", amount: str = "amount", width: str = "10 seconds", **how) -> DataFrame:
     """Count, users and amount of one kind of event per window and keys."""
     mine = df.where(F.col("event_type") == kind)
-    return windowed(mine, ts, width, keys, _kinds(mine, [kind], user, amount), **how)
+    return _kinds(mine, ts, keys, [kind], user, amount, width, **how)
 
 
 def views_and_users(df: DataFrame, ts: str, keys: list[str], *, user: str = "user_id", width: str = "10 seconds", **how) -> DataFrame:
-    return windowed(df, ts, width, keys, [F.count(F.lit(1)).alias("pv_ct"), _distinct(df, F.col(user)).alias("uv_ct")], **how)
+    return _users(df, ts, width, keys, F.col(user), F.lit(True), ("pv_ct", "uv_ct"), **how)
 
 
 def sessions(df: DataFrame, ts: str, keys: list[str], *, last_page: str = "last_page_id", width: str = "10 seconds", **how) -> DataFrame:
@@ -56,14 +63,17 @@ def displays(df: DataFrame, ts: str, keys: list[str], *, item: str = "item", wid
     """Displays and distinct items displayed, in windows that have displays or clicks of an item."""
     seen = df.where(F.col(item).isNotNull() & F.col("event_type").isin("display", "click"))
     shown = F.col("event_type") == "display"
-    return windowed(seen, ts, width, keys, [F.count_if(shown).alias("disp_ct"), _distinct(df, F.when(shown, F.col(item))).alias("disp_sku_num")], **how)
+    return _users(seen, ts, width, keys, F.col(item), shown, ("disp_ct", "disp_sku_num"), **how)
 
 
 def revenue(df: DataFrame, ts: str, *, user: str = "user_id", amount: str = "amount", width: str = "5 minutes", **how) -> DataFrame:
     """Sum of payments and number of different payers per window, over everything."""
-    return windowed(df, ts, width, [], [F.sum(amount).cast("double").alias("revenue"), _distinct(df, F.col(user)).alias("payers")], **how)
+    if df.isStreaming:
+        closed = user_windows(df, ts, width, [], {"_m": F.lit(True)}, user=user, amount=amount, **how)
+        return closed.select("window_start", "window_end", F.col("_m_amount").cast("double").alias("revenue"), F.col("_m_user_ct").alias("payers"))
+    return windowed(df, ts, width, [], [F.sum(amount).cast("double").alias("revenue"), F.count_distinct(user).alias("payers")], **how)
 
 
 def product_days(df: DataFrame, ts: str, product: str, *, user: str = "user_id", amount: str = "amount", **how) -> DataFrame:
     """Consultations, orders and payments per product and day."""
-    return windowed(df, ts, "1 day", [product], _kinds(df, ["consult", "order", "payment"], user, amount), **how)
+    return _kinds(df, ts, [product], ["consult", "order", "payment"], user, amount, "1 day", **how)
