@@ -18,10 +18,11 @@ from millrace.operators.lookups import interval_join, lookup, lookup_first
 from millrace.sources.scratch import scratch_folder
 from millrace.sources.tables import load
 from millrace.sources.topics import messages, typed_topic
-from millrace.streaming.changes import after_images, appends, by_table, change_records, event_time, first_visit_stream, query, routed, shaped, slim, source_tagged, united
+from millrace.streaming.changes import after_images, appends, by_table, change_records, event_time, query, routed, shaped, slim, source_tagged, united
 from millrace.streaming.closed import user_windows
 from millrace.streaming.events import drop_repeats, merge_parts, newest_only, parsed, split_log
 from millrace.streaming.metrics import product_days, revenue, trade_stats, views_and_users
+from millrace.streaming.state import ROCKS, first_visits
 
 BATCHES = 3
 #: Longest wait for a stream to end, in seconds.
@@ -120,12 +121,12 @@ def stream_product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_first_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is an event on the first day that its user was seen on so far?"""
     days = arrivals(spark, sf_dir).select("event_id", "user_id", F.to_date("ts").alias("dt"))
-    return collected(first_visit_stream(days, "user_id", "dt"))
+    return collected(first_visits(days, "user_id", "dt", lifetime_ms=None))
 
 
 def stream_newest_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = arrivals(spark, sf_dir).select("event_id", "user_id", F.from_json("props", "struct<k:long>")["k"].alias("item"))
-    return collected(newest_only(rows, "user_id", "item", "event_id"), "update")
+    return collected(newest_only(rows, "user_id", "item", "event_id"))
 
 
 def stream_repeats_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +270,8 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.get_json_object("value", "$.o_orderstatus").alias("status"))
 
 
-_TIMED = ("stream_newest_only",)
+#: Queries with state of their own, which needs another store and no empty batches.
+_KEYED = ("stream_newest_only", "stream_first_visits")
 
 
 def _own_session(f):
@@ -277,7 +279,8 @@ def _own_session(f):
 
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(stream_session(spark, timers=f.__name__ in _TIMED), sf_dir)
+        keyed = f.__name__ in _KEYED
+        return f(stream_session(spark, timers=keyed, **(ROCKS if keyed else {})), sf_dir)
 
     return run
 

@@ -1,15 +1,12 @@
-"""Change records of databases: (op, before, after, source, ts_ms) to rows per table, and keyed state over them."""
+"""Change records of databases: (op, before, after, source, ts_ms) to rows per table. state.py has keyed state over them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from millrace.streaming.events import parsed
 
@@ -109,56 +106,3 @@ def query(df: DataFrame, checkpoint: str, put: Callable[[DataFrame, int], None],
     """
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger)
-
-
-def snapshot_phase(changes: DataFrame, key: str, *, silence: int = 15) -> DataFrame:
-    """A stream's snapshot rows, phase `snapshot`, and per key one row, phase `completed`, when its snapshot is over.
-
-    It is over with the first live row, or after a silence (in seconds) that follows
-    snapshot rows. Live rows don't pass. changes has op and source; the row that marks
-    the end has its key only.
-    """
-    schema = StructType([*changes.schema.fields, StructField("phase", StringType())])
-    columns = changes.columns
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        over, begun = state.get if state.exists else (False, False)
-        ended = state.hasTimedOut and begun
-        if not state.hasTimedOut:
-            for pdf in batches:
-                old = (pdf["op"] == "r") | pdf["source"].map(lambda s: bool(s) and str(s["snapshot"]).lower() == "true")
-                begun, ended = begun or bool(old.any()), ended or not old.all()
-                if old.any():
-                    yield pdf[old].assign(phase="snapshot")
-            state.setTimeoutDuration(silence * 1000)
-        if ended and not over:
-            yield pd.DataFrame([{**dict.fromkeys(columns), key: keys[0], "phase": "completed"}], dtype=object)
-        state.update((over or ended, begun))
-
-    return changes.groupBy(key).applyInPandasWithState(step, schema, "over boolean, begun boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def first_visit_stream(df: DataFrame, device: str, day: str, *, lifetime: int | None = None) -> DataFrame:
-    """A stream with is_new: 1 on the earliest day its device has been seen on so far, else 0.
-
-    One date is kept per device: for good, or until `lifetime` seconds have
-    gone by without a row of it.
-    """
-    schema = StructType([*[f for f in df.schema.fields if f.name != "is_new"], StructField("is_new", IntegerType())])
-    names = schema.fieldNames()
-
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches))
-        first = pdf[day].dropna().min() if pdf[day].notna().any() else None
-        if state.exists and state.get[0] is not None:
-            first = state.get[0] if first is None else min(first, state.get[0])
-        state.update((first,))
-        if lifetime:
-            state.setTimeoutDuration(lifetime * 1000)
-        yield pdf.assign(is_new=(pdf[day] == first).astype("int32"))[names]
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if lifetime else GroupStateTimeout.NoTimeout
-    return df.groupBy(device).applyInPandasWithState(step, schema, "first date", "append", timeout)

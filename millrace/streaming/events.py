@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from millrace.streaming.state import newest_versions
 
 LOG_PARTS = ("err", "start", "displays", "actions", "page")
 
@@ -57,29 +57,13 @@ def drop_repeats(df: DataFrame, keys: list[str], *, ts: str | None = None, delay
 def newest_only(df: DataFrame, key: str, version: str, arrival: str) -> DataFrame:
     """Rows whose version is above all that arrived before for their key. Rows without a version go.
 
-    A stream keeps one number per key, for a day after the key's last row. The
-    version is a long. Rows of one micro-batch are taken in order of arrival.
+    A stream keeps one number per key, see state.newest_versions(). The version
+    is a long. Rows of one micro-batch are taken in order of arrival.
     """
-    if not df.isStreaming:
-        before = F.max(version).over(Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
-        return df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(version) > F.col("_before"))).where(F.col(version).isNotNull()).drop("_before")
-
-    def keep(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).dropna(subset=[version]).sort_values(arrival, kind="stable")
-        highest = rows[version].cummax().shift(1)
-        if state.exists:
-            highest = highest.fillna(state.get[0]).clip(lower=state.get[0])
-        fresh = rows[highest.isna() | (rows[version] > highest)]
-        if len(fresh):
-            state.update((int(fresh[version].max()),))
-        if state.exists:
-            state.setTimeoutDuration(24 * 3600 * 1000)
-        yield fresh
-
-    return df.groupBy(key).applyInPandasWithState(keep, df.schema, "highest long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    if df.isStreaming:
+        return newest_versions(df, key, version, [arrival])
+    before = F.max(version).over(Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(version) > F.col("_before"))).where(F.col(version).isNotNull()).drop("_before")
 
 
 def merge_parts(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -9,7 +9,8 @@ from millrace.operators import facts
 from millrace.operators.text import main_relation, relation_types
 from millrace.sources import files, topics
 from millrace.streaming import changes as ch
-from millrace.streaming import metrics
+from millrace.plans.runs import stream_session
+from millrace.streaming import metrics, state
 
 
 def _file(tmp_path, name, text):
@@ -93,16 +94,18 @@ def _run(df, tmp_path, mode="append"):
 
 
 def test_snapshot_phase(spark, tmp_path):
+    spark = stream_session(spark, timers=True, **state.ROCKS)
     first, _ = ch.change_records(_changes(spark, [("r", {"id": 1, "v": "a"}, "x", "true"), ("r", {"id": 2, "v": "b"}, "x", "true")]), ROW)
     then, _ = ch.change_records(_changes(spark, [("u", {"id": 2, "v": "c"}, "x", "false")]), ROW)
     stream = _stream(spark, tmp_path, [d.withColumn("db", F.lit("d")) for d in (first, then, then)])
-    assert sorted(r.phase for r in _run(ch.snapshot_phase(stream, "db", silence=600), tmp_path)) == ["completed", "snapshot", "snapshot"]
+    assert sorted(r.phase for r in _run(state.snapshot_phases(stream, "db", silence_ms=600_000), tmp_path)) == ["completed", "snapshot", "snapshot"]
 
 
 def test_first_visit_streams(spark, tmp_path):
+    spark = stream_session(spark, timers=True, **state.ROCKS)
     days = [[("a", date(2025, 7, 1)), ("a", date(2025, 7, 2))], [("a", date(2025, 7, 3)), ("b", date(2025, 7, 3)), ("c", None)]]
     stream = _stream(spark, tmp_path, [spark.createDataFrame(d, "device string, dt date") for d in days])
-    got = _run(ch.first_visit_stream(stream, "device", "dt", lifetime=86400), tmp_path)
+    got = _run(state.first_visits(stream, "device", "dt"), tmp_path)
     assert sorted((r.device, r.dt.day if r.dt else 0, r.is_new) for r in got) == [("a", 1, 1), ("a", 2, 0), ("a", 3, 0), ("b", 3, 1), ("c", 0, 0)]
 
 
@@ -110,7 +113,10 @@ def test_trade_windows_stream_as_tables(spark, tmp_path):
     rows = spark.createDataFrame([(1, 7, "order", 1, 5.0), (2, 7, "order", 1, 5.0), (3, 7, "payment", 1, 4.0), (4, 8, "refund", 2, 1.0), (15, 7, "order", 2, 2.0)], "s long, sku long, event_type string, user_id long, amount double").withColumn("ts", F.timestamp_seconds("s"))
     table = {tuple(r) for r in metrics.trade_stats(rows, "ts", ["sku"]).collect()}
     assert {(r[3], r[4], r[6]) for r in table} == {(2, 1, 1), (1, 1, 0)}
-    assert {tuple(r) for r in _run(metrics.trade_stats(_stream(spark, tmp_path, [rows]), "ts", ["sku"]), tmp_path, "complete")} == table
+    # In append mode windows come out once a later row has closed them; its own stays open.
+    spark = stream_session(spark)
+    closing = spark.createDataFrame([(999, 7, "order", 1, 0.0)], rows.drop("ts").schema).withColumn("ts", F.timestamp_seconds("s"))
+    assert {tuple(r) for r in _run(metrics.trade_stats(_stream(spark, tmp_path, [rows, closing]), "ts", ["sku"]), tmp_path)} == table
 
 
 def test_stage_daily_counts_a_stage_once(spark):

@@ -4,7 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from millrace.plans.runs import stream_session
 from millrace.streaming.events import latest_sink, newest_only, parsed, split_log, windowed
+from millrace.streaming.state import ROCKS
 
 
 def test_dirty_rows_are_split_off(spark):
@@ -26,8 +28,9 @@ def _stream(spark, tmp_path, rows, schema):
 
 
 def test_newest_only_streams(spark, tmp_path):
+    spark = stream_session(spark, timers=True, **ROCKS)
     stream = _stream(spark, tmp_path, [[(1, 5, 0), (1, 4, 1), (2, 1, 2)], [(1, 5, 3), (1, 6, 4), (2, None, 5)]], "k long, v long, n long")
-    run = newest_only(stream, "k", "v", "n").writeStream.outputMode("update").foreachBatch(lambda d, i: d.write.mode("overwrite").parquet(str(tmp_path / f"out/b={i}"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run = newest_only(stream, "k", "v", "n").writeStream.outputMode("append").foreachBatch(lambda d, i: d.write.mode("overwrite").parquet(str(tmp_path / f"out/b={i}"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert run.awaitTermination(60) and run.exception() is None
     got = {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, 5), (2, 1), (1, 6)}
