@@ -14,10 +14,12 @@ Probabilities are shares of all documents, read whole: p(t) counts the
 documents that hold t outside base spans, p(t, e) those of them that hold an
 entity of kind e as well. The share must not be chance: if t were independent
 of e, so many of t's distinct texts (copies of a text are one text there) would
-hold e with a probability of `significance` at most, by Chernoff's bound
-exp(-n KL(k/n || p(e))), which for k = n is exactly p(e)^n. So a term of a
-single text counts for an entity kind that is rare enough, and no number of
-texts is demanded as such.
+hold e with a probability of exp(-n KL(k/n || p(e))) at most (Chernoff), which
+for k = n is exactly p(e)^n. Every term is tried with every kind, and among so
+many trials some look unlikely by chance: of the terms that are called risky, a
+share of `discovery` at most is expected to be such (Benjamini and Hochberg's
+rule over all trials; a histogram of the bounds' logarithms gives the cut in
+one pass). No number of texts is demanded as such.
 
 DataFrame operations only. Patterns are written without backtracking (possessive
 quantifiers and look-behinds that give the same matches), so that a long run of
@@ -26,6 +28,7 @@ digits or letters costs linear time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,9 +48,14 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,match:string>>"
 DISCLOSURE = 0.8
-#: Chance at most that a term which is independent of an entity shows such a share of it.
-SIGNIFICANCE = 0.05
-#: Risky terms of three texts or more are broadcast up to this count; beyond it the join shuffles, with the same result.
+#: Share at most, of the terms called risky, that is expected to be independent of the entity.
+DISCOVERY = 0.05
+#: Cells of the histogram for one unit of the bound's logarithm, and its last cell: bounds beyond it are alike.
+CELLS = 8
+LAST_CELL = 8 * 700
+#: Up to so many risky terms every text is met with their list; beyond it a join finds each text's own, with the same result.
+LISTED_TERMS = 2_000
+#: In that join, risky terms of three texts or more are broadcast up to this count; beyond it the join shuffles.
 BROADCAST_TERMS = 500_000
 #: Items that are scanned together; it only sets the speed.
 CHUNK = 32
@@ -88,24 +96,29 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _chunks(items: Column) -> Column:
-    """A non-empty array in pieces of CHUNK."""
-    count = lambda x: F.floor((F.size(x) - 1) / CHUNK).cast("int")
+    """An array in pieces of CHUNK, at least one."""
+    count = lambda x: F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / CHUNK).cast("int")
     return _let(items, lambda x: F.transform(F.sequence(F.lit(0), count(x)), lambda i: F.slice(x, i * CHUNK + 1, F.lit(CHUNK))))
 
 
-def _running(items: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column], zero: Column) -> Column:
+def _running(items: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column], zero: Column, levels: int = 2) -> Column:
     """array<struct<before, item>>: each item with its predecessors' values, joined.
 
-    In two levels, chunks and the items of a chunk, so that an array of n takes
-    about n CHUNK / 2 steps and never n^2: no array or text grows by appending.
+    The items of a chunk, the chunks of a chunk of chunks, and so on: an array of
+    n takes about n CHUNK / 2 steps, and (n / CHUNK^levels)^2 / 2 more on the last level.
+    No array or text grows by appending.
     """
+    inside = lambda c, start: F.transform(c, lambda x, j: F.struct(F.aggregate(F.slice(c, F.lit(1), j), start, lambda acc, y: join(acc, value(y))).alias("before"), x.alias("item")))
+    if not levels:
+        return _let(items, lambda c: inside(c, zero))
 
     def per_chunk(chunks: Column) -> Column:
         totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda acc, x: join(acc, value(x))))
-        inside = lambda c, start: F.transform(c, lambda x, j: F.struct(F.aggregate(F.slice(c, F.lit(1), j), start, lambda acc, y: join(acc, value(y))).alias("before"), x.alias("item")))
-        return _let(totals, lambda t: F.flatten(F.transform(chunks, lambda c, i: _let(F.aggregate(F.slice(t, F.lit(1), i), zero, join), lambda start: inside(c, start)))))
+        starts = _running(totals, lambda t: t, join, zero, levels - 1)
+        return _let(starts, lambda s: F.flatten(F.transform(chunks, lambda c, i: inside(c, s[i]["before"]))))
 
-    return _let(_chunks(items), per_chunk)
+    # Each array is worked out once: its name is bound before it is used again. An empty one is one empty chunk.
+    return _let(items, lambda x: _let(_chunks(x), per_chunk))
 
 
 def _positions(text: Column, pattern: str) -> Column:
@@ -178,14 +191,20 @@ def _with_mask(spans: DataFrame) -> DataFrame:
     return plain.withColumn("masked", _rewritten(F.col("plain"), F.col("base"), hide)).drop("plain")
 
 
-def _terms(spans: DataFrame, keep: list[str]) -> DataFrame:
-    """A row per row of spans and distinct term outside its base spans."""
-    found = F.transform(F.regexp_extract_all("masked", F.lit(MASKED_TERM), F.lit(0)), F.lower)
-    rows = _with_mask(spans).select(*keep, F.explode_outer(F.array_distinct(found)).alias("term"))
-    return rows.where(F.col("term").isNotNull() & ~F.contains("term", F.lit(MASK)))
+def _held_terms() -> Column:
+    """The distinct terms of the row's masked text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all("masked", F.lit(MASKED_TERM), F.lit(0)), F.lower))
 
 
-def disclosing_terms(spans: DataFrame, *, disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE) -> DataFrame:
+def _terms(spans: DataFrame, keep: list[str], *, whole: bool = False) -> DataFrame:
+    """A row per row of spans and distinct term outside its base spans; with `whole` one more with a null term for each row."""
+    found = F.concat(F.array(F.lit(None).cast("string")), _held_terms()) if whole else _held_terms()
+    rows = _with_mask(spans).select(*keep, F.explode_outer(found).alias("term"))
+    kept = ~F.contains("term", F.lit(MASK))
+    return rows.where(kept | F.col("term").isNull() if whole else kept)
+
+
+def disclosing_terms(spans: DataFrame, *, disclosure: float = DISCLOSURE, discovery: float = DISCOVERY) -> DataFrame:
     """(term, kind, n_texts, disclosed, first_page, last_page) of the terms over the threshold.
 
     spans has (page, body, base) of all documents; page identifies a text, and
@@ -197,27 +216,44 @@ def disclosing_terms(spans: DataFrame, *, disclosure: float = DISCLOSURE, signif
     kinds = F.transform("base", lambda b: b["kind"])
     held = [F.array_contains(kinds, k).alias(f"has_{k}") for k in KINDS]
     weighed = weighed.select("page", "body", "base", "one", *held)
+    sums = ["n_docs", "n_texts", *[f"{x}_{k}" for k in KINDS for x in ("docs", "texts")]]
     counts = [F.count(F.lit(1)).alias("n_docs"), F.sum("one").alias("n_texts")]
     for k in KINDS:
         counts += [F.count_if(f"has_{k}").alias(f"docs_{k}"), F.sum(F.when(F.col(f"has_{k}"), F.col("one")).otherwise(0.0)).alias(f"texts_{k}")]
-    names = ["n_docs", "n_texts", *[f"{x}_{k}" for k in KINDS for x in ("docs", "texts")]]
-    whole = weighed.agg(*counts).first()  # one row of numbers
-    if not whole["n_docs"]:
-        whole = dict.fromkeys(names, 0)
-    per = _terms(weighed, ["page", "one", *[f"has_{k}" for k in KINDS]]).groupBy("term").agg(*counts, F.min("page").alias("first_page"), F.max("page").alias("last_page"))
-    some = per.where(" or ".join(f"docs_{k} > 0" for k in KINDS))
+    # A text without any term is counted by a null, so that one pass counts terms and documents.
+    rows = _terms(weighed, ["page", "one", *[f"has_{k}" for k in KINDS]], whole=True)
+    per = written(rows.groupBy("term").agg(*counts, F.min("page").alias("first_page"), F.max("page").alias("last_page")))
+    every = per.where("term is null").first()
+    whole = {c: every[c] for c in sums} if every else dict.fromkeys(sums, 0)
+    terms = per.where("term is not null")
+    n_terms = terms.count()
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), *[F.col(f"{x}_{k}").alias(x) for x in ("docs", "texts")], *[F.lit(whole[f"{x}_{k}"]).alias(f"all_{x}") for x in ("docs", "texts")]) for k in KINDS]))
+    some = terms.where(" or ".join(f"docs_{k} > 0" for k in KINDS))
     scored = some.select("term", "n_docs", "n_texts", "first_page", "last_page", each.alias("x")).select("*", "x.*").where((F.col("docs") > 0) & (F.col("all_docs") < whole["n_docs"]))
     info = F.log2(whole["n_docs"] / F.col("all_docs"))
     pmi = F.log2(F.col("docs") * whole["n_docs"] / (F.col("n_docs") * F.col("all_docs")))
     # Shares of distinct texts; sums of 1/copies are whole numbers but for rounding.
     p, share = F.col("all_texts") / whole["n_texts"], F.least(F.col("texts") / F.col("n_texts"), F.lit(1.0))
     rest = F.when(F.round("texts") < F.round("n_texts"), (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
-    unlikely = (share > p) & (F.col("n_texts") * (share * F.log(share / p) + rest) >= -F.log(F.lit(significance)) - 1e-9)
-    found = scored.where(unlikely).select("term", "kind", F.round("n_texts").cast("long").alias("n_texts"), (pmi / info).alias("disclosed"), "first_page", "last_page")
+    bound = F.when(share > p, F.col("n_texts") * (share * F.log(share / p) + rest)).otherwise(0.0)
+    scored = scored.withColumn("cell", F.least(F.floor(bound * CELLS + 1e-6), F.lit(LAST_CELL)).cast("int"))
+    # At most LAST_CELL rows come to the driver. Trials without a common document have a bound of 0.
+    cells = scored.where("cell > 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("cell")).collect()
+    cut = discovery_cut([(r.cell, r.n) for r in cells], n_terms * sum(0 < whole[f"docs_{k}"] < whole["n_docs"] for k in KINDS), discovery)
+    found = scored.where(F.col("cell") >= cut).select("term", "kind", F.round("n_texts").cast("long").alias("n_texts"), (pmi / info).alias("disclosed"), "first_page", "last_page")
     return found.where(F.col("disclosed") > disclosure)
 
 
+def discovery_cut(cells: list[tuple[int, int]], trials: int, discovery: float) -> int:
+    """The least cell from which on the expected share of chance is `discovery` at most; cells fall, each with its number of trials."""
+    cut, seen = LAST_CELL + 1, 0
+    for cell, n in cells:
+        seen += n
+        if math.exp(-cell / CELLS) * trials <= discovery * seen:
+            cut = cell
+    return cut
+
+
 def _flagged(spans: DataFrame, risky: DataFrame) -> DataFrame:
     """(page, terms): the risky terms that each text holds outside its base spans.
 
@@ -245,18 +281,24 @@ def _term_spans() -> Column:
     return F.transform(hits, lambda r: F.struct(r["item"]["start"].alias("start"), F.lit(len(KINDS)).alias("kind_no"), r["item"]["end"].alias("end"), F.lit("term").alias("kind"), r["item"]["term"].alias("match")))
 
 
-def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, significance: float = SIGNIFICANCE) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, discovery: float = DISCOVERY) -> DataFrame:
     """base_spans() with `spans`, the base spans and those of every disclosing term.
 
     A span of kind term never overlaps a base span. Null texts count as empty
     and have no spans; repeated rows stay; an id may be of any type and null;
     columns other than the two are not looked at. Very long texts and texts of
-    very many matches take time in proportion. Empty tables give no rows.
+    very many matches take time in proportion (see _running()). Empty tables give no rows.
     """
     paged = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("page", F.xxhash64("body"))
     spans = _with_base(paged.select("page", "body"))
-    terms = written(disclosing_terms(spans, disclosure=disclosure, significance=significance).groupBy("term", "n_texts", "first_page", "last_page").agg(F.max("disclosed").alias("disclosed")))
-    marked = _with_mask(_with_base(paged.join(_flagged(spans, terms), "page", "left")))
+    terms = written(disclosing_terms(spans, disclosure=disclosure, discovery=discovery).groupBy("term", "n_texts", "first_page", "last_page").agg(F.max("disclosed").alias("disclosed")))
+    listed = [r.term for r in terms.select("term").limit(LISTED_TERMS + 1).collect()]
+    if len(listed) <= LISTED_TERMS:
+        marked = _with_mask(_with_base(paged))
+        marked = marked.withColumn("terms", F.array_intersect(_held_terms(), F.lit(sorted(listed)).cast("array<string>")) if listed else F.lit(None).cast("array<string>"))
+        marked = marked.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))
+    else:
+        marked = _with_mask(_with_base(paged.join(_flagged(spans, terms), "page", "left")))
     none = F.array().cast(SPANS)
     extra = F.when(F.col("terms").isNotNull(), F.coalesce(_term_spans(), none)).otherwise(none)
     return marked.select("doc", *[f"n_{k}" for k in KINDS], "base", F.sort_array(F.concat("base", extra)).alias("spans"), "body")
