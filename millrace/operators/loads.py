@@ -62,6 +62,24 @@ def zipper_daily(open_rows: DataFrame, changes: DataFrame, keys: list[str], orde
     return ranked.withColumn("end_date", F.when(F.col("_nth") == 1, F.col("end_date")).otherwise(F.date_sub(day, 1))).drop("_nth")
 
 
+def versions_of_runs(changes: DataFrame, keys: list[str], state: list[str], day: str, order: list[str]) -> DataFrame:
+    """(keys, state, start_date, end_date): the versions that changes of many days make, in one pass.
+
+    A day's state is that of its last change by `order`. Days of equal state in
+    a row are one version; it ends on the day before the next one begins, and
+    the last one is open. Changes may come in any order and late: a change of an
+    earlier day falls between the versions that it belongs to, and may split or
+    join them. Changes without a day go; null states are states. A late change
+    needs the days' own states, which versions alone don't hold.
+    """
+    last = changes.where(F.col(day).isNotNull()).groupBy(*keys, F.col(day).alias("start_date")).agg(F.max(F.struct(*order, *state)).alias("_last"))
+    daily = last.select(*keys, "start_date", *[F.col(f"_last.{c}").alias(c) for c in state])
+    own = Window.partitionBy(*keys).orderBy("start_date")
+    here = F.struct(*state)
+    begun = daily.withColumn("_before", F.lag(here).over(own)).where(F.col("_before").isNull() | ~here.eqNullSafe(F.col("_before"))).drop("_before")
+    return begun.withColumn("end_date", F.coalesce(F.date_sub(F.lead("start_date").over(own), 1), F.lit(OPEN))).select(*keys, *state, "start_date", "end_date")
+
+
 def accumulating(process: DataFrame, milestones: dict[str, DataFrame], key: str) -> DataFrame:
     """One row per process with the day of each milestone; milestones have (key, dt).
 

@@ -44,6 +44,38 @@ def rank_by_ranges(df: DataFrame, value: str, keys: list[str], starts: list, nam
     return ranked.select(*df.columns, (F.col("_within") + F.col("_before")).cast("int").alias(name))
 
 
+def ranks_at_once(df: DataFrame, ids: list[str], measures: dict[str, str], *, within: list[str] | None = None, ranges: int = 64) -> DataFrame:
+    """df with rank() by each measure (measure: name of its rank), highest first and nulls last, over all rows or within keys.
+
+    Measures become rows, so that one pass cuts each into about `ranges` ranges
+    of as many rows, one shuffle ranks all of them by ranges, and one more
+    brings a row's ranks together. No task sorts more than one range of one
+    measure, equal values apart. ids identify a row. df is read three times, so
+    it should be a stored table.
+    """
+    keys = within or []
+    tall = df.select(*ids, *keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("decimal(38,6)").alias("value")) for m in measures])).alias("_m")).select(*ids, *keys, "_m.measure", "_m.value")
+    # One row of `ranges` numbers for each measure.
+    cuts = tall.groupBy("measure").agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts"))
+    tall = tall.join(F.broadcast(cuts), "measure", "left")
+    above = F.size(F.filter(F.array_distinct(F.coalesce("cuts", F.array().cast("array<decimal(38,6)>"))), lambda x: x > F.col("value")))
+    ranged = tall.withColumn("_range", F.when(F.col("value").isNull(), F.lit(ranges)).otherwise(above)).drop("cuts")
+    counts = ranged.groupBy(*keys, "measure", "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    own = Window.partitionBy(*keys, "measure").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "measure", "_range"])], F.coalesce(F.sum("_rows").over(own), F.lit(0)).alias("_before"))
+    ranked = ranged.withColumn("_rank", F.rank().over(Window.partitionBy(*keys, "measure", "_range").orderBy(F.desc_nulls_last("value"))))
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "measure", "_range"]):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # Without keys there are a few rows for each measure.
+    whole = ranked.join(before if keys else F.broadcast(before), same).withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("int"))
+    wide = whole.groupBy(*[F.col(k).alias(f"_id{i}") for i, k in enumerate(ids)]).agg(*[F.max(F.when(F.col("measure") == m, F.col("_rank"))).alias(name) for m, name in measures.items()])
+    met = F.lit(True)
+    for i, k in enumerate(ids):
+        met &= F.col(k).eqNullSafe(F.col(f"_id{i}"))
+    return df.join(wide, met).drop(*[f"_id{i}" for i in range(len(ids))])
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in this order."""
     own = Window.partitionBy(*keys).orderBy(*order)

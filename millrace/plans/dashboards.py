@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from millrace.operators.aggregates import ratio
-from millrace.operators.ranking import gap_seconds, global_rank, latest_per_key, range_starts, rank_by_ranges, running_sum, share, top_ranked
+from millrace.operators.ranking import gap_seconds, ranks_at_once, latest_per_key, range_starts, rank_by_ranges, running_sum, share, top_ranked
 from millrace.plans.trade import business_date, order_lines
+from millrace.sources.scratch import stored
 from millrace.sources.tables import load, money
 
 
@@ -142,9 +143,9 @@ def entry_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_host_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host of the URL: pages, rank, share; ties kept, top 20."""
     host = F.try_parse_url("url", F.lit("HOST"))
-    per = load(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+    per = stored(load(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages")))
     whole = per.crossJoin(per.agg(F.sum("pages").alias("all_pages")))
-    ranked = global_rank(whole.select("host", "pages", ratio(F.col("pages"), F.col("all_pages"), 6).alias("share")), [F.desc("pages")])
+    ranked = ranks_at_once(whole.select("host", "pages", ratio(F.col("pages"), F.col("all_pages"), 6).alias("share")), ["host"], {"pages": "rk"})
     return ranked.where("rk <= 20")
 
 
