@@ -57,9 +57,13 @@ def pattern_kind(text: Column, kinds: dict[str, str], other: str) -> Column:
 
 
 def calendar(spark: SparkSession, first: str, days: int) -> DataFrame:
-    """A row per day from first (yyyy-MM-dd) on with its calendar parts; weeks are ISO weeks, Monday is day 1."""
+    """calendar_of() of a row per day from first (yyyy-MM-dd) on."""
     start = F.to_date(F.lit(first))
-    rows = spark.range(1).select(F.explode(F.sequence(start, F.date_add(start, days - 1))).alias("dt"))
+    return calendar_of(spark.range(1).select(F.explode(F.sequence(start, F.date_add(start, days - 1))).alias("dt")))
+
+
+def calendar_of(rows: DataFrame) -> DataFrame:
+    """Days (dt) with their calendar parts; weeks are ISO weeks, Monday is day 1."""
     weekday = F.weekday("dt") + 1
     return rows.select(
         "dt",
@@ -74,13 +78,16 @@ def calendar(spark: SparkSession, first: str, days: int) -> DataFrame:
     )
 
 
-def category_tree(spark: SparkSession, widths: tuple[int, ...]) -> DataFrame:
-    """(level, id, parent_id, name) of a tree that has widths[k] children below each node of level k; roots have no parent."""
-    tree = level = None
-    for k, width in enumerate(widths, 1):
-        parents = spark.range(1).select(F.lit(None).cast("long").alias("parent_id")) if level is None else level.select(F.col("id").alias("parent_id"))
-        placed = parents.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(width).cast("long"))))
-        number = F.coalesce((F.col("parent_id") - 1) * width, F.lit(0)) + F.col("at")
-        level = placed.select(F.lit(k).alias("level"), number.alias("id"), "parent_id").withColumn("name", F.concat(F.lit(f"level {k} no "), F.col("id").cast("string")))
+def levels_of(df: DataFrame, columns: list[str], count: str) -> DataFrame:
+    """(level, name, parent, count) of the hierarchy that columns make, outermost first: a row per value of each level under its parents.
+
+    A name is its values joined by ' / '; rows with a null on the way end at the
+    level before it.
+    """
+    tree = None
+    for k in range(1, len(columns) + 1):
+        name, parent = F.concat_ws(" / ", *columns[:k]), F.concat_ws(" / ", *columns[: k - 1]) if k > 1 else F.lit(None).cast("string")
+        rows = df.where(" and ".join(f"`{c}` is not null" for c in columns[:k]))
+        level = rows.groupBy(F.lit(k).alias("level"), name.alias("name"), parent.alias("parent")).agg(F.count(F.lit(1)).alias(count))
         tree = level if tree is None else tree.unionByName(level)
     return tree

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import hash_if, mask_name
-from millrace.operators.dims import attribute_sets, calendar, category_tree, chain, labelled, not_deleted, rule_text
+from millrace.operators.dims import attribute_sets, calendar_of, chain, labelled, levels_of, not_deleted, rule_text
 from millrace.operators.facts import order_details
 from millrace.operators.loads import OPEN, zipper_daily, zipper_first
 from millrace.operators.ranking import latest_per_key
@@ -18,10 +18,6 @@ from millrace.plans.logistics import organ_dim
 from millrace.plans.trade import business_date
 from millrace.sources.tables import load
 
-#: Days of the calendar and its first; a fixed span, as the date dimension has.
-CALENDAR = ("1995-01-01", 400)
-#: Children per level of the category tree.
-TREE = (3, 4, 5)
 SEGMENTS = {"AUTOMOBILE": "car", "BUILDING": "house", "FURNITURE": "home", "MACHINERY": "works", "HOUSEHOLD": "home"}
 PHONE_PATTERN = "^1[3-9][0-9]{9}$"
 
@@ -134,17 +130,15 @@ def dim_promotion_referrer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """400 days with calendar parts, and the orders of each."""
-    per = load(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("dt")).agg(F.count(F.lit(1)).alias("orders"))
-    return calendar(spark, *CALENDAR).join(per, "dt", "left").fillna(0, ["orders"])
+    """Every day from the first order to the last with calendar parts, and the orders of each."""
+    per = load(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("dt")).agg(F.count(F.lit(1)).alias("orders")).where("dt is not null")
+    days = per.agg(F.explode(F.sequence(F.min("dt"), F.max("dt"))).alias("dt"))
+    return calendar_of(days).join(per, "dt", "left").fillna(0, ["orders"])
 
 
 def dim_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated category tree with the parts that are dealt to its leaves."""
-    leaves = TREE[0] * TREE[1] * TREE[2]
-    per = load(spark, sf_dir, "part").groupBy((F.col("p_partkey") % leaves + 1).alias("leaf")).agg(F.count(F.lit(1)).alias("parts"))
-    tree = category_tree(spark, TREE)
-    return tree.join(per, (F.col("level") == 3) & (F.col("id") == F.col("leaf")), "left").drop("leaf").fillna(0, ["parts"])
+    """The category tree of the parts, from their type, brand and size, with the parts below each node."""
+    return levels_of(load(spark, sf_dir, "part"), ["p_type", "p_brand", "p_size"], "parts")
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, object]:
@@ -226,14 +220,11 @@ select a as activity_id, case when a % 2 = 0 then 'full' else 'piece' end as kin
     "dim_province": "select n_nationkey as city_id, n_name as city, n_regionkey as province_id, r_name as province from nation left join region on n_regionkey = r_regionkey",
     "dim_promotion_position": "select distinct event_type as position, upper(event_type[1:1]) as area from events",
     "dim_promotion_referrer": "with h as (select distinct regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as referrer from pages) select referrer, array_to_string(string_split(referrer, '.')[-2:], '.') as domain from h",
-    "dim_date": f"""with d as (select (date '{CALENDAR[0]}' + i::int)::date as dt from range({CALENDAR[1]}) t(i)), o as (select cast(o_orderdate as date) as dt, count(*) as orders from orders group by 1)
+    "dim_date": """with o as (select cast(o_orderdate as date) as dt, count(*) as orders from orders group by 1), d as (select unnest(generate_series(min(dt), max(dt), interval 1 day))::date as dt from o)
 select dt, year(dt)::int as year, quarter(dt)::int as quarter, month(dt)::int as month, day(dt)::int as day, isoyear(dt)::int as iso_year, weekofyear(dt)::int as week, isodow(dt)::int as weekday, (isodow(dt) >= 6)::int as is_weekend, coalesce(orders, 0) as orders
 from d left join o using (dt)""",
-    "dim_category": f"""with l1 as (select i as id, null::bigint as parent_id from range(1, {TREE[0]} + 1) t(i)),
-l2 as (select i as id, (i - 1) // {TREE[1]} + 1 as parent_id from range(1, {TREE[0] * TREE[1]} + 1) t(i)), l3 as (select i as id, (i - 1) // {TREE[2]} + 1 as parent_id from range(1, {TREE[0] * TREE[1] * TREE[2]} + 1) t(i)),
-p as (select p_partkey % {TREE[0] * TREE[1] * TREE[2]} + 1 as leaf, count(*) as parts from part group by 1)
-select 1 as level, id, parent_id, 'level 1 no ' || id as name, 0::bigint as parts from l1 union all select 2, id, parent_id, 'level 2 no ' || id, 0 from l2
-union all select 3, id, parent_id, 'level 3 no ' || id, coalesce(parts, 0) from l3 left join p on leaf = id""",
+    "dim_category": """select 1 as level, p_type as name, null::varchar as parent, count(*) as parts from part group by all union all select 2, p_type || ' / ' || p_brand, p_type, count(*) from part group by all
+union all select 3, p_type || ' / ' || p_brand || ' / ' || p_size, p_type || ' / ' || p_brand, count(*) from part group by all""",
     "scd2_customer": f"with {_VERSIONS} select * from z",
     "scd2_user_masked": f"with {_VERSIONS} select o_custkey, c_name[1:1] || '*' as name, status, start_date, end_date, (end_date = date '9999-12-31')::int as is_open from z join customer on c_custkey = o_custkey",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -86,25 +87,59 @@ def write_topic_stream(df: DataFrame, servers: str, topic: str, checkpoint: str,
     return writer.option("kafka.acks", "all").option("kafka.enable.idempotence", "true").option("checkpointLocation", checkpoint)
 
 
-def keyed_table(path: str, keys: list[str], order: list[str], price: str | None = None) -> Put:
-    """For foreachBatch: merge a batch into a table of one row per key, the newest by `order`.
+def keyed_table(path: str, keys: list[str], order: list[str], price: str | None = None, *, buckets: int = 64) -> Put:
+    """For foreachBatch: merge a batch into a table of one row per key, the newest by `order`; read_keyed() reads it.
 
-    Versions lie in folders of their own, so a batch that is run again writes
-    its version again and none is read while it is written. Texts of `price`
-    become numbers; rows without a key go.
+    Keys are dealt into buckets. A batch reads and writes the buckets that it
+    touches only, into a folder of its version, and a manifest of one row per
+    bucket says which version holds which bucket. So a batch that is run again
+    writes its version again, none is read while it is written, and a table may begin
+    at any batch number. Texts of `price` become numbers; rows without a key go.
     """
 
     def put(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
         rows = batch.withColumn(price, safe_number(F.col(price).cast("string"))[0]) if price else batch
         for k in keys:
             rows = rows.where(F.col(k).isNotNull())
-        if n:
-            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/version={n - 1}"))
-        latest_per_key(rows, keys, [F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{path}/version={n}")
+        rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # at most `buckets` numbers
+            held = _manifest(spark, path, n)
+            old = [f"{path}/version={held[b]}/_bucket={b}" for b in touched if b in held]
+            plain = rows.drop("_bucket")
+            # One read of all of them; the bucket follows from the key.
+            both = plain.unionByName(spark.read.schema(plain.schema).parquet(*old)) if old else plain
+            newest = latest_per_key(both, keys, [F.desc(c) for c in order]).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            newest.repartition(len(touched) or 1, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/version={n}")
+            now = held | dict.fromkeys(touched, n)
+            spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={n}")
+        finally:
+            rows.unpersist()
 
     return put
 
 
+def _manifest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Bucket -> version by the newest manifest of an earlier batch (of all batches without `before`)."""
+    try:
+        all_ = spark.read.schema("bucket int, version long, batch long").parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    some = all_ if before is None else all_.where(F.col("batch") < before)
+    newest = some.agg(F.max("batch")).first()[0]
+    return {r.bucket: r.version for r in some.where(F.col("batch") == newest).collect()} if newest is not None else {}
+
+
+def read_keyed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that keyed_table() keeps in this folder, as its newest manifest has it."""
+    held = _manifest(spark, path)
+    paths = [f"{path}/version={v}/_bucket={b}" for b, v in held.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def load_in_batches(df: DataFrame, path: str, ts: str, checkpoint: str, every: str = "15 seconds") -> DataStreamWriter:
     """A stream into day partitions, a batch every 15 seconds; the source's `most` bounds a batch's rows (200,000, say)."""
     return df.writeStream.foreachBatch(to_days(path, ts)).option("checkpointLocation", checkpoint).trigger(processingTime=every)
