@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
@@ -105,5 +106,9 @@ class TableChanges(DataSource):
 
 def table_changes(spark: SparkSession, path: str):
     """The changes of the captured table in this folder, as a stream of (phase, op, seq, row)."""
-    spark.dataSource.register(TableChanges)
+    try:
+        spark.dataSource.register(TableChanges)
+    except AnalysisException as e:  # by an earlier session of the application
+        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
     return spark.readStream.format("table_changes").load(path)
