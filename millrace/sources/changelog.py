@@ -15,9 +15,9 @@ behind it follow, none lost or doubled, also when the query stops in between.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
@@ -105,10 +105,11 @@ class TableChanges(DataSource):
 
 
 def table_changes(spark: SparkSession, path: str):
-    """The changes of the captured table in this folder, as a stream of (phase, op, seq, row)."""
-    try:
-        spark.dataSource.register(TableChanges)
-    except AnalysisException as e:  # by an earlier session of the application
-        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
-            raise
-    return spark.readStream.format("table_changes").load(path)
+    """The changes of the captured table in this folder, as a stream of (phase, op, seq, row).
+
+    Registered under a name of its own each time, as a name that one session has
+    taken can't be used by another.
+    """
+    name = f"table_changes_{uuid.uuid4().hex}"
+    spark.dataSource.register(type("TableChanges", (TableChanges,), {"name": classmethod(lambda cls: name)}))
+    return spark.readStream.format(name).load(path)
