@@ -5,8 +5,9 @@ pages that hold a line is the count of pages with the line over the host's page
 total. A line whose share exceeds the boilerplate ratio is dropped from every
 page of that host.
 
-Pages are distinct texts of a host. A copied page is one page, so that a group
-of copies can't make its own content look like boilerplate.
+Pages are a host's rows with a text. With copies="once" equal texts of a host
+are one page, so that a group of copies can't make its own content look like
+boilerplate; the pipeline, which drops copies later, takes them so.
 
 Lines are compared by 128 bits of hash: among 10^12 different lines the chance
 that any two agree is about 10^-15.
@@ -28,6 +29,7 @@ from millrace.llm.common import table, written
 MAX_RATIO = 0.05
 MIN_PAGES = 3
 BLANKS = " \t\r"
+COPIES = ("each", "once")
 
 
 def _line_key(line: Column) -> Column:
@@ -49,14 +51,19 @@ def _page_lines(pages: DataFrame, host: str, text: str) -> DataFrame:
     return base.select("host", "page", F.explode_outer(F.array_distinct(filled)).alias("text")).where(F.col("text").isNotNull()).select("host", "page", _hashed(F.col("text")).alias("line"))
 
 
-def boilerplate_lines(pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: str = "once") -> DataFrame:
     """(host, line, n_pages, host_pages) of the lines over the ratio; line is a struct of two hashes.
 
     Lines are compared without blanks at their ends; empty lines and null
     texts count for nothing; a null host is a host of its own.
     """
-    totals = pages.where(F.col(text).isNotNull()).groupBy(F.col(host).alias("total_host")).agg(F.count_distinct(F.xxhash64(text)).alias("host_pages"))
-    counts = _page_lines(pages, host, text).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    if copies not in COPIES:
+        raise ValueError(f"copies must be one of {COPIES}")
+    once = copies == "once"
+    page = F.count_distinct(F.xxhash64(text)) if once else F.count(F.lit(1))
+    totals = pages.where(F.col(text).isNotNull()).groupBy(F.col(host).alias("total_host")).agg(page.alias("host_pages"))
+    lines = _page_lines(pages, host, text)
+    counts = (lines.distinct() if once else lines).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
     return (
         counts.join(totals, counts["host"].eqNullSafe(totals["total_host"]))
         .where(F.col("n_pages") > F.lit(max_ratio) * F.col("host_pages"))
@@ -92,13 +99,13 @@ def drop_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "tex
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text without boilerplate lines, n_lines, n_dropped of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return drop_boilerplate(docs, counted=True).drop("source")
+    return drop_boilerplate(docs, counted=True, copies="each").drop("source")
 
 
 OP4_SQL = f"""
 with p as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
-l as (select distinct source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(13))))) as line from p),
-t as (select source, count(distinct text) as total from p group by source),
+l as (select source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(13))))) as line from p),
+t as (select source, count(text) as total from p group by source),
 bad as (select source, list(line) as bad from (
     select source, line, count(*) as n from l where line <> '' group by source, line having count(*) >= {MIN_PAGES})
   join t using (source) where n > {MAX_RATIO} * total group by source),

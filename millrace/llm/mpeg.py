@@ -117,12 +117,15 @@ def _checksum_ok(data: bytes, at: int, h: Header) -> bool | None:
     """Whether a protected frame's checksum holds; None where it isn't checked.
 
     Layer III covers the header's last two bytes and the side information,
-    layer I the bit allocation (as in mono and plain stereo). Layer II needs
-    allocation tables and is left unchecked.
+    layer I the bit allocation: four bits a channel and subband, but from the
+    bound of joint stereo on both channels share them. Layer II needs allocation
+    tables and is left unchecked.
     """
     if not h.protected or h.layer == 2:
         return None
-    covered = h.side if h.layer == 3 else (16 if h.mono else 32)
+    mode, extension = data[at + 3] >> 6, data[at + 3] >> 4 & 3
+    bound = 4 * (extension + 1) if mode == 1 else 32
+    covered = h.side if h.layer == 3 else 16 if h.mono else 16 + bound // 2
     return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 

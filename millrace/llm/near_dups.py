@@ -214,7 +214,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def star_links(members: DataFrame, sets: DataFrame, threshold: float, weights: str = "set") -> DataFrame:
-    """True links (a, b) between each bucket's members and its two representatives.
+    """True links (a, b, like) between each bucket's members and its two representatives; like is their similarity.
 
     members has (bucket, id); sets (id, w). The representatives are those of
     least and of greatest scrambled id; a row per member and representative.
@@ -226,14 +226,15 @@ def star_links(members: DataFrame, sets: DataFrame, threshold: float, weights: s
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [similarity(weighted(x, weights), weighted(y, weights)) >= threshold - 1e-9 for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            like = np.array([similarity(weighted(x, weights), weighted(y, weights)) for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)], np.float64)
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like)], names=["a", "b", "like"])
+            yield found.filter(pa.array(like >= threshold - 1e-9))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long, like double")
 
 
 def tile_links(members: DataFrame, sets: DataFrame, threshold: float, weights: str = "set") -> DataFrame:
-    """Components (a, b) that a true link between members of one bucket joins.
+    """Components (a, b) that a true link between members of one bucket joins, and such a link: (x, y, like).
 
     members has (bucket, id, comp, total). Only buckets that the stars left in
     several parts come here. Their members are dealt into classes of total
@@ -278,10 +279,13 @@ def tile_links(members: DataFrame, sets: DataFrame, threshold: float, weights: s
             both = np.bincount(met, least, minlength=len(pairs))
             hit = (both >= (threshold - 1e-9) * (totals[x] + totals - both)) & (comps != comps[x])
             hit &= ids > ids[x] if one_block else ~first
-            found += [(comps[x], y) for y in np.unique(comps[hit])]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            others, first_hit = np.unique(comps[hit], return_index=True)
+            for other, y in zip(others, np.flatnonzero(hit)[first_hit], strict=True):
+                found.append((comps[x], other, ids[x], ids[y], both[y] / (totals[x] + totals[y] - both[y])))
+        kinds = {"a": "int64", "b": "int64", "x": "int64", "y": "int64", "like": "float64"}
+        return pd.DataFrame(found, columns=list(kinds)).astype(kinds)
 
-    return tiled.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return tiled.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long, x long, y long, like double").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,9 +313,15 @@ def components(links: DataFrame) -> DataFrame:
     return star.unionByName(star.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set", linked: bool = False) -> DataFrame:
     """(doc, key, comp, class_id) of every row: class_id is the least id of its class.
 
+    With `linked` also n_texts, the different texts of the class; n_links, the
+    different texts of it that the row's text was compared with and found
+    similar; linked_to, the least id of the most similar of them, and like, that
+    similarity. These links hold the class together. Equal texts aren't links;
+    a row whose text has no link has 0 and nulls.
+
     key is the text's SHA-256, comp identifies the class (ids may repeat, and
     be of any type that has an order). Null counts as empty; texts without
     words are linked to equal texts only; very long texts are read whole. A
@@ -341,11 +351,22 @@ def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     comps = written(components(links))
     marked = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"), "total")
     # Only components that a tile joins take part in the second search.
-    wider = components(tile_links(marked, sets, threshold, weights)).select(F.col("id").alias("part"), F.col("comp").alias("whole"))
+    tiles = written(tile_links(marked, sets, threshold, weights))
+    wider = components(tiles).select(F.col("id").alias("part"), F.col("comp").alias("whole"))
     parts = groups.select("key", "least", "id").join(comps, "id", "left").select("key", "least", F.coalesce("comp", "id").alias("part"))
     classed = written(parts.join(wider, "part", "left").select("key", "least", F.coalesce("whole", "part").alias("comp")))
-    classes = classed.groupBy("comp").agg(F.min("least").alias("class_id"))
-    return keyed.select("doc", "key").join(classed.join(classes, "comp").select("key", "comp", "class_id"), "key")
+    classes = classed.groupBy("comp").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
+    found = classed.join(classes, "comp").select("key", "comp", "class_id", *(["n_texts"] if linked else []))
+    if linked:
+        held = links.select(F.col("a").alias("x"), F.col("b").alias("y"), "like").unionByName(tiles.select("x", "y", "like"))
+        both = held.unionByName(held.select(F.col("y").alias("x"), F.col("x").alias("y"), "like")).distinct()
+        # A representative may have very many links, so they are counted before anything is joined.
+        best = both.groupBy("x").agg(F.count(F.lit(1)).alias("n_links"), F.max_by(F.struct("y", "like"), F.struct("like", -F.col("y"))).alias("best"))
+        names = groups.select(F.col("id").alias("x"), "key")
+        partner = groups.select(F.col("id").alias("y"), F.col("least").alias("linked_to"))
+        per = best.select("x", "n_links", "best.y", "best.like").join(partner, "y").join(names, "x").select("key", "n_links", "linked_to", "like")
+        found = found.join(per, "key", "left").fillna(0, ["n_links"])
+    return keyed.select("doc", "key").join(found, "key")
 
 
 def keep_one_per_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -362,5 +383,6 @@ def keep_one_per_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and class_id, the least doc_id of its class, of every document."""
-    return near_duplicate_classes(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "class_id")
+    """doc_id and class_id, the least doc_id of its class, of every document, with the links of its text."""
+    found = near_duplicate_classes(table(spark, sf_dir, "documents"), linked=True)
+    return found.select(F.col("doc").alias("doc_id"), "class_id", "n_texts", "n_links", "linked_to", F.col("like").alias("similarity"))

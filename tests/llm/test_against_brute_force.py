@@ -116,8 +116,21 @@ def test_op5(spark, docs):
     least = defaultdict(lambda: math.inf)
     for d, c in zip(docs, found):
         least[c] = min(least[c], d["doc_id"])
-    got = {r.doc_id: r.class_id for r in QUERIES["op5_near_dups"](spark, SF).collect()}
-    assert got == {d["doc_id"]: least[c] for d, c in zip(docs, found)}
+    rows = QUERIES["op5_near_dups"](spark, SF).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {d["doc_id"]: least[c] for d, c in zip(docs, found)}
+    texts, members = {d["doc_id"]: d["text"] or "" for d in docs}, defaultdict(set)
+    for r in rows:
+        members[r.class_id].add(texts[r.doc_id])
+    owner = {r.doc_id: r.class_id for r in rows}
+    assert any(r.n_links for r in rows)
+    for r in rows:
+        assert r.n_texts == len(members[r.class_id]) and (r.n_links > 0) == (r.n_texts > 1) and r.n_links < r.n_texts
+        if r.n_links:
+            a, b = shingles(texts[r.doc_id]), shingles(texts[r.linked_to])
+            assert owner[r.linked_to] == r.class_id and texts[r.linked_to] != texts[r.doc_id]
+            assert r.similarity >= 0.8 - 1e-9 and abs(r.similarity - len(a & b) / len(a | b)) < 1e-9
+        else:
+            assert r.linked_to is None and r.similarity is None
 
 
 def encoding():

@@ -36,6 +36,22 @@ def test_checksums(layer, mono):
     assert (len(track.offsets), track.checked, track.bad) == (5, 5, 1)
 
 
+@pytest.mark.parametrize("extension,covered", [(0, 18), (1, 20), (2, 22), (3, 24)])
+def test_checksums_of_joint_stereo(extension, covered):
+    """Layer I: 2 * bound + (32 - bound) fields of four bits."""
+    word = int.from_bytes(frame(1, 1, 9, 1, protect=True)[0][:4], "big") | 1 << 6 | extension << 4
+    head = word.to_bytes(4, "big")
+    size = mpeg.header_at(head + bytes(4), 0).size
+    body = bytes(range(1, 41))
+    check = mpeg.crc16(head[2:4] + body[:covered]).to_bytes(2, "big")
+    good = (head + check + body).ljust(size, b"\0")
+    beyond, within = bytearray(good), bytearray(good)
+    beyond[6 + covered] ^= 1
+    within[5 + covered] ^= 1
+    track = mpeg.parse(good * 2 + bytes(beyond) + bytes(within) + good)
+    assert (len(track.offsets), track.checked, track.bad) == (5, 5, 1)
+
+
 def test_xing_table_with_delay():
     plain, h = frame(1, 3, 9, 1)
     gap = (576 << 12 | 1000).to_bytes(3, "big")

@@ -78,6 +78,16 @@ def test_line_dedup(spark, odd, empty):
     assert got[3] == "own 3\n" and got[95] == "menu" and got[50] == "menu\nown"
 
 
+def test_line_dedup_counts_copies_each_or_once(spark):
+    rows = [(i, "menu\nown", "a") for i in range(5)] + [(10 + i, f"menu\nline {i}", "a") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df).collect()}
+    each = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, copies="each").collect()}
+    assert once[0] == "own" and each[0] == "" and once[10] == each[10] == "line 0"
+    with pytest.raises(ValueError):
+        line_dedup.drop_boilerplate(df, copies="some")
+
+
 def test_near_duplicates(spark, odd, empty):
     got = near_dups.near_duplicate_classes(odd).collect()
     assert sorted(str(r.doc) for r in got) == ALL
