@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,24 @@ def lookup_batches(read_dim: Callable[[], DataFrame], key: str, dim_key: str, pu
     return lambda batch, n: put(lookup(batch, read_dim(), F.col(key), dim_key, prefix=prefix), n)
 
 
+def cached(read_dim: Callable[[], DataFrame], lifetime: float, store: Callable[[DataFrame], DataFrame], *, clock: Callable[[], float] = time.monotonic) -> Callable[[], DataFrame]:
+    """read_dim with a memory: what it has read is kept as a stored table and read anew only after `lifetime` seconds.
+
+    For lookup_batches(): batches within a lifetime meet the same rows of the
+    dimension, even when an executor is lost, and spare its source. store
+    writes a frame to a table and reads it back.
+    """
+    held: dict = {}
+
+    def read() -> DataFrame:
+        now = clock()
+        if not held or now - held["at"] >= lifetime:
+            held.update(at=now, rows=store(read_dim()))
+        return held["rows"]
+
+    return read
+
+
 def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str, *, before: str, after: str, prefix: str = "info_", delay: str = "1 hour") -> DataFrame:
     """Rows of left with each row of right of the same key whose time lies from `before` ahead of to `after` behind its own.
 

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.lookups import small_broadcast
+
 
 def check_last_word(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
     """df with flag, grade and word: is the last comma-separated token one of `words` (word)?"""
@@ -24,21 +26,39 @@ def name_mentions(df: DataFrame, key: list[str], text: str, names: DataFrame) ->
     return found.join(names.select("name").distinct(), "name").select(*key, "name")
 
 
+#: Letters of the pieces by which texts are indexed; shorter names are pieces themselves.
+PIECE = 4
+
+
+def _pieces(chars: str, n: int) -> Column:
+    """All runs of n letters of an array of letters."""
+    run = lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
+    return F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), run)).otherwise(F.array().cast("array<string>"))
+
+
 def names_inside(df: DataFrame, key: list[str], text: str, names: DataFrame) -> DataFrame:
     """(key, name): the names that each text holds anywhere, also inside a longer run of letters, each once.
 
-    For texts without blanks between words. Pieces of the names' lengths are
-    cut from every place and met by hash; the different lengths, a few, come
-    to the driver.
+    For texts without blanks between words. A name is looked for by its rarest
+    piece of PIECE letters: pieces of the texts are counted first (those that
+    names have), each name takes the one that fewest texts hold, and only the
+    texts that hold it are searched for the name itself. Time is in proportion
+    to the texts, whatever the names' lengths. key identifies a text, and no part
+    of it may be null; null texts hold nothing.
     """
-    known = names.select("name").where("name <> ''").distinct()
-    lengths = sorted(r[0] for r in known.select(F.length("name")).distinct().collect())
-    if not lengths:
-        return df.select(*key, F.lit(None).cast("string").alias("name")).where(F.lit(False))
-    body = F.coalesce(F.col(text), F.lit(""))
-    cut = lambda n: F.transform(F.when(F.length(body) >= n, F.sequence(F.lit(1), F.length(body) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(body, i, F.lit(n)))
-    pieces = df.select(*key, F.explode(F.array_distinct(F.concat(*[cut(n) for n in lengths]))).alias("name"))
-    return pieces.join(known, "name").select(*key, "name")
+    known = names.select("name").where("name <> ''").distinct().withColumn("letters", F.regexp_extract_all("name", F.lit("(?s)."), F.lit(0)))
+    sizes = [n for n in range(1, PIECE + 1)]
+    short = lambda n: F.size("letters") >= PIECE if n == PIECE else F.size("letters") == n
+    of_name = known.select("name", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(short(n), _pieces("letters", n)).otherwise(F.array().cast("array<string>")) for n in sizes])))).alias("piece"))
+    wanted = small_broadcast(of_name.select("piece").distinct())
+    lettered = df.where(F.col(text).isNotNull()).select(*key, F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)).alias("letters"))
+    held = lettered.select(*key, F.explode(F.array_distinct(F.flatten(F.array(*[_pieces("letters", n) for n in sizes])))).alias("piece"))
+    counts = held.join(wanted, "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    # A name with a piece that no text holds is in no text.
+    rarest = of_name.join(counts, "piece", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).where("r.n > 0").select("name", F.col("r.piece").alias("piece"))
+    # Texts and names that share a piece: as many as the rarest pieces' counts, then the exact search.
+    maybe = held.join(rarest, "piece").select(*key, "name").distinct()
+    return maybe.join(df.select(*key, text), key).where(F.contains(text, "name")).select(*key, "name").distinct()
 
 
 def name_pairs(mentions: DataFrame, key: list[str]) -> DataFrame:

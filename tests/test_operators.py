@@ -1,9 +1,12 @@
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import aggregates, loads
+from millrace.operators.lookups import cached
+from millrace.operators.text import names_inside
 from millrace.plans.trade import new_and_returning
 
 
@@ -51,3 +54,29 @@ def test_column_functions(spark):
     assert row[0] == "138********" and row[1] == "*@c.com" and int(row[2]) == 255
     assert row[3] is None and row[4] is True and len(row[5]) == 4 and row[6] == 202501
     assert C.camel("order_detail_id") == "orderDetailId"
+
+
+def test_names_inside_by_their_rarest_piece(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abé日\n") for _ in range(n))
+    texts = [(i, word(rng.randrange(60))) for i in range(80)] + [(100, None), (101, ""), (102, "ab" * 50_000 + "xyzzy")]
+    names = [word(rng.randrange(1, 9)) for _ in range(60)] + ["xyzzy", "nowhere at all", "", "ab" * 30, "a"]
+    got = names_inside(spark.createDataFrame(texts, "id long, body string"), ["id"], "body", spark.createDataFrame([(n,) for n in names], "name string"))
+    want = {(i, n) for i, t in texts if t for n in names if n and n in t}
+    rows = [(r.id, r.name) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    none = spark.createDataFrame([], "name string")
+    assert names_inside(spark.createDataFrame(texts, "id long, body string"), ["id"], "body", none).count() == 0
+
+
+def test_a_cached_dimension_is_read_anew_after_its_lifetime(spark):
+    moment, reads = [0.0], []
+
+    def read():
+        reads.append(moment[0])
+        return spark.range(1)
+
+    dim = cached(read, 10.0, lambda df: df, clock=lambda: moment[0])
+    for moment[0] in (0.0, 5.0, 9.9, 10.0, 19.9, 40.0):
+        dim()
+    assert reads == [0.0, 10.0, 40.0]
