@@ -40,7 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that of the least id.
 
     Null counts as an empty text, and a null id stands last; rows that repeat
-    id and text are one.
+    id and text are one. Texts of any length are signed whole; an empty table
+    gives no rows.
     """
     return keep_one_per_class(docs)
 
@@ -48,13 +49,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go.
 
-    Null and empty texts stay; an empty benchmark removes nothing.
+    Null and empty texts stay; an empty benchmark removes nothing. Texts of any
+    length are searched whole; repeated rows share their fate; an empty table
+    gives no rows.
     """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them.
+
+    Null and empty texts have no tokens; texts of any length are encoded whole;
+    repeated rows and null ids stay; an empty table gives no rows.
+    """
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path(bpe.VOCABULARY)))
 
 

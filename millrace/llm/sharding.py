@@ -162,6 +162,13 @@ def assign_shards(df: DataFrame, *, key: str = "doc_id", text: str = "text", sha
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law of near-equal bytes.
+
+    A null text has no bytes beside the 8 that every row has, and an empty one
+    neither; null ids and repeated rows have slots of their own; equal texts lie
+    together until they are heavier than the tolerance; a very long text is one
+    row and may outweigh a shard's share; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     body = F.coalesce(F.col("text"), F.lit(""))
     shaped = docs.withColumn("size", (F.octet_length(body) + 8).cast("long")).withColumn("text_crc32", F.crc32(body))
