@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import aggregates, loads
-from millrace.operators.lookups import cached
+from millrace.operators.lookups import cached, small_broadcast
 from millrace.operators.text import names_inside
 from millrace.plans.trade import new_and_returning
 
@@ -80,3 +80,10 @@ def test_a_cached_dimension_is_read_anew_after_its_lifetime(spark):
     for moment[0] in (0.0, 5.0, 9.9, 10.0, 19.9, 40.0):
         dim()
     assert reads == [0.0, 10.0, 40.0]
+
+
+def test_only_few_and_narrow_rows_are_broadcast(spark):
+    df = spark.createDataFrame([(i, "x" * 100, [1, None], None) for i in range(10)], "id long, `a b` string, c array<int>, d string")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(small_broadcast(df)) and hinted(small_broadcast(df.limit(0)))
+    assert not hinted(small_broadcast(df, rows=9)) and not hinted(small_broadcast(df, size=900))
