@@ -42,6 +42,9 @@ def stream_session(spark: SparkSession, *, timers: bool = False, **conf: str) ->
             # A static setting can't be set again, and needn't be.
             if own.conf.isModifiable(name) or own.conf.get(name, None) is None:
                 own.conf.set(name, value)
+    # State lies in as many stores as there are partitions; more than there are cores only cost time.
+    parts = min(int(own.conf.get("spark.sql.shuffle.partitions")), max(8, spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.shuffle.partitions", str(parts))
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false" if timers else "true")
     for name, value in conf.items():
         own.conf.set(name.replace("__", "."), value)
