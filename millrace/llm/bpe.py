@@ -3,7 +3,9 @@
 Spark splits texts into pieces and deals the work out; inside a partition, rows
 (word, position, token) of the batch's distinct pieces join the merge table.
 One step of a recursive query contracts each word's leftmost pair of minimum
-rank, until no word has a pair to merge. Decoding joins ids with the vocabulary
+rank, until no word has a pair to merge. A long word is cut beforehand where
+no token of the vocabulary lies over two neighbouring bytes: no merge can join
+them, so the parts contract alone. Decoding joins ids with the vocabulary
 and puts the pieces together by an aggregation in order of position.
 
 Ids are stored as little-endian unsigned 32-bit integers in one binary value.
@@ -13,7 +15,9 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -25,9 +29,13 @@ from millrace.llm.common import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Unicode's White_Space, which the pattern's \s stands for; Java's own \s is ASCII only.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces of a chunk, and words kept encoded in a Python worker; both only bound memory.
+#: Pieces of a chunk, and bytes of words kept encoded in a Python worker; both only bound memory.
 CHUNK = 400_000
-CACHE = 300_000
+CACHE_BYTES = 64_000_000
+#: What a kept word takes beside its letters and ids, in bytes, about.
+ENTRY_BYTES = 150
+#: Words of more bytes are searched for cuts; shorter ones take few steps as they are.
+CUT_FROM = 64
 #: Bytes of words that one statement encodes, and tokens that one statement decodes.
 WORD_BYTES = 2_000_000
 DECODED = 400_000
@@ -80,7 +88,13 @@ class _Coder:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         merges = [(left * 65_536 + right, rank) for token, rank in self.ranks.items() for cut in range(1, len(token)) if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None]
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.tokens = ahocorasick.Automaton()
+        for token in self.ranks:
+            if len(token) > 1:
+                self.tokens.add_word(token.decode("latin-1"), len(token))
+        self.tokens.make_automaton()
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         # No spill folder: statements are small enough for memory, and none is left on a worker's disk.
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = np.array(merges, np.int64)
@@ -94,28 +108,54 @@ class _Coder:
         self.db.unregister("incoming")
 
     def learn(self, words: list[str]) -> None:
-        """Encode words that the cache lacks, WORD_BYTES (or one longer word) at a time."""
-        if len(self.cache) > CACHE:
+        """Encode words that the cache lacks."""
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-        raw: dict[str, bytes] = {}
-        size = 0
+            self.held = 0
+        cut: dict[str, list[bytes]] = {}
         for word in words:
             if word not in self.cache:
                 data = word.encode()
                 if (whole := self.ranks.get(data)) is not None:
-                    self.cache[word] = np.int32(whole).tobytes()
-                    continue
-                if raw and size + len(data) > WORD_BYTES:
-                    self._merge(raw)
-                    raw, size = {}, 0
-                raw[word], size = data, size + len(data)
-        if raw:
-            self._merge(raw)
-
-    def _merge(self, raw: dict[str, bytes]) -> None:
-        lengths = np.array([len(x) for x in raw.values()], np.int64)
+                    self._keep(word, np.int32(whole).tobytes())
+                else:
+                    cut[word] = self._parts(data)
+        merged = self._merged(dict.fromkeys(chain.from_iterable(cut.values())))
+        for word, parts in cut.items():
+            self._keep(word, b"".join(merged[p] for p in parts))
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.cache[word] = ids
+        self.held += len(word) + len(ids) + ENTRY_BYTES
+
+    def _parts(self, data: bytes) -> list[bytes]:
+        """The bytes, cut at every place that no token found there lies over; in linear time."""
+        if len(data) <= CUT_FROM:
+            return [data]
+        hits = np.array(list(self.tokens.iter(data.decode("latin-1"))), np.int64).reshape(-1, 2)
+        open_tokens = np.zeros(len(data) + 1, np.int64)
+        np.add.at(open_tokens, hits[:, 0] - hits[:, 1] + 2, 1)
+        np.add.at(open_tokens, hits[:, 0] + 1, -1)
+        edges = [*np.flatnonzero(np.cumsum(open_tokens[:-1]) == 0).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _merged(self, parts: dict[bytes, None]) -> dict[bytes, bytes]:
+        """The ids of each part, WORD_BYTES (or one longer part) a statement."""
+        out: dict[bytes, bytes] = {}
+        some: list[bytes] = []
+        size = 0
+        for part in parts:
+            if some and size + len(part) > WORD_BYTES:
+                out |= self._merge(some)
+                some, size = [], 0
+            some.append(part)
+            size += len(part)
+        return out | self._merge(some) if some else out
+
+    def _merge(self, raw: list[bytes]) -> dict[bytes, bytes]:
+        lengths = np.array([len(x) for x in raw], np.int64)
         span = 1 << int(lengths.max()).bit_length()
-        ids = self.single[np.frombuffer(b"".join(raw.values()), np.uint8)]
+        ids = self.single[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw), dtype=np.int64), lengths)
         pos = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         nxt = np.append(ids[1:], NO_TOKEN)
@@ -124,8 +164,7 @@ class _Coder:
         out = self.db.sql(MERGE_SQL.format(span=span)).to_arrow_table()
         word, ids = out["word"].to_numpy(), out["id"].to_numpy().astype("<i4")
         ends = np.searchsorted(word, np.arange(len(raw) + 1))
-        for i, name in enumerate(raw):
-            self.cache[name] = ids[ends[i] : ends[i + 1]].tobytes()
+        return {part: ids[ends[i] : ends[i + 1]].tobytes() for i, part in enumerate(raw)}
 
     def encode(self, parts: pa.ListArray) -> list[bytes]:
         """The ids of each row's pieces."""
@@ -207,7 +246,8 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
 
     Repeated rows and null ids stay; other columns are not looked at; an empty
     table gives no rows. Texts of any length are encoded whole, in statements
-    of bounded size; one piece (a run of letters, say) of n bytes takes n steps.
+    of bounded size; a part of n bytes, in which tokens overlap without a gap
+    (one letter repeated n times, say), takes n steps.
     """
     cut = docs.select(F.col(doc_id).alias("doc"), pieces(F.col(text)).alias("pieces"))
     kind = docs.schema[doc_id].dataType.simpleString()
