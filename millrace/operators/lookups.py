@@ -13,13 +13,18 @@ MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 256 << 20
 
 
-def small_broadcast(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if it is counted to have so many rows and bytes at most; else as it is, and the join shuffles."""
+def is_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> bool:
+    """Is df counted to have so many rows and bytes at most?"""
     width = F.lit(0).cast("long")
     for c in df.columns:
         width = width + 8 + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
     seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
-    return F.broadcast(df) if seen["rows"] <= rows and seen["size"] <= size else df
+    return seen["rows"] <= rows and seen["size"] <= size
+
+
+def small_broadcast(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is counted to have so many rows and bytes at most; else as it is, and the join shuffles."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: Column, dim_key: str, *, prefix: str = "dim_", keep: bool = True) -> DataFrame:

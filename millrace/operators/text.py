@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.lookups import small_broadcast
+from millrace.operators.lookups import is_small, small_broadcast
 
 
 def check_last_word(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
@@ -44,21 +44,25 @@ def names_inside(df: DataFrame, key: list[str], text: str, names: DataFrame) ->
     names have), each name takes the one that fewest texts hold, and only the
     texts that hold it are searched for the name itself. Time is in proportion
     to the texts, whatever the names' lengths. key identifies a text, and no part
-    of it may be null; null texts hold nothing.
+    of it may be null; null texts hold nothing. Names are broadcast if they are
+    few, texts and their pieces never: compressed files of texts look small.
     """
     known = names.select("name").where("name <> ''").distinct().withColumn("letters", F.regexp_extract_all("name", F.lit("(?s)."), F.lit(0)))
     sizes = [n for n in range(1, PIECE + 1)]
     short = lambda n: F.size("letters") >= PIECE if n == PIECE else F.size("letters") == n
     of_name = known.select("name", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(short(n), _pieces("letters", n)).otherwise(F.array().cast("array<string>")) for n in sizes])))).alias("piece"))
     wanted = small_broadcast(of_name.select("piece").distinct())
-    lettered = df.where(F.col(text).isNotNull()).select(*key, F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)).alias("letters"))
-    held = lettered.select(*key, F.explode(F.array_distinct(F.flatten(F.array(*[_pieces("letters", n) for n in sizes])))).alias("piece"))
+    lettered = df.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("_text"), F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)).alias("letters"))
+    # The hint keeps Spark from broadcasting this side; a hint on the other one goes before it.
+    held = lettered.select(*key, "_text", F.explode(F.array_distinct(F.flatten(F.array(*[_pieces("letters", n) for n in sizes])))).alias("piece")).hint("merge")
     counts = held.join(wanted, "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     # A name with a piece that no text holds is in no text.
     rarest = of_name.join(counts, "piece", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).where("r.n > 0").select("name", F.col("r.piece").alias("piece"))
     # Texts and names that share a piece: as many as the rarest pieces' counts, then the exact search.
-    maybe = held.join(rarest, "piece").select(*key, "name").distinct()
-    return maybe.join(df.select(*key, text), key).where(F.contains(text, "name")).select(*key, "name").distinct()
+    if is_small(known.select("name")):
+        return held.join(F.broadcast(rarest), "piece").where(F.contains("_text", "name")).select(*key, "name").distinct()
+    maybe = held.drop("_text").join(rarest, "piece").select(*key, "name").distinct()
+    return maybe.join(df.select(*key, text).hint("merge"), key).where(F.contains(text, "name")).select(*key, "name").distinct()
 
 
 def name_pairs(mentions: DataFrame, key: list[str]) -> DataFrame:

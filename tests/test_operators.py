@@ -1,10 +1,11 @@
 import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
-from millrace.operators import aggregates, loads
+from millrace.operators import aggregates, loads, text
 from millrace.operators.lookups import cached, small_broadcast
 from millrace.operators.text import names_inside
 from millrace.plans.trade import new_and_returning
@@ -69,6 +70,29 @@ def test_names_inside_by_their_rarest_piece(spark):
     assert names_inside(spark.createDataFrame(texts, "id long, body string"), ["id"], "body", none).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_texts_and_their_pieces_are_not_broadcast(spark, tmp_path, monkeypatch, few):
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    # A small file of long texts, as compression makes them.
+    own.createDataFrame([(i, f"ab{i % 7}cdefg " * 500) for i in range(50)], "id long, body string").write.parquet(str(tmp_path / "texts"))
+    names = own.createDataFrame([("b3cdefg",), ("nowhere",), ("b",)], "name string")
+    if not few:
+        monkeypatch.setattr(text, "is_small", lambda df: False, raising=False)
+        monkeypatch.setattr(text, "small_broadcast", lambda df: df)
+    found = names_inside(own.read.parquet(str(tmp_path / "texts")), ["id"], "body", names)
+
+    def broadcasts(node):
+        children = node.children()
+        below = [b for i in range(children.size()) for b in broadcasts(children.apply(i))]
+        return below + ([node.output().toString()] if node.nodeName() == "BroadcastExchange" else [])
+
+    sides = broadcasts(found._jdf.queryExecution().executedPlan())
+    assert sides or not few
+    assert not [s for s in sides if "id#" in s]
+    assert found.count() == 7 + 50
+
+
 def test_a_cached_dimension_is_read_anew_after_its_lifetime(spark):
     moment, reads = [0.0], []
 
