@@ -25,6 +25,8 @@ from millrace.streaming.metrics import product_days, revenue, trade_stats, views
 from millrace.streaming.state import ROCKS, first_visits
 
 BATCHES = 3
+#: Events in a file of a batch, about.
+FILE_ROWS = 250_000
 #: Longest wait for a stream to end, in seconds.
 PATIENCE = 1800
 KINDS = ("view", "click", "purchase")
@@ -54,21 +56,25 @@ def stream_session(spark: SparkSession, *, timers: bool = False, **conf: str) ->
 def arrivals(spark: SparkSession, sf_dir: str, *, closing: bool = False) -> DataFrame:
     """The events as a stream of BATCHES batches in order of event_id.
 
+    All batches have the same number of files, as the source counts files; else
+    rows of one batch would come with the next.
     With `closing` one more batch follows: a row of each kind 400 days later,
     without user or value, which lets every window before it close.
     """
     events, path = load(spark, sf_dir, "events"), scratch_folder(spark)
     cuts = events.agg(F.percentile_approx("event_id", [k / BATCHES for k in range(1, BATCHES)], 1000)).first()[0] or [0] * (BATCHES - 1)
-    edges = [None, *cuts, None]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
+    edges, files = [None, *cuts, None], max(1, -(-events.count() // (BATCHES * FILE_ROWS)))
+    for n, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True), 1):
         above, upto = (F.lit(True) if low is None else F.col("event_id") > low), (F.lit(True) if high is None else F.col("event_id") <= high)
-        events.where(above & upto).write.mode("append").parquet(path)
-    files = spark.read.schema(events.schema).parquet(path).inputFiles()
+        events.where(above & upto).repartition(files, "event_id").write.mode("append").parquet(path)
+        # Parts without rows have no file.
+        for _ in range(n * files - len(spark.read.schema(events.schema).parquet(path).inputFiles())):
+            events.limit(0).write.mode("append").parquet(path)
     if closing:
         blank = {c: F.lit(None).cast(t).alias(c) for c, t in events.dtypes}
         last = events.groupBy("event_type").agg(F.max("ts").alias("ts")).withColumn("ts", F.max("ts").over(Window.partitionBy()) + F.expr("interval 400 days"))
         last.select(*[c if c in ("ts", "event_type") else blank[c] for c in events.columns]).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, len(files) // BATCHES)).parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

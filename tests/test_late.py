@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans import late
+from millrace.plans import runs as plan_runs
 from millrace.plans.late import replayed
 from millrace.plans.runs import stream_session
 from millrace.streaming import closed, joins, metrics, state
@@ -176,6 +178,32 @@ def test_rough_repeats_keep_their_bounds(spark, tmp_path):
     assert bits / 8 < 1.3 * n and 5 <= hashes <= 8
 
 
+def test_pairs_that_the_filter_takes_for_known_are_checked(spark, tmp_path, monkeypatch):
+    # A filter that is wrong for many of the new pairs.
+    monkeypatch.setattr(late, "SLOT_ERROR", 0.6, raising=False)
+    monkeypatch.setattr(late, "SLOT_ITEMS", 20, raising=False)
+    rough = state.drop_repeats_roughly
+    monkeypatch.setattr(late, "drop_repeats_roughly", lambda df, keys, slot, **how: rough(df, keys, slot, **{**how, "items": 20, "error": 0.6}))
+    rows = [(i, T0, i % 700 if i % 50 else None, "view", 1.0, f'{{"k": {i % 3}}}' if i % 7 else None) for i in range(1500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = [(r.user_id, r.item) for r in late.stream_rough_repeats(spark, str(tmp_path)).collect()]
+    want = {(u, i % 3 if p else None) for i, _, u, _, _, p in rows}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_arrivals_come_in_as_many_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plan_runs, "FILE_ROWS", 9, raising=False)
+    # The table's files hold ranges of ids, so batches meet different numbers of them.
+    for low in range(0, 300, 60):
+        spark.range(low, low + 60, 1, 1).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.lit(T0).alias("ts")).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    own, got = stream_session(spark), {}
+    stream = plan_runs.arrivals(own, str(tmp_path), closing=True)
+    assert query(stream, str(tmp_path / "state"), lambda b, n: got.update({n: [r.event_id for r in b.collect()]})).start().awaitTermination(120)
+    batches = [sorted(ids) for ids in got.values() if ids]
+    assert len(batches) == plan_runs.BATCHES + 1 and batches[-1] == [None]
+    assert [i for ids in batches[:-1] for i in ids] == list(range(300))
+
+
 def test_old_generations_go(spark):
     own = stream_session(spark, timers=True, **state.ROCKS)
     rows = [(i, i) for i in range(300)] + [(0, 300), (299, 301)]
