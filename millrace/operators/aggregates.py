@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a task of dealt(), about.
+PART_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by a hash of keys into tasks of about PART_ROWS rows; rows is how many there are, about.
+
+    For groups that are nearly as many as the rows: grouped by these keys and
+    more, each task ends its own, without partial groups before a shuffle, and
+    a task's memory doesn't grow with the table.
+    """
+    return df.repartition(max(1, -(-rows // PART_ROWS)), *keys)
+
+
 def _col(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 

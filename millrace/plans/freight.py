@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.aggregates import cumulative, full_outer, interval_rows, merge_sides, ratio, within_days
+from millrace.operators.aggregates import cumulative, dealt, full_outer, interval_rows, merge_sides, ratio, within_days
 from millrace.plans.logistics import organ_dim
-from millrace.plans.trade import business_date
+from millrace.plans.trade import business_date, line_count, with_orders
 from millrace.sources.tables import load, money
 
 #: A trip that takes longer is late.
@@ -32,7 +32,7 @@ STAGES = {
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("organ_id"), "l_partkey", "l_returnflag", "l_linestatus", "l_quantity", F.to_date("l_shipdate").alias("shipped"), money("l_extendedprice").alias("amount"))
     orders = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("line"), F.to_date("o_orderdate").alias("ordered"))
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).drop("o_orderkey")
+    return with_orders(lines, orders, line_count(spark, sf_dir))
 
 
 def _stage(spark: SparkSession, sf_dir: str, stage: str, since: Column | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def _stage(spark: SparkSession, sf_dir: str, stage: str, since: Column | None =
     where, day = STAGES[stage]
     rows = _lines(spark, sf_dir).where(where).withColumn("dt", F.col(day))
     rows = rows.where(since) if since is not None else rows
-    once = rows.groupBy("organ_id", "dt", "l_orderkey").agg(F.max("amount").alias("amount"))
+    once = dealt(rows, line_count(spark, sf_dir), "organ_id", "dt").groupBy("organ_id", "dt", "l_orderkey").agg(F.max("amount").alias("amount"))
     return once.groupBy("organ_id", "dt").agg(F.count(F.lit(1)).alias("order_count"), F.sum("amount").alias("order_amount"))
 
 

@@ -11,20 +11,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.operators.aggregates import interval_rows, on_day, within_days
+from millrace.operators.aggregates import dealt, interval_rows, on_day, within_days
 from millrace.operators.ranking import top_ranked
 from millrace.sources.tables import load, money
 
 AMOUNT = "l_extendedprice"
 
 
+def line_count(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of lineitem; Parquet's footers know them."""
+    return load(spark, sf_dir, "lineitem").count()
+
+
+def with_orders(lines: DataFrame, orders: DataFrame, rows: int) -> DataFrame:
+    """lines with their orders, dealt by order into tasks that don't grow with the rows."""
+    return dealt(lines, rows, "l_orderkey").join(dealt(orders, rows, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order detail: one row per line with its order's customer and day."""
     lines = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", money(AMOUNT).alias("original"), (money(AMOUNT) * F.col("l_discount").cast("decimal(4,2)")).alias("cut")
     )
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("dt"))
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).drop("o_orderkey")
+    return with_orders(lines, orders, line_count(spark, sf_dir))
+
+
+def part_sales(spark: SparkSession, sf_dir: str, sums: dict[str, Column]) -> DataFrame:
+    """(l_partkey, orders, buyers, sums): different orders and customers of each part, and sums over its lines.
+
+    Two distinct counts at once would copy every line for each of them. Here an
+    order is counted by its first line of the part, where lines lie by order
+    anyway, and customers as rows of part and customer.
+    """
+    own = Window.partitionBy("l_orderkey", "l_partkey").orderBy("o_custkey")
+    lines = order_lines(spark, sf_dir).withColumn("_first", (F.row_number().over(own) == 1).cast("int"))
+    lines = lines.select("l_partkey", "o_custkey", "_first", *[c.alias(name) for name, c in sums.items()])
+    each = dealt(lines, line_count(spark, sf_dir), "l_partkey", "o_custkey").groupBy("l_partkey", "o_custkey").agg(F.sum("_first").alias("_orders"), *[F.sum(name).alias(name) for name in sums])
+    return each.groupBy("l_partkey").agg(F.sum("_orders").alias("orders"), F.count("o_custkey").alias("buyers"), *[F.sum(name).alias(name) for name in sums])
 
 
 def business_date(spark: SparkSession, sf_dir: str) -> Column:
@@ -57,7 +81,7 @@ def province_order_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_sku_order_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user, sku and day: orders, quantity, original and reduced amounts, with the sku's brand and type."""
     per = (
-        order_lines(spark, sf_dir)
+        dealt(order_lines(spark, sf_dir), line_count(spark, sf_dir), "o_custkey", "l_partkey", "dt")
         .groupBy("o_custkey", "l_partkey", "dt")
         .agg(F.count_distinct("l_orderkey").alias("order_count"), F.sum("l_quantity").alias("order_num"), _total("original", "original_amount"), _total("cut", "reduce_amount"), (F.sum("original") - F.sum("cut")).cast("double").alias("total_amount"))
     )
