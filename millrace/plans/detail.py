@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from millrace.functions.columns import surrogate_key
+from millrace.operators.aggregates import dealt
 from millrace.operators.dims import pattern_kind
 from millrace.operators.loads import accumulate_report, accumulating, close_by_status
 from millrace.operators.ranking import gap_seconds, latest_per_key
 from millrace.plans.dashboards import visits
 from millrace.plans.daily import _dwelt
 from millrace.plans.dims import dim_activity, dim_coupon
-from millrace.plans.trade import business_date, order_lines
+from millrace.plans.trade import business_date, line_count, order_lines
 from millrace.sources.tables import load, money
 
 
@@ -101,7 +102,8 @@ def item_cart_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_order_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as item orders with their part."""
     part = load(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return order_lines(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("p_brand", "l_partkey", "o_custkey", "dt").agg(F.count_distinct("l_orderkey").alias("orders"), F.sum("l_quantity").alias("quantity"))
+    lines = order_lines(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return dealt(lines, line_count(spark, sf_dir), "l_partkey", "o_custkey", "dt").groupBy("p_brand", "l_partkey", "o_custkey", "dt").agg(F.count_distinct("l_orderkey").alias("orders"), F.sum("l_quantity").alias("quantity"))
 
 
 def item_payment_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
