@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.operators.aggregates import ratio, within_days
+from millrace.operators.aggregates import dealt, ratio, within_days
 from millrace.operators.lookups import insert_missing, small_broadcast
 from millrace.operators.ranking import top_ranked
 from millrace.plans.dashboards import visits
 from millrace.plans.streams import _mentions, _pairs
-from millrace.plans.trade import business_date, order_lines
+from millrace.plans.trade import business_date, line_count, order_lines, part_sales, with_orders
 from millrace.sources.tables import load, money
 
 LONGEST = 3600
@@ -57,8 +57,8 @@ def user_coupon_use_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     coupon = F.round(F.col("l_discount") * 100).cast("int")
     lines = load(spark, sf_dir, "lineitem").where("l_discount > 0").select("l_orderkey", coupon.alias("coupon_id"), (money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)")).alias("cut"))
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("dt"))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy("o_custkey", "coupon_id", "dt").agg(F.count_distinct("l_orderkey").alias("used_count"), F.sum("cut").cast("double").alias("reduce_amount"))
+    rows = line_count(spark, sf_dir)
+    return dealt(with_orders(lines, orders, rows), rows, "o_custkey", "coupon_id", "dt").groupBy("o_custkey", "coupon_id", "dt").agg(F.count_distinct("l_orderkey").alias("used_count"), F.sum("cut").cast("double").alias("reduce_amount"))
 
 
 def sku_favourite_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,14 +125,9 @@ def item_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates, mean order value, visitor value and the year's amount per item; every side has one row per item before it joins."""
     today = business_date(spark, sf_dir)
     seen = visits(spark, sf_dir).groupBy(F.col("item").alias("p_partkey")).agg(F.count_distinct("user_id").alias("visitors"))
-    lines = order_lines(spark, sf_dir)
-    sold = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
-        F.count_distinct("l_orderkey").alias("orders"),
-        F.count_distinct("o_custkey").alias("buyers"),
-        F.sum("original").alias("amount"),
-        F.coalesce(F.sum(F.when(F.year("dt") == F.year(today), F.col("original"))), F.lit(0)).cast("double").alias("amount_ytd"),
-        F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", F.col("original"))), F.lit(0)).alias("refund"),
-    )
+    original = F.col("original")
+    sums = {"amount": original, "ytd": F.when(F.year("dt") == F.year(today), original), "refund": F.when(F.col("l_returnflag") == "R", original)}
+    sold = part_sales(spark, sf_dir, sums).select(F.col("l_partkey").alias("p_partkey"), "orders", "buyers", "amount", F.coalesce("ytd", F.lit(0)).cast("double").alias("amount_ytd"), "refund")
     joined = load(spark, sf_dir, "part").select("p_partkey").join(sold, "p_partkey", "left").join(seen, "p_partkey", "left")
     amount = F.coalesce(F.col("amount"), F.lit(0))
     return joined.select(
