@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.operators.aggregates import ratio
+from millrace.operators.aggregates import dealt, ratio
 from millrace.operators.ranking import gap_seconds, ranks_at_once, latest_per_key, range_starts, rank_by_ranges, running_sum, share, top_ranked
-from millrace.plans.trade import business_date, order_lines
+from millrace.plans.trade import business_date, line_count, order_lines
 from millrace.sources.scratch import stored
 from millrace.sources.tables import load, money
 
@@ -65,14 +65,18 @@ def week_month_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_old_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New and old buyers and amounts per item brand; a buyer is new without a purchase in the 365 days before."""
     lines = order_lines(spark, sf_dir).select("o_custkey", "l_partkey", "dt", "original")
-    days = lines.select("o_custkey", "dt").distinct()
-    before = F.lag("dt").over(Window.partitionBy("o_custkey").orderBy("dt"))
-    flagged = days.withColumn("is_new", before.isNull() | (F.datediff("dt", before) > 365))
     part = load(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    joined = lines.join(flagged, ["o_custkey", "dt"]).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    amount = lambda c: F.coalesce(F.sum(F.when(c, F.col("original"))), F.lit(0)).cast("double")
-    new = F.col("is_new")
-    return joined.groupBy("p_brand").agg(F.count_distinct(F.when(new, F.col("o_custkey"))).alias("new_buyers"), F.count_distinct(F.when(~new, F.col("o_custkey"))).alias("old_buyers"), amount(new).alias("new_amount"), amount(~new).alias("old_amount"))
+    # Lines without a part are days of their buyer, too.
+    named = lines.where("o_custkey is not null and dt is not null").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    own = dealt(named.select("o_custkey", "dt", "p_partkey", "p_brand", "original"), line_count(spark, sf_dir), "o_custkey")
+    earlier = Window.partitionBy("o_custkey").orderBy(F.unix_date("dt")).rangeBetween(Window.unboundedPreceding, -1)
+    before = F.max("dt").over(earlier)
+    flagged = own.withColumn("is_new", before.isNull() | (F.datediff("dt", before) > 365)).where("p_partkey is not null")
+    new, amount = F.col("is_new"), F.col("original")
+    # A row per brand and buyer, in the buyer's task, so that buyers are counted as rows.
+    each = flagged.groupBy("p_brand", "o_custkey").agg(F.max(new.cast("int")).alias("new"), F.max((~new).cast("int")).alias("old"), F.sum(F.when(new, amount)).alias("new_amount"), F.sum(F.when(~new, amount)).alias("old_amount"))
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("double").alias(name)
+    return each.groupBy("p_brand").agg(F.sum("new").alias("new_buyers"), F.sum("old").alias("old_buyers"), total("new_amount"), total("old_amount"))
 
 
 def item_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

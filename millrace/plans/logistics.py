@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.aggregates import cumulative, full_outer, interval_rows, ratio, within_days
-from millrace.plans.trade import business_date, order_lines
+from millrace.operators.aggregates import cumulative, dealt, full_outer, interval_rows, ratio, within_days
+from millrace.plans.trade import business_date, line_count, order_lines
 from millrace.sources.tables import load, money
 
 
@@ -28,7 +28,8 @@ def _newest(spark: SparkSession, sf_dir: str) -> Column:
 
 def organ_order_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Organ and cargo type per day; lines are summed per order first, so that an order counts once."""
-    per_order = order_lines(spark, sf_dir).groupBy("l_suppkey", "l_returnflag", "dt", "l_orderkey").agg(F.sum("original").alias("amount"))
+    lines = dealt(order_lines(spark, sf_dir), line_count(spark, sf_dir), "l_suppkey", "l_returnflag", "dt")
+    per_order = lines.groupBy("l_suppkey", "l_returnflag", "dt", "l_orderkey").agg(F.sum("original").alias("amount"))
     per = per_order.groupBy(F.col("l_suppkey").alias("organ_id"), F.col("l_returnflag").alias("cargo_type"), "dt").agg(F.count(F.lit(1)).alias("order_count"), F.sum("amount").cast("double").alias("order_amount"))
     return per.join(organ_dim(spark, sf_dir).select("organ_id", "city"), "organ_id", "left")
 

@@ -11,7 +11,7 @@ from millrace.operators.daystates import day_rows, interval_states, roll_forward
 from millrace.operators.loads import versions_of_runs
 from millrace.operators.ranking import ranks_at_once
 from millrace.plans.trade import _DETAIL, ORACLE as TRADE
-from millrace.plans.trade import order_lines
+from millrace.plans.trade import order_lines, part_sales
 from millrace.sources.scratch import scratch_folder, stored
 from millrace.sources.tables import load, money
 
@@ -83,8 +83,7 @@ def customer_versions_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's rank by orders, pieces, amount and buyers, over all parts, from one pass."""
-    lines = order_lines(spark, sf_dir)
-    per = lines.groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("orders"), F.sum("l_quantity").alias("pieces"), F.sum("original").alias("amount"), F.count_distinct("o_custkey").alias("buyers"))
+    per = part_sales(spark, sf_dir, {"pieces": F.col("l_quantity"), "amount": F.col("original")})
     return ranks_at_once(stored(per), ["l_partkey"], {"orders": "rk_orders", "pieces": "rk_pieces", "amount": "rk_amount", "buyers": "rk_buyers"}).select("l_partkey", "orders", "buyers", "rk_orders", "rk_pieces", "rk_amount", "rk_buyers")
 
 
