@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from millrace.streaming.kept import kept_after, kept_before
+
+Put = Callable[[DataFrame, int], None]
 
 
 def wide_join(left: DataFrame, ts: str, others: list[tuple[DataFrame, list[tuple[str, str]], str]], *, within: str, delay: str) -> DataFrame:
@@ -32,86 +33,54 @@ def wide_join(left: DataFrame, ts: str, others: list[tuple[DataFrame, list[tuple
     return out
 
 
-class _Configured(StatefulProcessor):
-    """Times are microseconds since the epoch, timers and the watermark milliseconds."""
-
-    def __init__(self, names: list[str], row: StructType, value: str, fallback: str | None):
-        self.names, self.value, self.fallback = names, value, fallback
-        self.row = StructType([*row.fields, StructField("_at", LongType())])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.versions = handle.getMapState("versions", "at long, version long", "value string")
-        self.waiting = handle.getListState("waiting", self.row)
-        self.due = handle.getValueState("due", "ms long")
-
-    def _wake(self, at: int) -> None:
-        """A timer for the row of this time, unless there is an earlier one."""
-        ms = -(-at // 1000)
-        due = self.due.get()[0] if self.due.exists() else None
-        if due is None or ms < due:
-            if due is not None:
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(ms)
-            self.due.update((ms,))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        fresh = []
-        for r in rows:
-            if r["_config"]:
-                self.versions.updateValue((r["_at"], r["_version"] if r["_version"] is not None else -(2**63)), (r["_value"],))
-            else:
-                fresh.append((*(r["_row"][c] for c in self.names), r["_at"]))
-        if fresh:
-            self.waiting.appendList(fresh)
-            self._wake(min(r[-1] for r in fresh))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        versions = sorted((k[0], k[1], v[0]) for k, v in self.versions.iterator())
-        times, left = [v[0] for v in versions], []
-        for row in self.waiting.get():
-            *own, at = row
-            if at > mark:
-                left.append((*own, at))
-                continue
-            valid = bisect_right(times, at)
-            yield Row(**dict(zip(self.names, own, strict=True)), **{self.value: versions[valid - 1][2] if valid else self.fallback})
-        self.waiting.clear()
-        self.due.clear()
-        if left:
-            self.waiting.put(left)
-            self._wake(min(r[-1] for r in left))
-        # Of the versions that no waiting or coming row is older than, the newest is enough.
-        for at, version, _ in [v for v in versions if v[0] <= mark][:-1]:
-            self.versions.removeKey((at, version))
+def configured_rows(rows: DataFrame, config: DataFrame, *, key: str, ts: str, valid_from: str, version: str, value: str) -> DataFrame:
+    """rows, as structs in `_row`, and the configuration's rows in one table or stream, for as_configured() and configured_into()."""
+    both = rows.select(F.struct(*rows.columns).alias("_row"), F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(None).cast("long").alias("_version"), F.lit(None).cast("struct<v:string>").alias("_value"), F.lit(1).alias("_last"))
+    return both.unionByName(config.select(F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), F.col(valid_from).alias("_at"), F.col(version).cast("long").alias("_version"), F.struct(F.col(value).cast("string").alias("v")).alias("_value"), F.lit(0).alias("_last")))
 
 
-def as_configured(rows: DataFrame, config: DataFrame, *, key: str, ts: str, valid_from: str, version: str, value: str, fallback: str | None = None, delay: str = "5 seconds") -> DataFrame:
-    """rows with the value of the configuration that was valid for their key at their time; both are streams.
+def _valued(both: DataFrame, value: str, fallback: str | None) -> DataFrame:
+    """The rows of configured_rows() with the value that was valid for them."""
+    order = Window.partitionBy("_key").orderBy("_at", "_last", F.asc_nulls_first("_version")).rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("_valid", F.last("_value", ignorenulls=True).over(order)).where("_row is not null")
+    sound = F.col("_key").isNotNull() & F.col("_at").isNotNull() & F.col("_valid").isNotNull()
+    return known.select("_row.*", F.when(sound, F.col("_valid.v")).otherwise(F.lit(fallback)).alias(value))
+
+
+def as_configured(rows: DataFrame, config: DataFrame, *, key: str, ts: str, valid_from: str, version: str, value: str, fallback: str | None = None) -> DataFrame:
+    """Rows of a table with the value of the configuration that was valid for their key at their time.
 
     A configuration row is valid for its key from its time on, until the next
-    one (of equal times, that of the greatest version). Without one, rows get
-    the fallback. A row waits until the watermark, `delay` behind the newest
-    time of both streams, has passed its time: no configuration that came in
-    time is missed, whichever came first. The state holds the waiting rows,
-    and of each key the versions since the watermark and one before it. Tables
-    are joined in the same way at once. Rows without a time or a key get the
-    fallback on a table, and go on a stream.
+    one (of equal times, that of the greatest version). Without one, and without
+    a time or a key, rows get the fallback. configured_into() does it for streams.
+    """
+    return _valued(configured_rows(rows, config, key=key, ts=ts, valid_from=valid_from, version=version, value=value), value, fallback)
+
+
+def configured_into(put: Put, state: str, *, value: str, fallback: str | None = None, delay: str = "5 seconds") -> Put:
+    """For foreachBatch on a stream of configured_rows(): put gets rows with their value, as in as_configured().
+
+    A row waits until the watermark, `delay` behind the newest time of all rows
+    and configurations, has passed its time: no configuration that came in time
+    is missed, whichever came first. What comes behind the watermark, or without
+    a time or a key, goes. Below `state` lie the waiting rows, and of each key the
+    versions since the watermark and one before it; a batch that is run again
+    begins with the same ones.
     """
-    names = rows.columns
-    if not rows.isStreaming:
-        both = rows.select(F.struct(*names).alias("_row"), F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(None).cast("long").alias("_version"), F.lit(None).cast("struct<v:string>").alias("_value"), F.lit(1).alias("_last"))
-        both = both.unionByName(config.select(F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), F.col(valid_from).alias("_at"), F.col(version).cast("long").alias("_version"), F.struct(F.col(value).cast("string").alias("v")).alias("_value"), F.lit(0).alias("_last")))
-        order = Window.partitionBy("_key").orderBy("_at", "_last", F.asc_nulls_first("_version")).rowsBetween(Window.unboundedPreceding, 0)
-        known = both.withColumn("_valid", F.last("_value", ignorenulls=True).over(order)).where("_row is not null")
-        sound = F.col("_key").isNotNull() & F.col("_at").isNotNull() & F.col("_valid").isNotNull()
-        return known.select("_row.*", F.when(sound, F.col("_valid.v")).otherwise(F.lit(fallback)).alias(value))
-    schema = StructType([*rows.schema.fields, StructField(value, StringType())])
-    row = F.struct(*names)
-    tagged = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("_key"), F.lit(False).alias("_config"), F.col(ts).alias("_time"), row.alias("_row"), F.lit(None).cast("long").alias("_version"), F.lit(None).cast("string").alias("_value"))
-    kind = tagged.schema["_row"].dataType
-    settings = config.where(F.col(key).isNotNull() & F.col(valid_from).isNotNull()).select(F.col(key).alias("_key"), F.lit(True).alias("_config"), F.col(valid_from).alias("_time"), F.lit(None).cast(kind).alias("_row"), F.col(version).cast("long").alias("_version"), F.col(value).cast("string").alias("_value"))
-    both = tagged.unionByName(settings).withWatermark("_time", delay).withColumn("_at", F.unix_micros("_time"))
-    return both.groupBy("_key").transformWithState(_Configured(names, kind, value, fallback), schema, "append", "EventTime")
+
+    def step(batch: DataFrame, n: int) -> None:
+        sound = batch.where("_key is not null and _at is not null")
+        marks = kept_before(sound.select(F.col("_at").alias("newest")), f"{state}/mark", n)
+        before = marks.agg((F.max("newest") - F.expr(f"interval {delay}")).alias("mark")).first().mark
+        kept_after(marks.unionByName(sound.select(F.col("_at").alias("newest"))).agg(F.max("newest").alias("newest")), f"{state}/mark", n)
+        mark = kept_before(marks, f"{state}/mark", n + 1).agg((F.max("newest") - F.expr(f"interval {delay}")).alias("mark")).first().mark
+        timely = sound if before is None else sound.where(F.col("_at") > F.lit(before))
+        both = kept_before(batch, f"{state}/rows", n).unionByName(timely)
+        over = F.coalesce(F.col("_at") <= F.lit(mark), F.lit(False))
+        put(_valued(both.where(over), value, fallback), n)
+        # Of the versions that no waiting or coming row is older than, the newest is enough.
+        old = both.where(over & F.col("_row").isNull()).groupBy("_key").agg(F.max_by(F.struct("_at", "_version", "_value"), F.struct("_at", "_version")).alias("v"))
+        old = old.select(F.lit(None).cast(batch.schema["_row"].dataType).alias("_row"), "_key", "v.*", F.lit(0).alias("_last"))
+        kept_after(both.where(~over).unionByName(old), f"{state}/rows", n)
+
+    return step
