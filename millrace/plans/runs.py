@@ -9,6 +9,7 @@ zone, which is UTC for windows of a day to begin at midnight.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,8 +22,9 @@ from millrace.sources.topics import messages, typed_topic
 from millrace.streaming.changes import after_images, appends, by_table, change_records, event_time, query, routed, shaped, slim, source_tagged, united
 from millrace.streaming.closed import user_windows
 from millrace.streaming.events import drop_repeats, merge_parts, newest_only, parsed, split_log
+from millrace.streaming.kept import first_visits_into
 from millrace.streaming.metrics import product_days, revenue, trade_stats, views_and_users
-from millrace.streaming.state import ROCKS, first_visits
+from millrace.streaming.state import ROCKS
 
 BATCHES = 3
 #: Events in a file of a batch, about.
@@ -78,16 +80,19 @@ def arrivals(spark: SparkSession, sf_dir: str, *, closing: bool = False) -> Data
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def collected(df: DataFrame, mode: str = "append") -> DataFrame:
-    """The stream's output at its end: all batches, or in complete mode the last."""
+def collected(df: DataFrame, mode: str = "append", *, into: Callable[[Callable, str], Callable] | None = None, schema: str | None = None) -> DataFrame:
+    """The stream's output at its end: all batches, or in complete mode the last.
+
+    into(put, folder) makes of each batch what put gets, of that schema, with what it keeps in a folder.
+    """
     spark, path = df.sparkSession, scratch_folder(df.sparkSession)
     folder = (lambda n: path) if mode == "complete" else (lambda n: f"{path}/batch={n}")
     put = lambda batch, n: batch.write.mode("overwrite").parquet(folder(n))
-    run = query(df, f"{path}-state", put, mode=mode).start()
+    run = query(df, f"{path}-state", into(put, f"{path}-kept") if into else put, mode=mode).start()
     if not run.awaitTermination(PATIENCE):
         run.stop()
         raise TimeoutError("the stream has not ended")
-    return spark.read.schema(df.schema).parquet(*([path] if mode == "complete" else [f"{path}/batch=*"]))
+    return spark.read.schema(schema or df.schema).parquet(*([path] if mode == "complete" else [f"{path}/batch=*"]))
 
 
 def _role(spark: SparkSession, sf_dir: str, roles: dict[str, str], **how) -> DataFrame:
@@ -130,7 +135,8 @@ def stream_product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_first_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is an event on the first day that its user was seen on so far?"""
     days = arrivals(spark, sf_dir).select("event_id", "user_id", F.to_date("ts").alias("dt"))
-    return collected(first_visits(days, "user_id", "dt", lifetime_ms=None))
+    into = lambda put, folder: first_visits_into(put, folder, "user_id", "dt", lifetime_ms=None)
+    return collected(days, into=into, schema="event_id long, user_id long, dt date, is_new int")
 
 
 def stream_newest_only(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +286,7 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries with state of their own, which needs another store and no empty batches.
-_KEYED = ("stream_newest_only", "stream_first_visits")
+_KEYED = ("stream_newest_only",)
 
 
 def _own_session(f):

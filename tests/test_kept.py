@@ -1,11 +1,13 @@
 """State that lies in tables between the batches of a stream."""
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 
 from millrace.queries import QUERIES
-from millrace.streaming import joins
+from millrace.streaming import joins, kept
 from tests.test_queries import SF
 
 BIG = 2**60
@@ -21,6 +23,12 @@ def test_a_configuration_is_met_without_python_rows(spark, monkeypatch):
     assert QUERIES["stream_config_routes"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").where("event_type <> 'error' and props is not null").count()
 
 
+@pytest.mark.parametrize("name", ["stream_visits_restarted", "stream_first_visits"])
+def test_first_visits_are_met_without_python_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(PandasGroupedOpsMixin, "transformWithState", None)
+    assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def test_rows_wait_for_their_configuration(spark, tmp_path):
     state, out = str(tmp_path / "kept"), {}
     step = joins.configured_into(lambda rows, n: out.update({n: sorted((r.id, r.sink) for r in rows.collect())}), state, value="sink", fallback="rest", delay="10 minutes")
@@ -41,3 +49,28 @@ def test_rows_wait_for_their_configuration(spark, tmp_path):
     assert spark.read.parquet(f"{state}/rows/turn=0").count() == 3
     assert run(3, [(10, "x", at(90))]) == [(9, None)]
     assert run(4, []) == []
+
+
+def test_first_days_of_devices(spark, tmp_path):
+    state, out = str(tmp_path / "kept"), {}
+    put = lambda rows, n: out.update({n: sorted((r.id, r.is_new) for r in rows.collect())})
+    step = kept.first_visits_into(put, state, "device", "day", lifetime_ms=None)
+    days = lambda *rows: spark.createDataFrame(list(rows), "id long, device long, day date")
+    step(days((1, BIG, date(2025, 1, 2)), (2, BIG, date(2025, 1, 3)), (3, BIG, None), (4, 7, None), (5, None, date(2025, 1, 5))), 0)
+    assert out[0] == [(1, 1), (2, 0), (3, 0), (4, 0), (5, 1)]
+    for _ in range(3):
+        step(days((6, BIG, date(2025, 1, 1)), (7, BIG, date(2025, 1, 2)), (8, 7, date(2025, 1, 9)), (9, None, date(2025, 1, 6)), (9, None, date(2025, 1, 5))), 1)
+        assert out[1] == [(6, 1), (7, 0), (8, 1), (9, 0), (9, 1)]
+    # BIG + 1 is another device, though not as a double.
+    step(days((10, BIG, date(2025, 1, 2)), (11, BIG + 1, date(2025, 1, 2))), 2)
+    assert out[2] == [(10, 0), (11, 1)]
+
+
+def test_a_device_is_forgotten_after_its_lifetime(spark, tmp_path):
+    out = {}
+    put = lambda rows, n: out.update({n: [r.is_new for r in rows.collect()]})
+    for n, lifetime in enumerate((60_000, 0)):
+        step = kept.first_visits_into(put, str(tmp_path / str(n)), "device", "day", lifetime_ms=lifetime)
+        for batch, day in enumerate((date(2025, 1, 1), date(2025, 2, 2))):
+            step(spark.range(1).select(F.col("id").alias("device"), F.lit(day).alias("day")), batch)
+        assert out == {0: [1], 1: [n]}
