@@ -22,6 +22,18 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(max(1, -(-rows // PART_ROWS)), *keys)
 
 
+def with_dimension(df: DataFrame, rows: int, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
+    """df, of about so many rows, with dim's row of its key, nulls where there is none; dim_key goes.
+
+    A dimension of up to PART_ROWS rows may be broadcast, as all tasks hold it
+    whole. A larger one, which packs well in its files and so looks small to the
+    planner, is dealt with df by key.
+    """
+    if dim.count() > PART_ROWS:
+        df, dim = dealt(df, rows, key), dealt(dim, rows, dim_key).hint("merge")
+    return df.join(dim, df[key] == dim[dim_key], "left").drop(dim[dim_key])
+
+
 def _col(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 

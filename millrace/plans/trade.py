@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.operators.aggregates import dealt, interval_rows, on_day, within_days
+from millrace.operators.aggregates import dealt, interval_rows, on_day, with_dimension, within_days
 from millrace.operators.ranking import top_ranked
 from millrace.sources.tables import load, money
 
@@ -80,13 +80,14 @@ def province_order_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_sku_order_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user, sku and day: orders, quantity, original and reduced amounts, with the sku's brand and type."""
+    rows = line_count(spark, sf_dir)
     per = (
-        dealt(order_lines(spark, sf_dir), line_count(spark, sf_dir), "o_custkey", "l_partkey", "dt")
+        dealt(order_lines(spark, sf_dir), rows, "o_custkey", "l_partkey", "dt")
         .groupBy("o_custkey", "l_partkey", "dt")
         .agg(F.count_distinct("l_orderkey").alias("order_count"), F.sum("l_quantity").alias("order_num"), _total("original", "original_amount"), _total("cut", "reduce_amount"), (F.sum("original") - F.sum("cut")).cast("double").alias("total_amount"))
     )
     part = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    return per.join(part, per.l_partkey == part.p_partkey, "left").drop("p_partkey")
+    return with_dimension(per, rows, part, "l_partkey", "p_partkey")
 
 
 def user_order_1d(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,3 +34,11 @@ def test_tasks_follow_the_rows(own, name):
         assert df.rdd.getNumPartitions() >= lines // 500
     else:
         assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_large_dimension_is_dealt_too(own, monkeypatch):
+    monkeypatch.setattr(aggregates, "PART_ROWS", 100)
+    assert own.read.parquet(f"{SF}/part.parquet").count() > 100
+    plan = QUERIES["user_sku_order_1d"](own, SF)._jdf.queryExecution().executedPlan().toString()
+    # The only left join is that with the dimension.
+    assert "LeftOuter" in plan and "LeftOuter, BuildRight" not in plan
