@@ -16,6 +16,7 @@ so they are broadcast; every other pair has too few links to burden a task.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,12 @@ from millrace.llm.common import table, written
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Bytes of text that one round of Arrow tables covers; a longer text is a round of its own.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: A pair is broadcast where it holds one link in so many at least.
 HEAVY = 100_000
 SPACE = "▁"
+#: Single spaces between characters that are no spaces to either tokenizer: no token reaches over one from its left.
+CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 
 ALIGNED = "n_a long, n_b long, n_groups long, `groups` string, links array<struct<a:int,b:int,n:long>>"
 
@@ -71,12 +74,22 @@ class _Pair:
         self.a = _Side(raw)
         self.two = sentencepiece.SentencePieceProcessor(model_file=path_b)
         ids = range(self.two.get_piece_size())
+        self.cuts = not any(SPACE in self.two.id_to_piece(i).lstrip(SPACE) for i in ids)
         self.b = _Side([bytes([int(self.two.id_to_piece(i)[1:-1], 16)]) if self.two.is_byte(i) else self.two.id_to_piece(i).replace(SPACE, " ").encode() for i in ids])
 
     def tokens(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        kind = pa.list_(pa.int32())
-        one = self.one.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
-        return pa.array([x.ids for x in one], kind), pa.array(self.two.encode(texts, num_threads=1), kind)
+        """Both sides' ids of each text; words that the texts share are encoded once.
+
+        Side A's pattern begins anew at each CUT, and side B's merges don't pass
+        it, as its pieces have spaces in front only; so a text has its words' ids.
+        """
+        cut = [CUT.split(t) for t in texts] if self.cuts else [[t] for t in texts]
+        words = pa.array([w for c in cut for w in c], pa.string()).dictionary_encode()
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
+        own, kind = words.dictionary.to_pylist(), pa.list_(pa.int32())
+        one = [x.ids for x in self.one.encode_batch_fast([f" {w}" for w in own], add_special_tokens=False)]
+        both = [pa.array(ids, kind).take(words.indices) for ids in (one, self.two.encode(own, num_threads=1))]
+        return tuple(_lists(pc.list_flatten(ids), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])[ends[1:]]) for ids in both)
 
 
 _pairs: dict[tuple[str, str], _Pair] = {}

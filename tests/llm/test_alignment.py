@@ -110,3 +110,21 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id string, text string")
     found = alignment.align(none, *PATHS)
     assert found.count() == 0 and alignment.rated(found.withColumn("row", F.lit(1)), "row").count() == 0
+
+
+def test_shared_words_are_encoded_once_and_alike(monkeypatch):
+    pair = alignment._Pair(public_tokenizers.path(alignment.VOCABULARY_A), public_tokenizers.path(alignment.VOCABULARY_B))
+    texts = ["", " ", "a", " a  b ", "it's a 's 't x", "a\u00a0b c\u2028 d", "\u2581 \u2581a b\u2581 c", "x\x1c y \x85 z", "<|endoftext|> <s> </s> <0x41> <unk>", "e\u0301 e \u0301 \u00b2 3 \u0663 \U0001f600 \u4e16 \u754c", "a\t b\n c \n\n d  \n e", "\u200b \u3000 \u00df \x00 0 \ufeff q", "the cat and the dog and the " * 50]
+    a, b = pair.tokens(texts)
+    assert a.to_pylist() == [pair.one.encode(f" {t}", add_special_tokens=False).ids for t in texts]
+    assert b.to_pylist() == pair.two.encode(texts, num_threads=1)
+    two, met = pair.two, []
+
+    class Noted:
+        def encode(self, words, **how):
+            met.extend(words)
+            return two.encode(words, **how)
+
+    pair.two = Noted()
+    pair.tokens(texts[-1:])
+    assert sum(map(len, met)) < 50
